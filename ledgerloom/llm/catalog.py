@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import langid, quality
+from . import bpe, chat, decontam, langid, quality
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -41,3 +41,52 @@ def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, C.fold("doc_id") != 2)
     found = docs.select("doc_id", (C.fold("doc_id") == 2).alias("held_out"), langid.identify(spark, model, F.col("text")).alias("l"))
     return found.select("doc_id", "held_out", "l.lang_pred", "l.score")
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = docs.select("doc_id", bpe.encode(F.col("text"), vocabulary()).alias("c"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("c.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("c.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("c.decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find(docs, C.table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.col("n_hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    back = chat.read_back(chat.format_conversations(rows.unionByName(planted)))
+    flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(flat.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
