@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: What separates words, for Java's regular expressions.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words before upper case is folded, for Java's regular expressions.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 N = 10
 #: The most distinct windows that are sent to every executor (under 10 MB of text).
 SET_WINDOWS = 100_000
@@ -136,7 +136,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: floa
     rows = _with_hits(docs, windows, text).withColumn("_spans", _merge(F.col("hits")))
     hit = F.aggregate("_spans", F.lit(0), lambda s, x: s + x["b"] - x["a"])
     # a text splits behind each word, so that piece i ends with word i
-    pieces = F.split(F.col(text), r"(?<=[^\x00-\x2F\x3A-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x60\x7B-\x7F])", -1)
+    pieces = F.split(F.col(text), r"(?<=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", -1)
     cut = F.array_join(F.filter(pieces, lambda p, i: ~F.exists("_spans", lambda s: (i >= s["a"]) & (i < s["b"]))), "")
     rows = rows.filter(hit <= F.lit(most) * F.col("n_words"))
     return rows.withColumn(text, F.when(F.size("_spans") > 0, cut).otherwise(F.col(text))).select(*docs.columns)
