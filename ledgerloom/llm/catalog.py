@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, chat, decontam, langid, quality
+from . import ann, bpe, chat, decontam, jaccard, langid, quality
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -90,3 +90,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(C.table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, pct=90)
+
+
+@query
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
