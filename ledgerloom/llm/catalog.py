@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import ann, bpe, chat, decontam, jaccard, langid, quality
+from . import ann, bpe, chat, decontam, jaccard, langid, quality, suffixes
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -100,3 +100,18 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op3_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = C.Scratch(spark, "suffixes")
+    found = suffixes.repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
+    return scratch.result(
+        found.select(
+            "doc_id",
+            "n_bytes",
+            (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+            F.size("spans").cast("long").alias("n_spans"),
+            F.sha2("kept", 256).alias("kept_sha256"),
+        )
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,10 +34,11 @@ class Scratch:
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
-        """Write ``df`` and read it again."""
+    def keep(self, df: DataFrame, label: str = "t", block: int = 0) -> DataFrame:
+        """Write ``df`` and read it again; ``block`` bounds the bytes of a row group."""
         path = self.path(label)
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.option("parquet.block.size", block) if block else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, label: str) -> str:
@@ -72,6 +74,18 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within, Arrow batches have at most ``rows`` rows; for tables of large rows that are written within, too."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tasks_for(spark: SparkSession, df: DataFrame, least: int = 1) -> int:
     """A shuffle width that follows the session's setting and the cores at hand."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
