@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW, MASK = 16, (1 << 9) - 1
-CACHED_WORDS, CACHED_CHUNK_BYTES = 250_000, 24 << 20
+CACHED_WORDS, CACHED_CHUNK_BYTES = 250_000, 16 << 20
 
 _BLANK = b" \t\n\r\x0b\x0c"
 #: The pieces that the vocabulary's own splitting rule gives within a word, fixed by the vocabulary file.
@@ -39,6 +39,32 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Words(dict):
+    """Word -> ids in two generations: when the young one is full it becomes the old one, from which words in use return."""
+
+    def __init__(self, learn):
+        self.old: dict[bytes, bytes] = {}
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.learn([word])[0]
+        self[word] = ids
+        return ids
+
+    def see(self, words: set[bytes]) -> None:
+        """Have all of ``words`` at hand, learning the unknown ones at once."""
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        old = self.old
+        unknown = [w for w in words if w not in self and w not in old]
+        for a in range(0, len(unknown), 50_000):
+            part = unknown[a : a + 50_000]
+            self.update(zip(part, self.learn(part)))
+
+
 class Encoder:
     """Encodes and decodes words and texts exactly as the whole-text calls of the library do."""
 
@@ -52,88 +78,70 @@ class Encoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(_PIECES).findall
         self.letters = _byte_letters()
-        self.ids: dict[bytes, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-        self.void: set[bytes] = set()
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.ids = Words(self.learn)
+        self.chunks: dict[bytes, bytes] = {}
         self.chunk_bytes = 0
 
     def _plain(self, word: str) -> list[str] | None:
         """The pieces of a Latin word in byte letters; None where the library should see the word itself."""
         low = word.lower()
+        if low.isascii():
+            if word.isalpha():
+                return [low]
+            if low[:-1].isalpha() and low[-1] in ".,!?;:|":
+                return [low[:-1], low[-1]]
         if len(low) != len(word) or max(low) > "ɏ" or any(s in word for s in self.special):
             return None
         if not word.isascii() and not (max(word) <= "ɏ" and unicodedata.is_normalized("NFC", word)):
             return None
-        pieces = self.pieces(low)
+        pieces = [low] if low.isalpha() else self.pieces(low)
         if "".join(pieces) != low:
             return None
         if low.isascii() and low.isprintable():
             return pieces
         return [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Put words in the cache."""
-        if len(self.ids) + len(words) > CACHED_WORDS:
-            self.ids.clear(), self.decoded.clear(), self.void.clear()
-        plain, where, odd = [], [], []
-        for w in words:
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        plain, where, out = [], [], [b""] * len(words)
+        for i, w in enumerate(words):
             p = self._plain(w.decode())
             if p is None:
-                odd.append(w)
+                out[i] = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
                 plain += p
-                where += [w] * len(p)
-        found: dict[bytes, list[int]] = {w: [] for w in where}
+                where += [i] * len(p)
         if plain:
             e = self.bare.encode(plain, is_pretokenized=True, add_special_tokens=False)
-            for i, at in zip(e.ids, e.word_ids):
-                found[where[at]].append(i)
-        for w in odd:
-            found[w] = self.whole.encode(w.decode(), add_special_tokens=False).ids
-        for w, ids in found.items():
-            self.ids[w] = np.array(ids, dtype="<u4").tobytes()
-            self.decoded[w] = b" ".join([self.tokens[i] for i in ids])
-            if not ids:
-                self.void.add(w)
-
-    def words(self, text: bytes) -> tuple[bytes, bytes]:
-        """Ids and decoded text of blank-separated words."""
-        units = text.split()
-        try:
-            ids = b"".join(map(self.ids.__getitem__, units))
-        except KeyError:
-            for a in range(0, len(units), 20_000):
-                self.learn({u for u in units[a : a + 20_000] if u not in self.ids})
-            if any(u not in self.ids for u in units):  # the cache is smaller than this text's words
-                parts = [self.words(b" ".join(units[a : a + 20_000])) for a in range(0, len(units), 20_000)]
-                return b"".join(p[0] for p in parts), b" ".join(p[1] for p in parts if p[1])
-            ids = b"".join(map(self.ids.__getitem__, units))
-        if self.void:
-            units = [u for u in units if u not in self.void]
-        return ids, b" ".join(map(self.decoded.__getitem__, units))
-
-    def inside(self, chunk: bytes) -> tuple[bytes, bytes]:
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.array(where)[np.array(e.word_ids)]
+            raw = ids.tobytes()
+            ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1
+            a = 0
+            for b, i in zip(ends.tolist(), at[ends - 1].tolist()):
+                out[i] = raw[4 * a : 4 * b]
+                a = b
+        return out
+
+    def words(self, text: bytes) -> bytes:
+        """Ids of blank-separated words."""
+        return b"".join(map(self.ids.__getitem__, text.split()))
+
+    def inside(self, chunk: bytes) -> bytes:
         """words(), once for each chunk in the cache."""
         got = self.chunks.get(chunk)
         if got is None:
             got = self.words(chunk)
-            self.chunk_bytes += len(chunk) + len(got[0]) + len(got[1])
+            self.chunk_bytes += len(chunk) + len(got) + 200
             if self.chunk_bytes > CACHED_CHUNK_BYTES:
                 self.chunks.clear()
-                self.chunk_bytes = len(chunk) + len(got[0]) + len(got[1])
+                self.chunk_bytes = len(chunk) + len(got) + 200
             self.chunks[chunk] = got
         return got
 
-    def text(self, data: bytes, cuts: np.ndarray) -> tuple[bytes, bytes]:
-        """Ids and decoded text of a whole text that is cut at the given places."""
-        ids, decoded, open_word = [], [], b""
-
-        def add(x: tuple[bytes, bytes]) -> None:
-            if x[0]:
-                ids.append(x[0])
-                decoded.append(x[1])
-
+    def text(self, data: bytes, cuts: np.ndarray) -> bytes:
+        """Ids of a whole text that is cut at the given places."""
+        ids, open_word = [], b""
         edges = [0, *cuts.tolist(), len(data)]
         for a, b in zip(edges, edges[1:]):
             chunk = data[a:b]
@@ -147,17 +155,20 @@ class Encoder:
                 open_word += head
                 body = chunk[len(head) :].lstrip(_BLANK)
             if open_word:
-                add(self.words(open_word))
+                ids.append(self.words(open_word))
             open_word = b""
             if body and body[-1] not in _BLANK:
-                rest = body.rsplit(None, 1)
-                open_word = rest[-1]
+                open_word = body.rsplit(None, 1)[-1]
                 body = body[: len(body) - len(open_word)]
             if body:
-                add(self.inside(body))
+                ids.append(self.inside(body))
         if open_word:
-            add(self.words(open_word))
-        return b"".join(ids), b" ".join(decoded)
+            ids.append(self.words(open_word))
+        return b"".join(ids)
+
+    def decode(self, ids: bytes) -> bytes:
+        """The library's decoded text: without a decoder it joins tokens by blanks."""
+        return b" ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +189,7 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def encode_texts(col, path: str, limit: int = 4 << 20) -> tuple[list[bytes], list[bytes]]:
+def encode_texts(col, path: str, limit: int = 2 << 20) -> tuple[list[bytes], list[bytes]]:
     """For each text of an Arrow column its ids (little-endian unsigned 32-bit) and its decoded text in UTF-8."""
     e = encoder(path)
     data, offsets = C.text_bytes(col)
@@ -187,10 +198,10 @@ def encode_texts(col, path: str, limit: int = 4 << 20) -> tuple[list[bytes], lis
         d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         cuts, own = cut_points(d, o)
         raw = d.tobytes()
+        e.ids.see(set(raw.split()))
         for i in range(b - a):
-            x = e.text(raw[o[i] : o[i + 1]], cuts[own[i] : own[i + 1]] - o[i])
-            ids.append(x[0])
-            decoded.append(x[1])
+            ids.append(e.text(raw[o[i] : o[i + 1]], cuts[own[i] : own[i + 1]] - o[i]))
+            decoded.append(e.decode(ids[-1]))
     return ids, decoded
 
 
