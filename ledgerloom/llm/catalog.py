@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import ann, bpe, chat, decontam, jaccard, langid, quality, suffixes
+from . import ann, bpe, chat, decontam, jaccard, langid, quality, shards, suffixes
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -115,3 +115,12 @@ def op3_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sha2("kept", 256).alias("kept_sha256"),
         )
     )
+
+
+@query
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = C.Scratch(spark, "training-order")
+    path = scratch.path("shards")
+    layout = shards.write(C.table(spark, sf_dir, "documents").select("doc_id", "text"), path, key=b"training order 1")
+    back = shards.read(spark, path, layout)
+    return scratch.result(back.select("slot", "doc_id", "part", "n_tokens", "shard", "at", F.sha2("tokens", 256).alias("tokens_sha256")))
