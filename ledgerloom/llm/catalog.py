@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import ann, bpe, chat, decontam, jaccard, langid, quality, shards, suffixes
+from . import ann, bpe, chat, decontam, jaccard, langid, pii, quality, shards, suffixes
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -124,3 +124,10 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = shards.write(C.table(spark, sf_dir, "documents").select("doc_id", "text"), path, key=b"training order 1")
     back = shards.read(spark, path, layout)
     return scratch.result(back.select("slot", "doc_id", "part", "n_tokens", "shard", "at", F.sha2("tokens", 256).alias("tokens_sha256")))
+
+
+@query
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.replace(docs, key="surrogates 1", found="kinds")
+    return out.select("doc_id", F.size("kinds").cast("long").alias("n_entities"), F.array_join("kinds", ",").alias("kinds"), "text")
