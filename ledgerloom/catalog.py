@@ -20,9 +20,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from ledgerloom.queries import reconciling, relational, sourcing  # noqa: F401
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
