@@ -151,7 +151,7 @@ def infer(raw: DataFrame, skip: tuple[str, ...] = ()) -> list[Declared]:
     """The type that all values of each text column share, from one aggregation over every value."""
     names = [f.name for f in raw.schema if f.name not in skip]
     tests = {
-        "int": r"^(0|[+-]?[1-9]\d{0,18}|-0)$", "decimal": r"^[+-]?(0|[1-9]\d*)?(\.\d+)?$", "float": r"^([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|nan|[+-]?inf(inity)?)$",
+        "int": r"^(0|[+-]?[1-9]\d{0,18}|-0)$", "decimal": r"^[+-]?(0|[1-9]\d*)?(\.\d+)?$", "float": r"^([+-]?((0|[1-9]\d*)(\.\d*)?|\.\d+)([eE][+-]?\d+)?|nan|[+-]?inf(inity)?)$",
         "bool": r"^(true|false|t|f|yes|no|y|n)$", "time": r"^([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?$",
     }
     cols = []
@@ -160,7 +160,7 @@ def infer(raw: DataFrame, skip: tuple[str, ...] = ()) -> list[Declared]:
         cols.append(F.count(t).alias(f"n{i}"))
         cols += [F.count_if(t.rlike(p)).alias(f"{k}{i}") for k, p in tests.items()]
         cols.append(F.count_if(t.rlike(r"^\d{4}-\d{2}-\d{2}$") & t.try_cast("date").isNotNull()).alias(f"date{i}"))
-        cols.append(F.count_if(exact(t, Declared(n, "timestamp")).isNotNull()).alias(f"timestamp{i}"))
+        cols.append(F.count_if(exact(F.upper(t), Declared(n, "timestamp")).isNotNull()).alias(f"timestamp{i}"))
         cols.append(F.max(F.length(F.regexp_extract(t, r"\.(\d+)$", 1))).alias(f"scale{i}"))
         cols.append(F.max(F.length(F.regexp_extract(t, r"^[+-]?(\d+)", 1))).alias(f"digits{i}"))
         cols.append(F.count_if(F.abs(t.try_cast("decimal(38,0)")) > (1 << 63) - 1).alias(f"wide{i}"))
