@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-PIVOTS, DEPTH, SHARE, LEAST = 256, 128, 0.06, 400
-BLOCK, QUERY_BLOCK = 8192, 512
+PIVOTS, DEPTH, SHARE, LEAST = 256, 64, 0.07, 400
+BLOCK, QUERY_BLOCK = 16384, 512
 
 
 def _matrix(col) -> np.ndarray:
