@@ -116,8 +116,10 @@ def build(samples: dict[str, str], max_symbols: int = 64) -> LanguageModel:
     tables = []
     for s in seqs:
         a = suffix_automaton(s[:least], max_symbols)
-        root = np.maximum(a[0], 0)
-        t = np.where(a >= 0, a.astype(np.int64) * max_symbols * 2, root[None, :].astype(np.int64) * max_symbols * 2 + 1)
+        # behind a phrase that no string can lengthen, and at the start: the last row, where any symbol begins a phrase
+        a = np.where(a >= 0, a, -1).astype(np.int64)
+        again = np.where(a[0] >= 0, a[0], len(a)) * max_symbols * 2 + 1
+        t = np.vstack([np.where(a >= 0, a * max_symbols * 2, again[None, :]), again])
         tables.append(t.astype(np.int32).ravel())
     return LanguageModel(names, codes, max_symbols, tables, np.log2([len(s[:least]) + 1.0 for s in seqs]))
 
@@ -140,8 +142,8 @@ def phrases(model: LanguageModel, sym: np.ndarray, offsets: np.ndarray) -> np.nd
         k = active[t]
         steps[t, :k] = sym[begin[:k] + t]
     for l, table in enumerate(model.tables):
-        state = np.zeros(len(rows), dtype=np.int32)
-        count = (size > 0).astype(np.int32)
+        state = np.full(len(rows), len(table) - model.n_symbols, dtype=np.int32)
+        count = np.zeros(len(rows), dtype=np.int32)
         for t in range(int(size[0]) if len(size) else 0):
             k = active[t]
             v = table[state[:k] + steps[t, :k]]

@@ -1,0 +1,288 @@
+"""Operators on texts against brute force, on small tables with odd cases."""
+
+import hashlib
+import random
+import re
+import struct
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import bpe, chat, decontam, jaccard, langid, pii, quality, shards, suffixes
+from ledgerloom.llm import common as C
+
+SCHEMA = "doc_id long, text string, score string, id string"  # columns that clash with added ones
+
+
+def sha(b: bytes) -> str:
+    return hashlib.sha256(b).hexdigest()
+
+
+def corpus(seed=5):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 7)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared = line(60)
+    base = [line(rnd.randint(1, 120)) for _ in range(25)]
+    texts = [None, "", " \n\t", "one", "two words", "\x00\x01", "x" * 3000, "ab " * 400, *base, base[3], base[3], base[4] + " tail", shared, base[5] + " " + shared + " " + base[6], shared.upper()]
+    edited = base[7].split()
+    for i in range(6):
+        e = list(edited)
+        if e:
+            e[i % len(e)] = word()
+        texts.append(" ".join(e))
+    rows = [(i * 3, t, "s", "i") for i, t in enumerate(texts)]
+    rows += [(9, texts[3], "s", "i"), (None, base[8], "s", "i"), (None, None, "s", "i")]  # repeated and null ids
+    rnd.shuffle(rows)
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+def test_suffixes_match_brute_force(spark, docs):
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_bytes, sha(bytes(r.kept)), [(s.start, s.end) for s in r.spans]) for r in suffixes.repeats(docs, C.Scratch(spark, "t")).collect())
+    rows = [(i if i is not None else 1 << 62, (t or "").encode()) for i, t, *_ in corpus()]
+    least = {}
+    for i, b in rows:
+        for k in range(len(b) - 49):
+            least[b[k : k + 50]] = min(least.get(b[k : k + 50], 1 << 63), i)
+    want = []
+    for i, b in rows:
+        gone = np.zeros(len(b) + 1, dtype=bool)
+        for k in range(len(b) - 49):
+            if least[b[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[:-1], [False]]).astype(int))).tolist() if b else []
+        null = i == 1 << 62
+        want.append(((null, 0 if null else i), len(b), sha(bytes(x for x, g in zip(b, gone) if not g)), list(zip(edge[::2], edge[1::2]))))
+    assert got == sorted(want)
+
+
+def test_refine_gives_equal_ids_to_equal_strings():
+    rnd = np.random.default_rng(1)
+    data = rnd.integers(97, 99, 4000).astype(np.uint8)
+    data[2000:2200] = data[100:300]
+    starts = np.arange(len(data) - 49)
+    ids = suffixes.refine(data, starts)
+    seen = {}
+    for s, i in zip(starts.tolist(), ids.tolist()):
+        assert seen.setdefault(data[s : s + 50].tobytes(), i) == i
+    assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize(("k", "pct"), [(3, 90), (5, 80)])
+def test_jaccard_matches_brute_force(spark, docs, k, pct, monkeypatch):
+    monkeypatch.setattr(jaccard, "RARE", 2)  # so that combinations are indexed, too
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard.groups(docs, k=k, pct=pct).collect())
+    sets = []
+    for i, t, *_ in corpus():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()))
+    up = {i: i for i, _ in sets if i is not None}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, x in sets:
+        for j, y in sets:
+            if i is not None and j is not None and x and y and 100 * len(x & y) >= pct * len(x | y):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    assert got == sorted(((i is None, i or 0), len(s), None if i is None else root(i)) for i, s in sets)
+
+
+def test_overlap_bound_never_lies():
+    rnd = np.random.default_rng(3)
+    for n, m in ((5, 9), (400, 380), (3000, 200)):
+        x = np.unique(rnd.integers(0, 1 << 63, n).astype(C.U) * C.U(2))
+        y = np.unique(np.concatenate([x[: len(x) // 2], rnd.integers(0, 1 << 63, m).astype(C.U)]))
+        assert jaccard.overlap_bound(jaccard.sketch(x), jaccard.sketch(y), len(x), len(y)) >= len(np.intersect1d(x, y))
+
+
+def test_bpe_is_the_librarys(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    odd = ["don't STOP I'LL 'S", "naïve Σίσυφος ΑΣ", "é ́ a b　c", "<|endoftext|> x<|startoftext|>y", "x" * 5000, "日本語 text", "İstanbul ß ﬁ ½ ²", "🙂👍🏽 a\x00b", "​   z"]
+    rows = [(i, t) for i, t in enumerate([*odd, *[r[1] for r in corpus()]])]
+    df = spark.createDataFrame(rows, "i int, text string").select("i", bpe.encode(F.col("text"), path).alias("c")).select("i", "c.*")
+    for r in df.collect():
+        ids = whole.encode(rows[r.i][1] or "", add_special_tokens=False).ids
+        assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids)
+        assert r.decoded == whole.decode(ids, skip_special_tokens=False)
+
+
+def test_chunks_are_cut_by_content_only():
+    rnd = np.random.default_rng(2)
+    body = rnd.integers(97, 123, 6000).astype(np.uint8)
+    one, _ = bpe.cut_points(body, np.array([0, len(body)]))
+    two, _ = bpe.cut_points(np.concatenate([body[:77], body]), np.array([0, 77, 77 + len(body)]))
+    assert len(one) > 3 and set((two[two > 77 + bpe.WINDOW] - 77).tolist()) == set(one[one > bpe.WINDOW].tolist())
+
+
+def test_decontamination_matches_brute_force(spark):
+    items = [(1, "A b c d e f g h i j k l"), (2, "short one"), (3, ""), (None, None), (4, "A b c d e f g h i j k l"), (10, "é x y z 1 2 3 4 5 6")]
+    texts = ["say a, B. c d e f g h i j k l m", "a SHORT one here", "É x y z 1 2 3 4 5 6", "é x y z 1 2 3 4 5 6 7", None, "", "a b c d e f g h i", "short-one short one", "--"]
+    rows = [(i, t, "s", "i") for i, t in enumerate(texts)] + [(0, texts[0], "s", "i")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in decontam.find(df, bench).collect())
+    word = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))
+    wins = {}
+    for i, t in items:
+        w = word(t)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            wins.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    want = []
+    for i, t, *_ in rows:
+        w, hit, found = word(t), set(), set()
+        for g, ids in wins.items():
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    hit |= set(range(k, k + len(g)))
+                    found |= ids
+        want.append((i, len(w), len(hit), ",".join(sorted(found))))
+    assert got == sorted(want)
+    kept = {r.doc_id: r.text for r in decontam.remove(df, bench, most=0.9).collect()}
+    assert kept[0] == "say m" and kept[1] == "a here" and kept[2] == texts[2] and 3 not in {k for k, v in kept.items() if v == texts[3]} and kept[4] is None
+    assert decontam.remove(df, bench.limit(0)).count() == len(rows)
+    assert decontam.find(df.limit(0), bench).count() == 0
+
+
+def test_large_benchmarks_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "x a b c", "s", "i"), (2, None, "s", "i")], SCHEMA)
+    bench = spark.createDataFrame([(7, "a b"), (8, "zz")], "item_id long, text string")
+    few = sorted(map(str, decontam.find(df, bench).select("doc_id", "n_hit", "items", "spans").collect()))
+    monkeypatch.setattr(decontam, "SET_WINDOWS", 0)
+    assert sorted(map(str, decontam.find(df, bench).select("doc_id", "n_hit", "items", "spans").collect())) == few
+
+
+def test_chat_round_trip(spark):
+    said = ["plain", "", None, "</turn>\n<turn:assistant>\nhi", "\\l \\s <turn:", "a < b > c\n", "\\### Assistant: </turn> ok", "</turn", "é</turn>\n"]
+    rows = [(1, i, "assistant" if i % 2 else "user", t, "x") for i, t in enumerate(said)]
+    rows += [(2, 0, "sys>\ntem", "x", "x"), (2, 0, None, "y", "x"), (None, None, "user", "z", "x"), (3, 1, "user", "same", "x"), (3, 1, "user", "same", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = {r.conv_id: ([(t.role, t.text) for t in r.turns], r.loss, r.formatted) for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert got[1][0] == [("assistant" if i % 2 else "user", t or "") for i, t in enumerate(said)]
+    assert got[1][1] == "".join(t or "" for t in said[1::2])
+    assert got[2][0] == [("", "y"), ("sys>\ntem", "x")] and got[None][0] == [("user", "z")] and len(got[3][0]) == 2
+    assert "a < b > c" in got[1][2]  # text without conflicts stays
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_surrogates(spark):
+    texts = ["mail Bob.Smith@corp.example.org or BOB.SMITH@corp.example.org.", "call +1 (659) 555-3949, ip 10.0.0.1.", "card 4111 1111 1111 1111 and 4111111111111111", "Dr. Anna Keller met Frau Keller; Иван Петров.", "token=0123456789abcdef0123456789abcdef01234567", None, "", "clean text, 12 apples v1.2.3"]
+    df = spark.createDataFrame([(i, t, "s", "i") for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r for r in pii.replace(df, "k", found="kinds").collect()}
+    assert [out[i].text for i in (5, 6, 7)] == [None, "", texts[7]] and out[7].kinds == []
+    a, b = re.findall(r"\S+@\S+?(?=[. ]?(?: |$))", out[0].text)
+    assert a.lower().strip(".") == b.lower().strip(".") and "smith" not in out[0].text.lower()
+    x, y = re.search(r"card ([\d ]+) and (\d+)", out[2].text).groups()
+    assert x.replace(" ", "") == y != "4111111111111111" and y[0] == "4"
+    assert sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(y))) % 10 == 0
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) met Frau (\w+); (\w+) (\w+)\.", out[3].text)
+    assert m and m[2] == m[3] != "Keller" and m[1] in pii.GIVEN["f"] and m[4] in pii.GIVEN["mc"] and re.fullmatch("[А-я]+", m[5])
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4}, ip \d+\.\d+\.\d+\.\d+\.", out[1].text) and "555-3949" not in out[1].text
+    assert re.fullmatch(r"token=[0-9a-f]{40}", out[4].text) and out[4].text != texts[4]
+    assert pii.replace(df.limit(0), "k").count() == 0 and pii.replace(df, "k").columns == df.columns
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """With nearly no room every entity still gets a replacement of its own, none of them an original."""
+    rows = [(i, f"ip 10.0.0.{i}", "s", "i") for i in range(40)]
+    real = pii.surrogate
+
+    def narrow(e, key, attempt):
+        small = F.concat(F.lit("10.0.0."), F.pmod(F.xxhash64(e, attempt), F.lit(200)).cast("string"))
+        return F.when(real(e, key, attempt).isNotNull(), small)
+
+    monkeypatch.setattr(pii, "surrogate", narrow)
+    got = [r.text for r in pii.replace(spark.createDataFrame(rows, SCHEMA), "k").collect()]
+    assert len(set(got)) == 40 and not set(got) & {r[1] for r in rows}
+
+
+def test_training_order(spark, docs, tmp_path):
+    for n in (1, 2, 3, 100, 1000):
+        assert sorted(shards.slots(np.arange(n), n, b"k").tolist()) == list(range(n))
+    assert shards.slots(np.arange(100), 100, b"k").tolist() != shards.slots(np.arange(100), 100, b"j").tolist()
+    layout = shards.write(docs, f"{tmp_path}/s", b"k", length=64)
+    rows = shards.read(spark, f"{tmp_path}/s", layout).collect()
+    want = set()
+    for i, t, *_ in corpus():
+        b = (t or "").encode()
+        want |= {(-(1 << 63) if i is None else i, p // 64, b[p : p + 64]) for p in range(0, len(b), 64)}
+    assert {(r.doc_id, r.part, bytes(r.tokens)) for r in rows} == want and sorted(r.slot for r in rows)[0] == 0 and len({r.slot for r in rows}) == len(rows)
+    half = layout["n"] // 2
+    assert {r.slot for r in shards.read(spark, f"{tmp_path}/s", layout, half).collect()} == {r.slot for r in rows if r.slot >= half}
+    r = rows[0]
+    name = [f for f in __import__("glob").glob(f"{tmp_path}/s/shard={r.shard}/part-*")][0]
+    with open(name, "rb") as f:
+        f.seek(r["at"])
+        assert f.read(layout["stride"]) == shards.record(r.doc_id, r.part, bytes(r.tokens), layout)
+    empty = shards.write(docs.limit(0), f"{tmp_path}/e", b"k")
+    assert shards.read(spark, f"{tmp_path}/e", empty).count() == 0
+
+
+def test_language_by_cross_parsing(spark):
+    rnd = random.Random(1)
+    parts = {"aa": ["ba", "ko", "ti"], "bb": ["shr", "unk", "elm"], "cc": ["ёж", "да", "ни"]}
+    make = lambda k, n: " ".join("".join(rnd.choice(parts[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i, make(k, 40), k) for i, k in enumerate(list(parts) * 12)] + [(900, None, "aa"), (901, "123 --", "bb"), (902, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.col("doc_id") % 2 == 0)
+    got = {r.doc_id: r.l for r in df.select("doc_id", langid.identify(spark, model, F.col("text")).alias("l")).collect()}
+    assert all(got[i].lang_pred == k and 0 <= got[i].score <= 1 for i, _, k in rows[:36])
+    assert {got[i].lang_pred for i in (900, 901, 902)} == {langid.UND}
+    none = langid.fit(df.limit(0), F.lit(True))
+    assert langid.predict(none, ["x", None])[0] == [langid.UND, langid.UND]
+
+
+def test_phrases_are_greedy_longest_matches():
+    model = langid.build({"a": "abracadabra " * 3, "b": "hocus pocus " * 3})
+    train = [langid.symbols(*langid._codepoints([t]), model.codes)[0].tolist() for t in ("abracadabra " * 3, "hocus pocus " * 3)]
+    least = min(map(len, train))
+    text = "abracus hocadabra pocusabra"
+    sym, o = langid.symbols(*langid._codepoints([text]), model.codes)
+    sym = sym.tolist()
+    for l, t in enumerate(train):
+        t, n, i = t[:least], 0, 0
+        while i < len(sym):
+            k = 1
+            while i + k < len(sym) and any(t[j : j + k + 1] == sym[i : i + k + 1] for j in range(len(t))):
+                k += 1
+            n, i = n + 1, i + k
+        assert langid.phrases(model, np.array(sym, dtype=np.uint8), o)[0, l] == n
+
+
+def test_quality_learns_from_positives_and_unlabelled(spark):
+    rnd = random.Random(2)
+    good = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(60)) + "."
+    bad = lambda: " ".join(rnd.choice(["BUY!!", "NOW!!", "$$$", "###"]) for _ in range(60))
+    rows = [(i, good() if i % 4 else bad(), int(i % 4 > 0)) for i in range(400)] + [(900, None, 0), (901, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, q int")
+    labels = df.filter("doc_id % 3 = 0").select("doc_id", F.col("q").alias("quality"))
+    model = quality.fit(df.select("doc_id", "text"), labels.unionByName(labels), C.fold("doc_id") != 2)
+    out = df.filter("doc_id < 900").select("q", quality.score(model, F.col("text")).alias("s")).collect()
+    assert sum((r.s >= 0.7) == (r.q == 1) for r in out) > 0.98 * len(out)
+    edge = df.filter("doc_id >= 900").select(quality.score(model, F.col("text")).alias("s")).collect()
+    assert edge[0].s == edge[1].s and 0 <= edge[0].s <= 1
+    none = quality.fit(df.select("doc_id", "text"), labels.limit(0), C.fold("doc_id") != 2)
+    assert df.select(quality.score(none, F.col("text")).alias("s")).first().s == 0.5
+
+
+def test_risk_is_not_negative_biased():
+    rng = np.random.default_rng(0)
+    p = rng.normal(1.5, 1, (400, 3))
+    u = np.concatenate([rng.normal(1.5, 1, (600, 3)), rng.normal(-1.5, 1, (400, 3))])
+    w, b, mean, scale = quality.learn(p, u, 0.6)
+    s = ((u - mean) / scale) @ w + b
+    assert (s[:600] > 0).mean() > 0.9 and (s[600:] < 0).mean() > 0.9
