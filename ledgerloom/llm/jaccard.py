@@ -9,7 +9,8 @@ similar sets differ in size by pct/100 at most, so that every pair meets in one
 Equal sets are one representative. Candidates are first pairs of each posting list's members with one centre; links merge
 components; lists whose members are in one component are settled. Lists that are left get other centres and, at last,
 all untried pairs between different components, so that no link between components is lost while a dense
-group of m sets costs m pairs and not m * m. Every pair is verified on whole sets.
+group of m sets costs m pairs and not m * m. Sketches, counts of a set's tokens by their top bits, rule out most pairs by an
+exact bound; the others are verified on whole sets.
 
 Defined cases: null and empty texts have no shingles and no links; texts of fewer words than a shingle are one shingle; repeated
 rows have equal ids and group as one; rows with a null id have no group (null) and don't link; an empty table gives no rows.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-RARE, LONG, STARS = 48, 640, 3
+RARE, LONG, STARS = 48, 640, 2
 
 
 def shingle_sets(col, k: int, limit: int = 2 << 20):
@@ -67,24 +68,41 @@ def _prefix(n: int, pct: int, k: int) -> int:
     return min(n, n - -(-pct * n // 100) + k)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Counts of a sorted set's tokens by their top bits, about four to a count. The sum of the smaller counts of two sets bounds their overlap."""
+    bits = max(4, (max(len(h), 1) // 4).bit_length())
+    return np.bincount((h >> C.U(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2" if len(h) < 65536 else "<u4").tobytes()
+
+
+def overlap_bound(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """At most this many tokens are in both sets."""
+    p, q = (np.frombuffer(b, dtype="<u2" if n < 65536 else "<u4").astype(np.int64) for b, n in ((x, nx), (y, ny)))
+    if len(p) > len(q):
+        p, q = q, p
+    return int(np.minimum(p, q.reshape(len(p), -1).sum(axis=1)).sum())
+
+
 def _signatures(docs: DataFrame, doc_id: str, text: str, k: int, pct: int) -> DataFrame:
-    """doc_id, n, two fingerprints of the set, and its prefix extended for combinations of two."""
+    """doc_id, n, two fingerprints of the set, its prefix extended for combinations of two, and its sketch."""
 
     def make(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n, fa, fb, prefix = [], [], [], []
+            n, fa, fb, prefix, sketches = [], [], [], [], []
             for h in shingle_sets(batch.column(1), k):
                 n.append(len(h))
                 fa.append(int(C.mix(h).sum(dtype=C.U).astype(np.int64)))
                 fb.append(int(C.mix(h ^ C.U(0x5851F42D4C957F2D)).sum(dtype=C.U).astype(np.int64)))
                 prefix.append(h[: _prefix(len(h), pct, 2)].view(np.int64))
+                sketches.append(sketch(h))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "fa", "fb", "prefix"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "n", "fa", "fb", "prefix", "sketch"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, "doc_id long, n long, fa long, fb long, prefix array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(make, "doc_id long, n long, fa long, fb long, prefix array<long>, sketch binary")
 
 
 def _keys(reps: DataFrame, pct: int) -> DataFrame:
@@ -102,18 +120,49 @@ def _keys(reps: DataFrame, pct: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """id and set (little-endian 64-bit tokens) of the documents with the given ids, one for each id."""
+    """id and set (little-endian 64-bit tokens) of the documents with the given ids, one for each id.
+
+    The ids travel as a bitmap of 2**24 hashed bits (2 MB at any size), so that texts stay where they are; a document whose
+    bit is set by another's id costs a set that nobody asks for.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << 24))
+    words = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32768).cast("int").alias("w")).agg(F.bitmap_construct_agg((F.col("s") % 32768).cast("long")).alias("b")).collect()
+    bitmap = np.zeros((512, 4096), dtype=np.uint8)
+    for r in words:
+        bitmap[r["w"]] = np.frombuffer(r["b"], dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.ravel())
 
     def make(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in shingle_sets(batch.column(1), k)], pa.binary())], ["id", "tokens"])
+            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            part = batch.filter(pa.array(hit.astype(bool)))
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() for h in shingle_sets(part.column(1), k)], pa.binary())], ["id", "tokens"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull()).select("id", "text", slot.alias("s"))
     return rows.mapInArrow(make, "id long, tokens binary")
 
 
+def _possible(pairs: DataFrame, reps: DataFrame, pct: int) -> DataFrame:
+    """The pairs whose sketches don't rule them out."""
+    import pyarrow as pa
+
+    def possible(x: pa.Array, y: pa.Array, nx: pa.Array, ny: pa.Array) -> pa.Array:
+        out = []
+        for p, q, m, n in zip(x.to_pylist(), y.to_pylist(), nx.to_pylist(), ny.to_pylist()):
+            both = overlap_bound(p, q, m, n)
+            out.append(100 * both >= pct * (m + n - both))
+        return pa.array(out, pa.bool_())
+
+    possible.__annotations__ = {"x": pa.Array, "y": pa.Array, "nx": pa.Array, "ny": pa.Array, "return": pa.Array}
+    test = F.arrow_udf(possible, "boolean")
+    a, b = (reps.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab")
+    return pairs.join(a, "a").join(b, "b").filter(test("sa", "sb", "na", "nb")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     import pyarrow as pa
@@ -129,7 +178,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     alike.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
     test = F.arrow_udf(alike, "boolean")
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return rows.filter(test("ta", "tb")).select("a", "b")
+    return rows.filter(test("ta", "tb")).select("a", "b").distinct()
 
 
 def components(scratch: C.Scratch, links: DataFrame) -> DataFrame:
@@ -154,38 +203,39 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "jaccard")
     signed = scratch.keep(_signatures(docs, doc_id, text, k, pct), "signed")
-    reps = signed.filter("n > 0 and doc_id is not null").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
+    reps = signed.filter("n > 0 and doc_id is not null").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     reps = scratch.keep(reps, "reps")
     keys = scratch.keep(_keys(reps, pct), "keys")
-    sets = scratch.keep(_sets(docs, keys.select("id").distinct(), doc_id, text, k).dropDuplicates(["id"]), "sets")
+    scratch.free()
     links = tried = comp = None
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * pct) & (F.col("a") != F.col("b"))
     for turn in range(STARS + 1):
         posts = keys.withColumn("c", F.col("id"))
         if comp is not None:
             posts = keys.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
             live = posts.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
             posts = posts.join(live, "key")
+        rank = F.xxhash64(F.lit(turn), F.col("id")) if turn else F.col("id")
+        other = posts.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), rank.alias("r"))
         if turn < STARS:
-            rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), F.col("id"))
-            centre = posts.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "n", "c")).alias("x")).select("key", F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("x.c").alias("ca"))
-        else:
-            centre = posts.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        pairs = posts.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")).join(centre, "key").filter(fits & (F.col("ca") != F.col("cb")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            other = other.groupBy("key").agg(F.min(F.struct("r", "x", "nx", "cx")).alias("o")).select("key", "o.*")
+        met = posts.join(other, "key").filter((F.col("c") != F.col("cx")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * pct))
+        met = met.withColumns({"a": F.least("id", "x"), "b": F.greatest("id", "x")})
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn in (0, STARS):
-                break
+            met = met.join(tried, ["a", "b"], "left_anti")
+        if turn < STARS:  # one centre for each set
+            met = met.groupBy("id").agg(F.min(F.struct("r", "a", "b")).alias("m")).select("m.a", "m.b")
+        pairs = scratch.keep(met.select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():  # another centre, or the last turn, may still give some
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = scratch.keep(_verified(pairs, sets, pct), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        comp = scratch.keep(components(scratch, links), "components")
+        likely = scratch.keep(_possible(pairs, reps, pct), "likely")
+        sets = scratch.keep(_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), doc_id, text, k), "sets")
+        fresh = scratch.keep(_verified(likely, sets, pct), "links")
+        if not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
+            comp = scratch.keep(components(scratch, links), "components")
         scratch.free()
-    named = signed.join(reps.select("fa", "fb", "n", "id"), ["fa", "fb", "n"], "left") if not reps.isEmpty() else signed.withColumn("id", F.lit(None).cast("long"))
+    named = signed.drop("prefix", "sketch").join(reps.select("fa", "fb", "n", "id"), ["fa", "fb", "n"], "left")
     if comp is not None:
         named = named.join(comp, "id", "left")
     else:
