@@ -128,13 +128,13 @@ def write(docs: DataFrame, path: str, key: bytes, doc_id: str = "doc_id", ids: C
 
         slot = np.frombuffer(b"".join(pdf["slot"]), dtype="<i8")
         rec = np.concatenate([np.frombuffer(zlib.decompress(x), dtype=np.uint8).reshape(-1, stride) for x in pdf["records"]])
-        _, order = np.unique(slot, return_index=True)  # equal rows were stored twice, with equal records
-        return pd.DataFrame({"shard": key_[0], "body": [rec[order, :-1].tobytes()[i * (stride - 1) : (i + 1) * (stride - 1)] for i in range(len(order))]})
+        slot, order = np.unique(slot, return_index=True)  # equal rows were stored twice, with equal records
+        raw, size = rec[order, :-1].tobytes(), stride - 1
+        return pd.DataFrame({"shard": key_[0], "slot": slot, "body": [raw[i * size : (i + 1) * size] for i in range(len(order))]})
 
     with C.batches_of(spark, 2000):
         dealt = rows.mapInArrow(cut, "shard long, slot binary, records binary")
-        laid = dealt.groupBy("shard").applyInPandas(lay, "shard long, body binary")
-        # a shard's rows stay in the order in which one task made them
+        laid = dealt.groupBy("shard").applyInPandas(lay, "shard long, slot long, body binary").sortWithinPartitions("shard", "slot")
         laid.select("shard", F.col("body").cast("string").alias("value")).write.option("maxRecordsPerFile", 0).partitionBy("shard").text(path)
     scratch.drop_all()
     return {"n": n, "stride": stride, "per_shard": per_shard, "step": step, "width": width}
