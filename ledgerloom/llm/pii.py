@@ -69,18 +69,21 @@ def _stream(key: str, norm: Column, attempt: Column) -> Column:
     return F.concat(one(0), one(1))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _masked(text: Column, stream: Column, hexadecimal: bool = False) -> Column:
     """Each letter and digit replaced in its class; the k-th of them by the k-th digit of the stream, so that separators don't matter."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
 
     def step(acc: Column, ch: Column) -> Column:
         h = F.substring(stream, F.pmod(acc["k"], F.lit(128)) + 1, F.lit(1))
-        if hexadecimal:
-            new = F.when(ch.rlike("[0-9a-f]"), h)
-        else:
-            new = F.when(ch.rlike("[0-9]"), F.translate(h, "abcdef", "135792"))
-        new = new.when(ch.rlike("[a-z]"), F.translate(h, "0123456789abcdef", "bdfghjklmnprstvz")).when(ch.rlike("[A-Z]"), F.translate(h, "0123456789abcdef", "BDFGHJKLMNPRSTVZ"))
-        return F.struct(F.concat(acc["out"], F.coalesce(new, ch)).alias("out"), F.when(new.isNotNull(), acc["k"] + 1).otherwise(acc["k"]).alias("k"))
+        digit, lower = ch.between("0", "9"), ch.between("a", "f") if hexadecimal else F.lit(False)
+        new = F.when(digit | lower, h) if hexadecimal else F.when(digit, F.translate(h, "abcdef", "012345"))
+        new = new.when(ch.between("a", "z"), F.translate(h, "0123456789abcdef", "bdfghjklmnprstvz")).when(ch.between("A", "Z"), F.translate(h, "0123456789abcdef", "BDFGHJKLMNPRSTVZ"))
+        return _let(new, lambda x: F.struct(F.concat(acc["out"], F.coalesce(x, ch)).alias("out"), (acc["k"] + x.isNotNull().cast("int")).alias("k")))
 
     return F.aggregate(F.split(text, ""), start, step, lambda acc: acc["out"])
 
@@ -93,13 +96,15 @@ def _luhn(digits: Column) -> Column:
 
 def _card(e: Column, stream: Column) -> Column:
     """Digits replaced but for the first; the last one restores the check-digit rule where the original kept it."""
-    first = F.regexp_extract(e, r"^\d", 0)
-    drawn = F.concat(first, F.substring(_masked(e, stream), 2, 100))
-    bare = F.regexp_replace(drawn, "[^0-9]", "")
-    open_ = F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit("0"))
-    check = F.pmod(F.lit(10) - F.pmod(_luhn(open_), F.lit(10)), F.lit(10)).cast("string")
-    valid = _luhn(F.regexp_replace(e, "[^0-9]", "")) % 10 == 0
-    return F.when(valid, F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
+
+    def valid(drawn: Column) -> Column:
+        bare = F.regexp_replace(drawn, "[^0-9]", "")
+        open_ = F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit("0"))
+        check = F.pmod(F.lit(10) - F.pmod(_luhn(open_), F.lit(10)), F.lit(10)).cast("string")
+        keeps = _luhn(F.regexp_replace(e, "[^0-9]", "")) % 10 == 0
+        return F.when(keeps, F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
+
+    return _let(F.concat(F.substring(e, 1, 1), F.substring(_masked(e, stream), 2, 100)), valid)
 
 
 def _pick(names: list[str], stream: Column) -> Column:
@@ -134,19 +139,21 @@ def _name(e: Column, key: str, attempt: Column) -> Column:
 
 def surrogate(e: Column, key: str, attempt: Column) -> Column:
     """The replacement of one entity."""
-    k = kind(e)
-    s = _stream(key, normal(e, k), attempt)
-    octets = F.concat_ws(".", *[(F.pmod(F.conv(F.substring(s, i, 4), 16, 10).cast("int"), F.lit(253)) + 1).cast("string") for i in (1, 5, 9, 13)])
-    mail = F.concat(_masked(F.regexp_extract(e, r"^(.*)\.[^.]+$", 1), s), F.regexp_extract(e, r"\.[^.]+$", 0))
-    country = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .-])", 0)
-    phone = F.concat(country, F.substring(_masked(F.concat(F.lit("0" * 0), e), s), F.length(country) + 1, F.lit(100)))
-    iban = F.concat(F.substring(e, 1, 2), F.substring(_masked(e, s), 3, 100))
-    prefix = F.regexp_extract(e, r"^(?:AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_])", 0)
-    token = F.when(F.length(prefix) > 0, F.concat(prefix, F.substring(_masked(e, s), F.length(prefix) + 1, F.lit(1000)))).otherwise(_masked(e, s, hexadecimal=True))
-    return (
-        F.when(k == "email", mail).when(k == "ip", octets).when(k == "card", _card(e, s)).when(k == "phone", phone)
-        .when(k == "ssn", _masked(e, s)).when(k == "iban", iban).when(k == "token", token).when(k == "name", _name(e, key, attempt)).otherwise(e)
-    )
+
+    def made(k: Column, s: Column) -> Column:
+        octets = F.concat_ws(".", *[(F.pmod(F.conv(F.substring(s, i, 4), 16, 10).cast("int"), F.lit(253)) + 1).cast("string") for i in (1, 5, 9, 13)])
+        mail = F.concat(_masked(F.regexp_extract(e, r"^(.*)\.[^.]+$", 1), s), F.regexp_extract(e, r"\.[^.]+$", 0))
+        country = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .-])", 0)
+        phone = F.concat(country, F.substring(_masked(e, s), F.length(country) + 1, F.lit(100)))
+        iban = F.concat(F.substring(e, 1, 2), F.substring(_masked(e, s), 3, 100))
+        prefix = F.regexp_extract(e, r"^(?:AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_])", 0)
+        token = F.when(F.length(prefix) > 0, F.concat(prefix, F.substring(_masked(e, s), F.length(prefix) + 1, F.lit(1000)))).otherwise(_masked(e, s, hexadecimal=True))
+        return (
+            F.when(k == "email", mail).when(k == "ip", octets).when(k == "card", _card(e, s)).when(k == "phone", phone)
+            .when(k == "ssn", _masked(e, s)).when(k == "iban", iban).when(k == "token", token).when(k == "name", _name(e, key, attempt)).otherwise(e)
+        )
+
+    return _let(kind(e), lambda k: _let(_stream(key, normal(e, k), attempt), lambda s: made(k, s)))
 
 
 def entities(text: Column) -> Column:
