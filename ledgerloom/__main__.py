@@ -1,4 +1,4 @@
-"""python -m ledgerloom run|check|test|show|profile|schema|trace|explain|snapshot|diff FILE ..."""
+"""python -m ledgerloom run|check|test|show|profile|schema|trace|explain|compile|snapshot|diff FILE ..."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ import sys
 
 from ledgerloom.errors import Diagnostic
 from ledgerloom.lang.program import Program
-from ledgerloom.plans import compare
+from ledgerloom.plans import bi, compare
 from ledgerloom.relation import Relation
 from ledgerloom.session import session
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     p = argparse.ArgumentParser(prog="ledgerloom", description=__doc__)
-    p.add_argument("command", choices=["run", "check", "test", "show", "profile", "schema", "trace", "explain", "snapshot", "diff"])
+    p.add_argument("command", choices=["run", "check", "test", "show", "profile", "schema", "trace", "explain", "compile", "snapshot", "diff"])
     p.add_argument("file")
     p.add_argument("names", nargs="*")
     p.add_argument("--rows", type=int, default=20)
@@ -63,6 +63,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             print("\n".join(program.trace(*a.names[0].rsplit(".", 1))))
         elif a.command == "explain":
             print(program.explain(a.names[0]))
+        elif a.command == "compile":
+            print("\n".join(bi.compile_models(program, a.out or ".")))
         else:
             compare.snapshot(spark, a.out or f"{a.file}.snapshot", {n: program.relation(n) for n in a.names or program.names()}, open(a.file, encoding="utf-8").read())
     except Diagnostic as e:
