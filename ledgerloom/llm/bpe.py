@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW, MASK = 16, (1 << 9) - 1
-CACHED_WORDS, CACHED_CHUNK_BYTES = 250_000, 16 << 20
+CACHED_WORDS, CACHED_CHUNK_BYTES = 150_000, 8 << 20
 
 _BLANK = b" \t\n\r\x0b\x0c"
 #: The pieces that the vocabulary's own splitting rule gives within a word, fixed by the vocabulary file.
