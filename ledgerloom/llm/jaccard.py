@@ -18,8 +18,10 @@ rows have equal ids and group as one; rows with a null id have no group (null) a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -74,6 +76,20 @@ def sketch(h: np.ndarray) -> bytes:
     return np.bincount((h >> C.U(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2" if len(h) < 65536 else "<u4").tobytes()
 
 
+def coarse(h: np.ndarray) -> tuple[list[int], int]:
+    """The same in 32 counts: eight to a 64-bit number, and how many low bits were rounded up and left out of each."""
+    count = np.bincount((h >> C.U(59)).astype(np.int64), minlength=32)
+    shift = max(0, int(count.max()).bit_length() - 7)
+    return (-(-count >> shift)).astype(np.uint8).view(np.int64).tolist(), shift
+
+
+def coarse_bound(x: str, y: str) -> Column:
+    """At most so many tokens are in both sets, from their coarse counts in the columns x0..x3, xs and y0..y3, ys."""
+    one = lambda c, i, j: F.shiftright(F.col(f"{c}{i}"), 8 * j).bitwiseAND(F.lit(255)) * F.col(f"{c}s")
+    terms = [F.least(one(x, i, j), one(y, i, j)) for i in range(4) for j in range(8)]
+    return reduce(lambda a, b: a + b, terms)
+
+
 def overlap_bound(x: bytes, y: bytes, nx: int, ny: int) -> int:
     """At most this many tokens are in both sets."""
     p, q = (np.frombuffer(b, dtype="<u2" if n < 65536 else "<u4").astype(np.int64) for b, n in ((x, nx), (y, ny)))
@@ -89,20 +105,22 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, k: int, pct: int) -> Da
         import pyarrow as pa
 
         for batch in batches:
-            n, fa, fb, prefix, sketches = [], [], [], [], []
+            n, fa, fb, prefix, sketches, counts = [], [], [], [], [], []
             for h in shingle_sets(batch.column(1), k):
                 n.append(len(h))
                 fa.append(int(C.mix(h).sum(dtype=C.U).astype(np.int64)))
                 fb.append(int(C.mix(h ^ C.U(0x5851F42D4C957F2D)).sum(dtype=C.U).astype(np.int64)))
                 prefix.append(h[: _prefix(len(h), pct, 2)].view(np.int64))
                 sketches.append(sketch(h))
+                w, shift = coarse(h)
+                counts.append([*w, 1 << shift])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n", "fa", "fb", "prefix", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(counts, pa.list_(pa.int64()))],
+                ["doc_id", "n", "fa", "fb", "prefix", "sketch", "counts"],
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(make, "doc_id long, n long, fa long, fb long, prefix array<long>, sketch binary")
+    return rows.mapInArrow(make, "doc_id long, n long, fa long, fb long, prefix array<long>, sketch binary, counts array<long>")
 
 
 def _keys(reps: DataFrame, pct: int) -> DataFrame:
@@ -203,22 +221,25 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "jaccard")
     signed = scratch.keep(_signatures(docs, doc_id, text, k, pct), "signed")
-    reps = signed.filter("n > 0 and doc_id is not null").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    reps = signed.filter("n > 0 and doc_id is not null").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("counts").alias("counts"))
     reps = scratch.keep(reps, "reps")
     keys = scratch.keep(_keys(reps, pct), "keys")
     scratch.free()
     links = tried = comp = None
+    counts = reps.select("id", *[F.col("counts")[i].alias(f"p{'0123s'[i]}") for i in range(5)])
     for turn in range(STARS + 1):
-        posts = keys.withColumn("c", F.col("id"))
+        posts = keys.join(counts, "id").withColumn("c", F.col("id"))
         if comp is not None:
-            posts = keys.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+            posts = posts.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
             live = posts.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
             posts = posts.join(live, "key")
         rank = F.xxhash64(F.lit(turn), F.col("id")) if turn else F.col("id")
-        other = posts.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), rank.alias("r"))
+        other = posts.select("key", rank.alias("r"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), *[F.col(f"p{i}").alias(f"q{i}") for i in "0123s"])
         if turn < STARS:
-            other = other.groupBy("key").agg(F.min(F.struct("r", "x", "nx", "cx")).alias("o")).select("key", "o.*")
-        met = posts.join(other, "key").filter((F.col("c") != F.col("cx")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * pct))
+            other = other.groupBy("key").agg(F.min(F.struct("r", "x", "nx", "cx", *[f"q{i}" for i in "0123s"])).alias("o")).select("key", "o.*")
+        fits = (F.col("c") != F.col("cx")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * pct)
+        fits = fits & (coarse_bound("p", "q") * (100 + pct) >= (F.col("n") + F.col("nx")) * pct)
+        met = posts.join(other, "key").filter(fits if turn < STARS else fits & (F.col("id") < F.col("x")))
         met = met.withColumns({"a": F.least("id", "x"), "b": F.greatest("id", "x")})
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
@@ -235,7 +256,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
             links = fresh if links is None else links.unionByName(fresh)
             comp = scratch.keep(components(scratch, links), "components")
         scratch.free()
-    named = signed.drop("prefix", "sketch").join(reps.select("fa", "fb", "n", "id"), ["fa", "fb", "n"], "left")
+    named = signed.drop("prefix", "sketch", "counts").join(reps.select("fa", "fb", "n", "id"), ["fa", "fb", "n"], "left")
     if comp is not None:
         named = named.join(comp, "id", "left")
     else:
