@@ -15,6 +15,7 @@ _SQL: dict[str, str] = {}
 
 
 def query(f):
+    """Register a query; its SQL, if it has any, is in _SQL under the same name."""
     _QUERIES[f.__name__] = f
     return f
 
@@ -131,3 +132,29 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.replace(docs, key="surrogates 1", found="kinds")
     return out.select("doc_id", F.size("kinds").cast("long").alias("n_entities"), F.array_join("kinds", ",").alias("kinds"), "text")
+
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(regexp_split_to_array({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+_SQL["op6_decontamination"] = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS key
+            FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM windows) s WHERE len(w) >= size),
+hits AS (SELECT doc_id, i, size, item FROM (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS key FROM places) JOIN windows USING (size, key)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+_SQL["op9_chat_format"] = r"""
+WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT *, contains(text, '</turn>' || chr(10)) OR contains(role, '</turn>' || chr(10)) OR contains(role, '>' || chr(10)) OR regexp_matches(role || ' ' || text, '\\[slg]') AS clash FROM c),
+f AS (SELECT *, 16 + length(role) + length(text) + CASE WHEN clash THEN length(regexp_replace(role || text, '[^\\<>]', '', 'g')) ELSE 0 END AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
