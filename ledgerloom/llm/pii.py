@@ -42,11 +42,11 @@ PATTERNS = {
     "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "token": r"(?<!\w)(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,})(?!\w)",
-    "name": rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? (?:{_NAME} )?{_NAME}|(?:{_ANY_GIVEN}) {_NAME})(?!\w)",
+    "name": rf"(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? (?:{_NAME} )?{_NAME}|(?:{_ANY_GIVEN}) {_NAME})(?!\w)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap test that every text with an entity passes.
-MAYBE = rf"[0-9]{{2}}|@|(?<!\w)(?:{'|'.join(TITLES)})\.? |(?<!\w)(?:sk|pk|ghp|gho|xox[abp])[-_]|(?:{_ANY_GIVEN}) "
+#: A cheap test that every text with an entity passes: names are only tried at capital letters.
+MAYBE = rf"[0-9]{{2}}|@|(?:sk|pk|gh[po]|xox[abp])[-_]|(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? |(?:{_ANY_GIVEN}) )"
 EXCEPTIONS = 100_000
 
 
