@@ -276,7 +276,7 @@ def database_file(spark: SparkSession, path: str, query: str) -> DataFrame:
 
     con = duckdb.connect(path, read_only=True)
     try:
-        return spark.createDataFrame(con.execute(query.rstrip().rstrip(";")).fetch_arrow_table().to_pandas())
+        return spark.createDataFrame(con.execute(query.rstrip().rstrip(";")).fetchdf())
     finally:
         con.close()
 

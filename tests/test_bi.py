@@ -27,7 +27,7 @@ def test_model(spark, tmp_path):
     p = Program.from_text(spark, TEXT % "", str(tmp_path))
     (top,) = bi.compile_models(p, str(tmp_path), "/data")
     sales = open(f"{top}/definition/tables/sales.tmdl").read()
-    assert "measure revenue = DIVIDE(SUM('sales'[amount]), COUNTROWS('sales'))" in sales and "isHidden" in sales and "dataType: decimal" in sales
+    assert "measure revenue = DIVIDE(SUM('sales'[amount]), COUNTROWS('sales'))" in sales and "isHidden" in sales and "dataType: double" in sales
     assert "column area" in open(f"{top}/definition/tables/customers.tmdl").read()
     rel = open(f"{top}/definition/relationships.tmdl").read()
     assert rel.count("relationship ") == 2 and rel.count("isActive: false") == 1
