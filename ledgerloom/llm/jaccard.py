@@ -18,6 +18,7 @@ rows have equal ids and group as one; rows with a null id have no group (null) a
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -239,7 +240,13 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
             other = other.groupBy("key").agg(F.min(F.struct("r", "x", "nx", "cx", *[f"q{i}" for i in "0123s"])).alias("o")).select("key", "o.*")
         fits = (F.col("c") != F.col("cx")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * pct)
         fits = fits & (coarse_bound("p", "q") * (100 + pct) >= (F.col("n") + F.col("nx")) * pct)
-        met = posts.join(other, "key").filter(fits if turn < STARS else fits & (F.col("id") < F.col("x")))
+        if turn < STARS:
+            met = posts.join(other, "key").filter(fits)
+        else:  # similar sizes are in one size class or in neighbouring ones
+            step = math.log(100 / pct) * 1.0001 if pct < 100 else 1e-9
+            size = lambda c: F.floor(F.log(F.col(c).cast("double")) / step).cast("long")
+            near = other.withColumn("size", F.explode(F.array(size("nx") - 1, size("nx"), size("nx") + 1)))
+            met = posts.withColumn("size", size("n")).join(near, ["key", "size"]).filter(fits & (F.col("id") < F.col("x")))
         met = met.withColumns({"a": F.least("id", "x"), "b": F.greatest("id", "x")})
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
