@@ -45,8 +45,9 @@ PATTERNS = {
     "name": rf"(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? (?:{_NAME} )?{_NAME}|(?:{_ANY_GIVEN}) {_NAME})(?!\w)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap test that every text with an entity passes: names are only tried at capital letters.
-MAYBE = rf"[0-9]{{2}}|@|(?:sk|pk|gh[po]|xox[abp])[-_]|(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? |(?:{_ANY_GIVEN}) )"
+#: A cheap test that every text with an entity passes: two digits side by side or with one separator between (all kinds of numbers), or
+#: what e-mail addresses, tokens and names hold beside digits; names are only tried at capital letters.
+MAYBE = rf"[0-9][ .-]?[0-9]|@|[0-9a-f]{{32}}|AKIA|(?:sk|pk|gh[po]|xox[abp])[-_]|(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? |(?:{_ANY_GIVEN}) )"
 EXCEPTIONS = 100_000
 
 
