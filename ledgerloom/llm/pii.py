@@ -148,7 +148,7 @@ def surrogate(e: Column, key: str, attempt: Column) -> Column:
         phone = F.concat(country, F.substring(_masked(e, s), F.length(country) + 1, F.lit(100)))
         iban = F.concat(F.substring(e, 1, 2), F.substring(_masked(e, s), 3, 100))
         prefix = F.regexp_extract(e, r"^(?:AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_])", 0)
-        token = F.when(F.length(prefix) > 0, F.concat(prefix, F.substring(_masked(e, s), F.length(prefix) + 1, F.lit(1000)))).otherwise(_masked(e, s, hexadecimal=True))
+        token = F.when(F.length(prefix) > 0, F.concat(prefix, F.substring(_masked(e, s), F.length(prefix) + 1, F.length(e)))).otherwise(_masked(e, s, hexadecimal=True))
         return (
             F.when(k == "email", mail).when(k == "ip", octets).when(k == "card", _card(e, s)).when(k == "phone", phone)
             .when(k == "ssn", _masked(e, s)).when(k == "iban", iban).when(k == "token", token).when(k == "name", _name(e, key, attempt)).otherwise(e)

@@ -209,6 +209,13 @@ def test_every_kind_is_found_alone(spark):
     assert all(out[i].text != t for i, (_, t) in enumerate(alone))
 
 
+def test_long_tokens_keep_their_length(spark):
+    secret = "sk-" + "aB3_x-9Z" * 400
+    got = pii.replace(spark.createDataFrame([(1, f"key {secret}.", "s", "i")], SCHEMA), "k").first().text
+    assert len(got) == len(secret) + 5 and got.startswith("key sk-") and got.endswith(".") and secret[3:] not in got
+    assert [re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t))) for t in (got[4:-1], secret)] == ["aa-" + "aA0_a-0A" * 400] * 2
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With nearly no room every entity still gets a replacement of its own, none of them an original."""
     rows = [(i, f"ip 10.0.0.{i}", "s", "i") for i in range(40)]
