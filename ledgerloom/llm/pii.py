@@ -40,14 +40,16 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)",
     "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "token": r"(?<!\w)(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,})(?!\w)",
+    "iban": r"(?<!\w)(?![0-9A-F]{32,128}(?!\w))[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "token": r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,})(?!\w)",
     "name": rf"(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? (?:{_NAME} )?{_NAME}|(?:{_ANY_GIVEN}) {_NAME})(?!\w)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every text with an entity passes: two digits side by side or with one separator between (all kinds of numbers), or
 #: what e-mail addresses, tokens and names hold beside digits; names are only tried at capital letters.
-MAYBE = rf"[0-9][ .-]?[0-9]|@|[0-9a-f]{{32}}|AKIA|(?:sk|pk|gh[po]|xox[abp])[-_]|(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? |(?:{_ANY_GIVEN}) )"
+MAYBE = rf"[0-9][ .-]?[0-9]|@|[0-9a-f]{{32}}|[0-9A-F]{{32}}|AKIA|(?:sk|pk|gh[po]|xox[abp])[-_]|(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? |(?:{_ANY_GIVEN}) )"
+#: Tokens whose case is a spelling.
+HEXADECIMAL = "^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$"
 EXCEPTIONS = 100_000
 
 
@@ -61,7 +63,7 @@ def kind(e: Column) -> Column:
 def normal(e: Column, k: Column) -> Column:
     """The form that spellings of one entity share."""
     digits = F.regexp_replace(e, "[^0-9]", "")
-    return F.concat_ws(":", k, F.when(k.isin("card", "phone", "ssn"), digits).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(k == "email", F.lower(e)).otherwise(e))
+    return F.concat_ws(":", k, F.when(k.isin("card", "phone", "ssn"), digits).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).when((k == "email") | (k == "token") & e.rlike(HEXADECIMAL), F.lower(e)).otherwise(e))
 
 
 def _stream(key: str, norm: Column, attempt: Column) -> Column:
@@ -148,7 +150,9 @@ def surrogate(e: Column, key: str, attempt: Column) -> Column:
         phone = F.concat(country, F.substring(_masked(e, s), F.length(country) + 1, F.lit(100)))
         iban = F.concat(F.substring(e, 1, 2), F.substring(_masked(e, s), 3, 100))
         prefix = F.regexp_extract(e, r"^(?:AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_])", 0)
-        token = F.when(F.length(prefix) > 0, F.concat(prefix, F.substring(_masked(e, s), F.length(prefix) + 1, F.length(e)))).otherwise(_masked(e, s, hexadecimal=True))
+        digits = _masked(F.lower(e), s, hexadecimal=True)
+        bare = F.when(e.rlike("[A-F]"), F.upper(digits)).otherwise(digits)
+        token = F.when(F.length(prefix) > 0, F.concat(prefix, F.substring(_masked(e, s), F.length(prefix) + 1, F.length(e)))).otherwise(bare)
         return (
             F.when(k == "email", mail).when(k == "ip", octets).when(k == "card", _card(e, s)).when(k == "phone", phone)
             .when(k == "ssn", _masked(e, s)).when(k == "iban", iban).when(k == "token", token).when(k == "name", _name(e, key, attempt)).otherwise(e)

@@ -209,6 +209,15 @@ def test_every_kind_is_found_alone(spark):
     assert all(out[i].text != t for i, (_, t) in enumerate(alone))
 
 
+def test_hexadecimal_tokens_in_upper_case(spark):
+    secret = "9233a8ec4d6b0f1e9233a8ec4d6b0f1e9233329b"
+    texts = [f"token={secret}", f"TOKEN={secret.upper()}", "AB12" * 8]  # the last could be a bank account by its first characters
+    out = {r.doc_id: r for r in pii.replace(spark.createDataFrame([(i, t, "s", "i") for i, t in enumerate(texts)], SCHEMA), "k", found="kinds").collect()}
+    assert [out[i].kinds for i in range(3)] == [["token"]] * 3
+    assert re.fullmatch("TOKEN=[0-9A-F]{40}", out[1].text) and out[1].text == out[0].text.upper() and secret not in out[0].text
+    assert re.fullmatch("[0-9A-F]{32}", out[2].text) and out[2].text != texts[2]
+
+
 def test_long_tokens_keep_their_length(spark):
     secret = "sk-" + "aB3_x-9Z" * 400
     got = pii.replace(spark.createDataFrame([(1, f"key {secret}.", "s", "i")], SCHEMA), "k").first().text
