@@ -1,3 +1,5 @@
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 import pytest
@@ -5,6 +7,7 @@ import pytest
 from ledgerloom.errors import AnalysisError, RunError
 from ledgerloom.operators import subsets
 from ledgerloom.operators.reconcile import Policy, Run, Subset, Tier
+from ledgerloom.queries import reconciling
 from ledgerloom.relation import Relation
 
 
@@ -104,3 +107,20 @@ def test_subset_tier(spark):
     assert {x for x, _ in got} == {1, 2} and len({y for _, y in got}) == 3  # the copies of 100 are shared out
     with pytest.raises(AnalysisError):
         Run(a, b, Policy((Tier("x", subset=Subset("b", "amount", "amount", max_items=17)),)))
+
+
+def test_subset_query_matches_brute_force(spark, tmp_path):
+    """Orders whose payout is a combination of four and more lines, up to a dozen."""
+    orders = {1: [1, 2, 4, 8, -16, -32], 2: [1, 2, 3], 3: [10, 20, 30, 40, -60], 4: [2**i for i in range(9)] + [-512], 5: [2**i for i in range(12)], 6: [5, -7], 7: [-7]}  # lines that are not paid: below 0
+    lines = [(o, 1 + i % 2 if q > 0 else 3, abs(q)) for o, qs in orders.items() for i, q in enumerate(qs)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = []
+    for o in orders:
+        own = [(n, q) for k, n, q in lines if k == o]
+        paid = sum(q for n, q in own if n <= 2)
+        fit = [c for k in range(1, len(own) + 1) for c in combinations(own, k) if sum(q for _, q in c) == paid]
+        best = [c for c in fit if len(c) == len(fit[0])] if fit else []
+        if len(best) == 1:
+            want += [(o, paid, n, q, len(fit)) for n, q in best[0]]
+    assert {sum(w[0] == o for w in want) for o in (1, 4, 5)} == {4, 9, 12}
+    assert sorted(map(tuple, reconciling.reconcile_subset_sum(spark, str(tmp_path)).collect())) == sorted(want)
