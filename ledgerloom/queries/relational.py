@@ -173,6 +173,33 @@ for _name, _op, _left in (("asof_join", ">=", False), ("asof_strict", ">", False
         return P.select(P.asof(probes, facts, (("user_id", "user_id"),), ("ts", op, "at"), left), "event_id", "ts", "at", "seen").df
 
 
+# the same over whole tables; every order has its customer, so semi and anti joins ask for orders with and without lines
+for _how in ("left", "right", "full"):
+    @query(f"join_{_how}_whole", f"""
+    SELECT coalesce({'o_custkey, c_custkey' if _how == 'right' else 'c_custkey, o_custkey'}) AS cust, c_name, o_orderkey FROM customer {_how.upper()} JOIN orders ON c_custkey = o_custkey
+    """)
+    def _join_whole(spark, d, how=_how) -> DataFrame:
+        c = P.select(table(spark, d, "customer"), "c_name", cust="c_custkey")
+        return P.join(c, P.select(table(spark, d, "orders"), "o_orderkey", cust="o_custkey"), ("cust",), how).df
+
+
+for _kind, _not in (("semi", ""), ("anti", "NOT ")):
+    @query(f"join_{_kind}_whole", f"SELECT o_orderkey FROM orders WHERE {_not}EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+    def _semi_whole(spark, d, anti=_kind == "anti") -> DataFrame:
+        return P.semi(P.select(table(spark, d, "orders"), "o_orderkey"), P.select(table(spark, d, "lineitem"), o_orderkey="l_orderkey"), ("o_orderkey",), anti=anti).df
+
+
+for _name, _op, _left in (("asof_join", ">=", False), ("asof_strict", ">", False), ("asof_forward", "<=", False), ("asof_left_join", ">", True)):
+    @query(f"{_name}_whole", f"""
+    SELECT p.event_id, p.ts, f.at, f.seen FROM events p ASOF {'LEFT ' if _left else ''}JOIN (SELECT user_id, ts AS at, min(event_id) AS seen FROM events GROUP BY ALL) f
+    ON p.user_id = f.user_id AND p.ts {_op} f.at
+    """)
+    def _asof_whole(spark, d, op=_op, left=_left) -> DataFrame:
+        e = table(spark, d, "events", ("event_id",))
+        facts = Relation(e.df.groupBy("user_id", F.col("ts").alias("at")).agg(F.min("event_id").alias("seen")), name="facts", identity=("user_id", "at"))
+        return P.select(P.asof(P.select(e, "event_id", "user_id", "ts"), facts, (("user_id", "user_id"),), ("ts", op, "at"), left), "event_id", "ts", "at", "seen").df
+
+
 _TIES = "o_orderkey NULLS LAST, o_orderstatus NULLS LAST, price NULLS LAST, o_orderdate NULLS LAST"
 
 

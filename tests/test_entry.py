@@ -51,3 +51,16 @@ def test_against_sql(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["a_o_orderkey", "b_entry", "tier"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_joins_over_whole_tables(spark, con):
+    """Every row of the tables is met; the queries' rows are compared with their SQL above."""
+    q, keys = catalog.queries(), lambda sql: {r[0] for r in con.execute(sql).fetchall()}
+    orders, events = keys("select o_orderkey from orders"), keys("select event_id from events")
+    for how in ("left", "right", "full"):
+        got = q[f"join_{how}_whole"](spark, SF).collect()
+        assert {r.o_orderkey for r in got} - {None} == orders
+        assert how == "right" or {r.cust for r in got} >= keys("select c_custkey from customer")
+    semi, anti = ({r.o_orderkey for r in q[f"join_{k}_whole"](spark, SF).collect()} for k in ("semi", "anti"))
+    assert semi and anti and not semi & anti and semi | anti == orders
+    assert {r.event_id for r in q["asof_join_whole"](spark, SF).collect()} == {r.event_id for r in q["asof_left_join_whole"](spark, SF).collect()} == events
