@@ -125,12 +125,23 @@ def csv_section(spark: SparkSession, text: str, section: int | None = None, deli
     return _rows(spark, names, [f + [None] * (width - len(f)) for _, f in body], row_number)
 
 
+def _head(spark: SparkSession, path: str) -> str:
+    """The file's first lines, a megabyte at least if it is that long."""
+    n = 200
+    while True:
+        lines = [r[0] for r in spark.read.text(path).limit(n).collect()]
+        text = "\n".join(lines)
+        if len(lines) < n or len(text) >= HEAD:
+            return text
+        n *= 8
+
+
 def csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, section: int | None = None, ragged: bool = False, row_number: str | None = None) -> DataFrame:
     """All columns as text. Sections and row numbers need the file's order and read it whole; else Spark splits it among tasks."""
     if section is not None or row_number:
         text = spark.read.text(path, wholetext=True).first()[0]
         return csv_section(spark, text.removeprefix("﻿"), section, delimiter, header, ragged, row_number)
-    head = "\n".join(r[0] for r in spark.read.text(path).limit(200).collect())
+    head = _head(spark, path)
     d = delimiter or guess_delimiter(head)
     first = split_line_fields(head.removeprefix("﻿"), d)
     names = header_names(first[0][1]) if header else [f"column_{i + 1}" for i in range(len(first[0][1]))]

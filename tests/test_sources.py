@@ -52,6 +52,14 @@ def test_csv_in_parallel(spark, tmp_path):
         R.csv(spark, str(p)).collect()
 
 
+def test_csv_guesses_from_the_first_megabyte(spark, tmp_path):
+    """Over the first 250 lines , and ; are as good as each other."""
+    text = "price, net;name\n" + "1,5;x\n" * 250 + "2;y\n" * 300
+    (tmp_path / "a.csv").write_text(text)
+    got, whole = R.csv(spark, str(tmp_path / "a.csv")), R.csv_section(spark, text)
+    assert got.columns == whole.columns and sorted(got.collect()) == sorted(whole.collect()) and got.filter("name = 'y'").count() == 300
+
+
 def test_fixed_width(spark, tmp_path):
     p = tmp_path / "roll.txt"
     p.write_bytes(b"A01    720240105001234A02  12a00000000-00050")
