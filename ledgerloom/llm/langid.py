@@ -181,7 +181,7 @@ def fit(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang
     """Learn from rows for which ``training`` holds and ``lang`` is known.
 
     Of each language at most ``max_docs`` documents, those with the smallest hashes of their ids, and of these together at most
-    ``max_chars`` characters are taken. The window that chooses them sees ids only.
+    ``max_chars`` characters are taken, of each document the first eighth of that at most. The window that chooses them sees ids only.
     """
     w = Window.partitionBy(lang).orderBy(F.xxhash64(F.lit("lang"), F.col(doc_id)), doc_id)
     ids = (
