@@ -215,5 +215,36 @@ def arrow_udf(returns: str):
 
 def table_print(df: DataFrame, text: str) -> DataFrame:
     """df with _p, a fingerprint of its text by which equal texts can be joined."""
-    c = F.col(text)
-    return df.withColumn("_p", F.concat_ws(":", F.length(c), F.xxhash64(c), F.hash(c)))
+    return df.withColumn("_p", text_print(F.col(text)))
+
+
+def text_print(c: Column) -> Column:
+    return F.concat_ws(":", F.length(c), F.xxhash64(c), F.hash(c))
+
+
+def free_name(names, wish: str) -> str:
+    """``wish``, with underscores in front until no column has that name (names are compared without case)."""
+    taken = {n.lower() for n in names}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
+def hashed_bitmap(ids: DataFrame, column: str):
+    """A function from a long column to whether its hash is among those of ``ids``: 2**24 bits, so 2 MB at any size; null is not."""
+    import pyarrow as pa
+
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << 24))
+    words = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32768).cast("int").alias("w")).agg(F.bitmap_construct_agg((F.col("s") % 32768).cast("long")).alias("b")).collect()
+    bitmap = np.zeros((512, 4096), dtype=np.uint8)
+    for r in words:
+        bitmap[r["w"]] = np.frombuffer(r["b"], dtype=np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap.ravel())
+
+    def test(at: pa.Array) -> pa.Array:
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & (at >= 0))
+
+    test.__annotations__ = {"at": pa.Array, "return": pa.Array}
+    probe = F.arrow_udf(test, "boolean")
+    return lambda c: probe(F.when(c.isNotNull(), F.pmod(F.xxhash64(c), F.lit(1 << 24))))
