@@ -1,19 +1,27 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Entities are found by patterns: e-mail addresses, IPv4 addresses, payment cards and other long numbers, phone and social
-security numbers, bank accounts, access tokens, and names that follow a title or begin with a listed given name. Each gets a replacement
-that a key and the entity's normal form determine: characters keep their class (digit, lower, upper, hexadecimal) and
-separators their places, cards that pass the check-digit rule still do, address bytes stay valid, given names keep gender and script, titles stay.
-So equal entities, also in other spellings, stay equal across all documents (coreference).
+security numbers, bank accounts, access tokens, and names that follow a title or a cue ("my name is", "Dear") or begin with a listed given
+name. Each gets a replacement that a key and the entity's normal form determine: characters keep their class (digit, lower, upper,
+hexadecimal) and separators their places, cards that pass the check-digit rule still do, address bytes stay valid, names keep
+script and case, given names gender where a title or the list tells it (else a neutral one), titles stay. A person's words are replaced one by
+one, so "Frau Keller" and "Anna Keller" keep a common family name. So equal entities, also in other spellings, stay
+equal across all documents (coreference).
 
 Distinctness is checked over the corpus: replacements that two entities share, or that are themselves an entity of the
-corpus, are drawn again with the next attempt for all but the smallest entity until none is left. The exceptions, rarely any, are joined back.
+corpus, are drawn again for all but the smallest entity, round by round, and only these. As attempts go on
+replacements grow by further characters, so there is always room for one more. The exceptions, rarely any, are looked up in hash sets up to
+EXCEPTIONS of them, and joined beyond.
 
-Defined cases: null and empty texts have no entities and stay; equal texts get equal results; a table without entities is returned as it is.
+Defined cases: null and empty texts have no entities and stay; equal texts get equal results; a table without entities is returned as it is;
+columns of any name are kept; an address has at most 126 labels of 63 characters, what is longer is none; texts of any length are searched whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +31,20 @@ from . import common as C
 GIVEN = {
     "f": ["Alice", "Anna", "Barbara", "Carmen", "Claire", "Elena", "Emma", "Greta", "Ingrid", "Julia", "Karen", "Laura", "Linda", "Maria", "Marie", "Mary", "Nina", "Olivia", "Sarah", "Sofia"],
     "m": ["Adam", "Carlos", "Daniel", "David", "Erik", "Felix", "Hans", "Henri", "Jack", "James", "John", "Karl", "Lucas", "Marco", "Michael", "Oliver", "Paul", "Peter", "Robert", "Thomas"],
+    "n": ["Alex", "Chris", "Jamie", "Kim", "Robin", "Sam", "Sasha", "Toni"],
     "fc": ["Анна", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна"],
     "mc": ["Александр", "Алексей", "Андрей", "Дмитрий", "Иван", "Михаил", "Николай", "Сергей"],
+    "nc": ["Женя", "Саша", "Слава", "Шура"],
 }
+#: First letters, vowels and last letters of the syllables of made-up names, and endings of given names by gender.
+SCRIPTS = {
+    "Latin": ("bdfghjklmnprstvz", "aeiou", ["", "l", "m", "n", "r", "s", "t", "k"], {"f": ["a", "ia", "ina", "ela"], "m": ["o", "an", "us", "ik"], "n": ["i", "e", "en", "is"]}),
+    "Cyrillic": ("бвгджзклмнпрстфх", "аеиоу", ["", "л", "м", "н", "р", "с", "т", "к"], {"f": ["а", "ия", "ина", "ела"], "m": ["ан", "ор", "ик", "ей"], "n": ["и", "е", "ю", "о"]}),
+    "Greek": ("βγδζθκλμνξπρστφχ", "αειου", ["", "λ", "μ", "ν", "ρ", "σ", "τ", "κ"], {"f": ["α", "ια", "ινα", "ελα"], "m": ["ος", "ας", "ης", "ις"], "n": ["ι", "ο", "υ", "ε"]}),
+    "Armenian": ("բգդզթլխկհմնպռստր", "աեիոու", ["", "լ", "մ", "ն", "ր", "ս", "տ", "կ"], {"f": ["ա", "իա", "ինա", "ելա"], "m": ["ան", "որ", "իկ", "ուս"], "n": ["ի", "ե", "են", "ո"]}),
+}
+#: What is said before a name of two words or more.
+CUES = ["name is", "Name:", "Dear", "Sincerely,", "Regards,", "Signed,"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"]
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr"]
 TITLES = [*FEMALE_TITLES, *MALE_TITLES, "Dr", "Prof"]
@@ -35,19 +54,19 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 _ANY_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)",
     "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)",
     "iban": r"(?<!\w)(?![0-9A-F]{32,128}(?!\w))[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "token": r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,})(?!\w)",
-    "name": rf"(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? (?:{_NAME} )?{_NAME}|(?:{_ANY_GIVEN}) {_NAME})(?!\w)",
+    "name": rf"(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? (?:{_NAME} )?{_NAME}|(?:{_ANY_GIVEN}) {_NAME}|(?<=(?:{'|'.join(CUES)}) ){_NAME}(?: {_NAME}){{1,3}})(?!\w)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every text with an entity passes: two digits side by side or with one separator between (all kinds of numbers), or
 #: what e-mail addresses, tokens and names hold beside digits; names are only tried at capital letters.
-MAYBE = rf"[0-9][ .-]?[0-9]|@|[0-9a-f]{{32}}|[0-9A-F]{{32}}|AKIA|(?:sk|pk|gh[po]|xox[abp])[-_]|(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? |(?:{_ANY_GIVEN}) )"
+MAYBE = rf"[0-9][ .-]?[0-9]|@|[0-9a-f]{{32}}|[0-9A-F]{{32}}|AKIA|(?:sk|pk|gh[po]|xox[abp])[-_]|(?=\p{{Lu}})(?<!\w)(?:(?:{'|'.join(TITLES)})\.? |(?:{_ANY_GIVEN}) |(?<=(?:{'|'.join(CUES)}) )\p{{Lu}})"
 #: Tokens whose case is a spelling.
 HEXADECIMAL = "^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$"
 EXCEPTIONS = 100_000
@@ -55,7 +74,8 @@ EXCEPTIONS = 100_000
 
 def kind(e: Column) -> Column:
     out = F.lit(None).cast("string")
-    for k, p in reversed(PATTERNS.items()):
+    alone = {**PATTERNS, "name": rf"{PATTERNS['name']}|{_NAME}(?: {_NAME})+"}  # a cue is not part of its name
+    for k, p in reversed(alone.items()):
         out = F.when(e.rlike(f"^(?:{p})$"), k).otherwise(out)
     return out
 
@@ -78,14 +98,14 @@ def _let(value: Column, body) -> Column:
 
 
 def _masked(text: Column, stream: Column, hexadecimal: bool = False) -> Column:
-    """Each letter and digit replaced in its class; the k-th of them by the k-th digit of the stream, so that separators don't matter."""
+    """Each letter and digit replaced by any of its class; the k-th of them by the k-th draw from the stream, so that separators don't matter."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
 
     def step(acc: Column, ch: Column) -> Column:
-        h = F.substring(stream, F.pmod(acc["k"], F.lit(128)) + 1, F.lit(1))
-        digit, lower = ch.between("0", "9"), ch.between("a", "f") if hexadecimal else F.lit(False)
-        new = F.when(digit | lower, h) if hexadecimal else F.when(digit, F.translate(h, "abcdef", "012345"))
-        new = new.when(ch.between("a", "z"), F.translate(h, "0123456789abcdef", "bdfghjklmnprstvz")).when(ch.between("A", "Z"), F.translate(h, "0123456789abcdef", "BDFGHJKLMNPRSTVZ"))
+        draw = F.xxhash64(stream, acc["k"])
+        one = lambda chars: F.substring(F.lit(chars), F.pmod(draw, F.lit(len(chars))).cast("int") + 1, F.lit(1))
+        new = F.when(ch.between("0", "9") | ch.between("a", "f"), one("0123456789abcdef")) if hexadecimal else F.when(ch.between("0", "9"), one("0123456789"))
+        new = new.when(ch.between("a", "z"), one(ascii_lowercase)).when(ch.between("A", "Z"), one(ascii_uppercase))
         return _let(new, lambda x: F.struct(F.concat(acc["out"], F.coalesce(x, ch)).alias("out"), (acc["k"] + x.isNotNull().cast("int")).alias("k")))
 
     return F.aggregate(F.split(text, ""), start, step, lambda acc: acc["out"])
@@ -107,55 +127,120 @@ def _card(e: Column, stream: Column) -> Column:
         keeps = _luhn(F.regexp_replace(e, "[^0-9]", "")) % 10 == 0
         return F.when(keeps, F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
 
-    return _let(F.concat(F.substring(e, 1, 1), F.substring(_masked(e, stream), 2, 100)), valid)
+    return _let(F.concat(F.substring(e, 1, 1), F.substring(_masked(e, stream), F.lit(2), F.length(e))), valid)
+
+
+def _by_script(word: Column, make: Callable[[str], Column]) -> Column:
+    out = make("Latin")
+    for script in SCRIPTS:
+        if script != "Latin":
+            out = F.when(word.rlike(rf"\p{{Is{script}}}"), make(script)).otherwise(out)
+    return out
+
+
+def _choice(options, draw: Column) -> Column:
+    return F.get(F.array(*map(F.lit, options)), F.pmod(draw, F.lit(len(options))).cast("int"))
+
+
+def _made_up(script: str, stream: Column, syllables: int, attempt: Column) -> Column:
+    """A word of so many syllables, and one more for each attempt beyond the seventh."""
+    first, vowels, last, _ = SCRIPTS[script]
 
+    def one(i: Column) -> Column:
+        draw = F.xxhash64(stream, i)
+        return F.concat(_choice(first, draw), _choice(vowels, F.shiftright(draw, 16)), _choice(last, F.shiftright(draw, 32)))
 
-def _pick(names: list[str], stream: Column) -> Column:
-    return F.get(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substring(stream, 1, 6), 16, 10).cast("int"), F.lit(len(names))))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(syllables) + F.greatest(attempt - 7, F.lit(0))), one), "")
+
+
+def _cased(word: Column, new: Column) -> Column:
+    return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(new)).otherwise(F.initcap(new))
+
+
+def family_unit(word: Column) -> Column:
+    return F.concat(F.lit("family:"), F.lower(word))
 
 
 def _family(word: Column, key: str, attempt: Column) -> Column:
-    """A family name from syllables of the word's script; it depends on the word alone, so titles and given names don't matter."""
-    s = _stream(key, F.concat(F.lit("family:"), word), attempt)
-    latin = ["bar", "den", "fel", "gor", "hal", "kin", "lan", "mor", "nor", "pel", "ros", "sten", "tal", "ver", "wil", "zan"]
-    cyrillic = ["бар", "вер", "гор", "дол", "жар", "зим", "кон", "лес", "мор", "нов", "пет", "ряб", "сок", "тар", "фед", "чер"]
-    part = lambda words, i: F.get(F.array(*map(F.lit, words)), F.conv(F.substring(s, i, 1), 16, 10).cast("int"))
-    make = lambda words: F.initcap(F.concat(*[part(words, i) for i in (1, 2, 3, 4)]))
-    return F.when(word.rlike(r"\p{IsCyrillic}"), make(cyrillic)).otherwise(make(latin))
+    """A family name of the word's script; it depends on the word alone, so titles and given names don't matter."""
+    stream = _stream(key, family_unit(word), attempt)
+    return _let(stream, lambda s: _cased(word, _by_script(word, lambda script: _made_up(script, s, 3, attempt))))
+
+
+def _gender(word: Column, title: Column) -> Column:
+    """f, m or n by the title before the name, else by the list."""
+    by_list = F.when(word.isin(GIVEN["f"] + GIVEN["fc"]), "f").when(word.isin(GIVEN["m"] + GIVEN["mc"]), "m").otherwise("n")
+    return F.when(title.rlike(f"^(?:{'|'.join(FEMALE_TITLES)})\\.?$"), "f").when(title.rlike(f"^(?:{'|'.join(MALE_TITLES)})\\.?$"), "m").otherwise(by_list)
+
+
+def given_unit(word: Column, gender: Column) -> Column:
+    return F.concat(F.lit("given:"), gender, F.lit(":"), F.lower(word))
 
 
-def _name(e: Column, key: str, attempt: Column) -> Column:
-    words = F.split(e, " ")
-    titled = F.get(words, F.lit(0)).rlike(f"^(?:{'|'.join(TITLES)})\\.?$")
+def _given(word: Column, gender: Column, key: str, attempt: Column) -> Column:
+    """A given name of the word's script and the gender: a listed one at first, then made-up ones, of which there is no end."""
 
-    def given(word: Column) -> Column:
-        s = _stream(key, F.concat(F.lit("given:"), word), attempt)
-        female = F.get(words, F.lit(0)).rlike(f"^(?:{'|'.join(FEMALE_TITLES)})\\.?$") | word.isin(GIVEN["f"] + GIVEN["fc"])
-        out = F.when(female, _pick(GIVEN["f"], s)).otherwise(_pick(GIVEN["m"], s))
-        return F.when(word.rlike(r"\p{IsCyrillic}"), F.when(female, _pick(GIVEN["fc"], s)).otherwise(_pick(GIVEN["mc"], s))).otherwise(out)
+    def made(s: Column) -> Column:
+        def of(script: str) -> Column:
+            endings = SCRIPTS[script][3]
+            end = F.when(gender == "f", _choice(endings["f"], F.xxhash64(s))).when(gender == "m", _choice(endings["m"], F.xxhash64(s))).otherwise(_choice(endings["n"], F.xxhash64(s)))
+            return F.concat(_made_up(script, s, 2, attempt), end)
 
-    def one(word: Column, i: Column) -> Column:
-        return F.when((i == 0) & titled, word).when(i == F.size(words) - 1, _family(word, key, attempt)).otherwise(given(word))
+        def listed(suffix: str) -> Column:
+            return F.when(gender == "f", _choice(GIVEN[f"f{suffix}"], F.xxhash64(s))).when(gender == "m", _choice(GIVEN[f"m{suffix}"], F.xxhash64(s))).otherwise(_choice(GIVEN[f"n{suffix}"], F.xxhash64(s)))
 
-    return F.array_join(F.transform(words, one), " ")
+        from_list = F.when(word.rlike(r"\p{IsCyrillic}"), listed("c")).when(word.rlike(r"\p{IsLatin}"), listed(""))
+        return _cased(word, F.coalesce(F.when(attempt == 0, from_list), _by_script(word, of)))
+
+    return _let(_stream(key, given_unit(word, gender), attempt), made)
+
+
+_TITLE = f"^(?:{'|'.join(TITLES)})\\.?$"
+
+
+def _words_of_name(e: Column, family: Callable, given: Callable, title: Callable) -> Column:
+    """An array of what the functions make of the words of a name; given() also gets the gender."""
+
+    def of(words: Column) -> Column:
+        first = F.get(words, F.lit(0))
+        return F.transform(words, lambda w, i: F.when((i == 0) & first.rlike(_TITLE), title(w)).when(i == F.size(words) - 1, family(w)).otherwise(given(w, _gender(w, first))))
+
+    return _let(F.split(e, " "), of)
+
+
+def _name(e: Column, key: str, attempt_of: Callable[[Column], Column]) -> Column:
+    family = lambda w: _let(attempt_of(family_unit(w)), lambda t: _family(w, key, t))
+    given = lambda w, g: _let(attempt_of(given_unit(w, g)), lambda t: _given(w, g, key, t))
+    return F.array_join(_words_of_name(e, family, given, lambda w: w), " ")
+
+
+def units(e: Column, k: Column) -> Column:
+    """What is replaced as a whole, array of struct(norm, e): the entity, or the words of a name without its title."""
+    unit = lambda norm, e: F.struct(norm.alias("norm"), e.alias("e"))
+    nothing = F.struct(F.lit(None).cast("string").alias("norm"), F.lit(None).cast("string").alias("e"))
+    words = _words_of_name(e, lambda w: unit(family_unit(w), w), lambda w, g: unit(given_unit(w, g), w), lambda w: nothing)
+    return F.when(k == "name", F.filter(words, lambda x: x["norm"].isNotNull())).otherwise(F.array(unit(normal(e, k), e)))
 
 
 def surrogate(e: Column, key: str, attempt: Column) -> Column:
-    """The replacement of one entity."""
+    """The replacement of one entity; of names with the same attempt for all words."""
 
     def made(k: Column, s: Column) -> Column:
-        octets = F.concat_ws(".", *[(F.pmod(F.conv(F.substring(s, i, 4), 16, 10).cast("int"), F.lit(253)) + 1).cast("string") for i in (1, 5, 9, 13)])
-        mail = F.concat(_masked(F.regexp_extract(e, r"^(.*)\.[^.]+$", 1), s), F.regexp_extract(e, r"\.[^.]+$", 0))
+        extra = lambda after: F.greatest(attempt - after, F.lit(0))
+        more = F.concat(e, F.repeat(F.lit("0"), extra(31)))
+        octets = F.concat_ws(".", *[(F.pmod(F.xxhash64(s, F.lit(i)), F.lit(253)) + 1).cast("string") for i in range(4)])
+        groups = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(s, 4 * i + 1, F.lit(4))), ":"))
+        longer = F.concat(F.repeat(F.lit("x"), extra(3)), e)  # addresses can be short, so that their room ends soon
+        mail = F.concat(_masked(F.regexp_extract(longer, r"^(.*)\.[^.]+$", 1), s), F.regexp_extract(e, r"\.[^.]+$", 0))
         country = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .-])", 0)
-        phone = F.concat(country, F.substring(_masked(e, s), F.length(country) + 1, F.lit(100)))
-        iban = F.concat(F.substring(e, 1, 2), F.substring(_masked(e, s), 3, 100))
+        behind = lambda n: F.substring(_masked(more, s), n + 1, F.length(more))
         prefix = F.regexp_extract(e, r"^(?:AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_])", 0)
-        digits = _masked(F.lower(e), s, hexadecimal=True)
+        digits = _masked(F.lower(more), s, hexadecimal=True)
         bare = F.when(e.rlike("[A-F]"), F.upper(digits)).otherwise(digits)
-        token = F.when(F.length(prefix) > 0, F.concat(prefix, F.substring(_masked(e, s), F.length(prefix) + 1, F.length(e)))).otherwise(bare)
+        token = F.when(F.length(prefix) > 0, F.concat(prefix, behind(F.length(prefix)))).otherwise(bare)
         return (
-            F.when(k == "email", mail).when(k == "ip", octets).when(k == "card", _card(e, s)).when(k == "phone", phone)
-            .when(k == "ssn", _masked(e, s)).when(k == "iban", iban).when(k == "token", token).when(k == "name", _name(e, key, attempt)).otherwise(e)
+            F.when(k == "email", mail).when(k == "ip", F.when(attempt > 31, groups).otherwise(octets)).when(k == "card", _card(more, s)).when(k == "phone", F.concat(country, behind(F.length(country))))
+            .when(k == "ssn", behind(F.lit(0))).when(k == "iban", F.concat(F.substring(e, 1, 2), behind(F.lit(2)))).when(k == "token", token).when(k == "name", _name(e, key, lambda u: attempt)).otherwise(e)
         )
 
     return _let(kind(e), lambda k: _let(_stream(key, normal(e, k), attempt), lambda s: made(k, s)))
@@ -166,42 +251,68 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _drawn(rows: DataFrame, key: str, attempt: int) -> DataFrame:
+    """norm, e and the normal form of the unit's replacement."""
+    t, space = F.lit(attempt), F.split_part("norm", F.lit(":"), F.lit(1))
+    given = F.concat(F.lit("given:"), F.lower(_given(F.col("e"), F.split_part("norm", F.lit(":"), F.lit(2)), key, t)))
+    other = normal(surrogate(F.col("e"), key, t), space)
+    return rows.withColumn("replaced", F.when(space == "family", family_unit(_family(F.col("e"), key, t))).when(space == "given", given).otherwise(other))
+
+
 def exceptions(docs: DataFrame, key: str, scratch: C.Scratch, text: str = "text") -> DataFrame:
-    """e and its attempt (1 or more), for entities whose first replacement was taken."""
-    found = scratch.keep(docs.select(F.explode(entities(F.col(text))).alias("e")).groupBy("e").count(), "entities").select("e")
-    state = found.withColumn("norm", normal(F.col("e"), kind(F.col("e")))).withColumn("attempt", F.lit(0))
-    originals = state.select(F.col("norm").alias("replaced")).distinct()
-    while True:
-        drawn = state.withColumn("new", surrogate(F.col("e"), key, F.col("attempt")))
-        drawn = drawn.withColumn("replaced", normal(F.col("new"), F.split_part("norm", F.lit(":"), F.lit(1))))
-        drawn = scratch.keep(drawn, "drawn")
-        first = drawn.groupBy("replaced").agg(F.min("norm").alias("keeps"), F.max("norm").alias("last"))
-        shared = drawn.join(first.filter("keeps <> last"), "replaced").filter("norm <> keeps").select("norm").distinct()
-        taken = drawn.join(originals, "replaced", "left_semi").select("norm").distinct()
-        again = scratch.keep(shared.unionByName(taken).distinct(), "again")
-        if again.isEmpty():
-            return drawn.filter("attempt > 0").select("e", "attempt")
-        state = drawn.select("e", "norm", "attempt").join(again.withColumn("more", F.lit(1)), "norm", "left").select("e", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
+    """norm and attempt (1 or more) of the units whose first replacement was taken."""
+    found = docs.select(F.explode(entities(F.col(text))).alias("e")).groupBy("e").count()
+    found = found.select(F.explode(units(F.col("e"), kind(F.col("e")))).alias("u")).groupBy("u.norm").agg(F.min("u.e").alias("e"))
+    drawn = scratch.keep(_drawn(found, key, 0), "drawn")
+    surface = F.regexp_replace("norm", "^given:[fmn]:", "given:")  # a given name of any gender
+    used = drawn.select(surface.alias("replaced")).unionByName(drawn.select("replaced"))
+    first = drawn.groupBy("replaced").agg(F.min("norm").alias("keeps"), F.count("*").alias("n"))
+    shared = drawn.join(first.filter("n > 1"), "replaced").filter("norm <> keeps").select("norm", "e")
+    taken = drawn.join(drawn.select(surface.alias("replaced")).distinct(), "replaced", "left_semi").select("norm", "e")
+    waiting, settled, attempt = scratch.keep(shared.unionByName(taken).distinct(), "waiting"), None, 0
+    while not waiting.isEmpty():
+        attempt += 1
+        mine = scratch.keep(_drawn(waiting, key, attempt), "redrawn")
+        known = used.join(mine.select("replaced").distinct(), "replaced", "left_semi").distinct()
+        keeps = mine.groupBy("replaced").agg(F.min("norm").alias("norm"))
+        fine = scratch.keep(mine.join(keeps, ["replaced", "norm"]).join(known, "replaced", "left_anti").select("norm", "replaced"), "fine")
+        used = used.unionByName(fine.select("replaced"))
+        done = fine.select("norm", F.lit(attempt).alias("attempt"))
+        settled = done if settled is None else settled.unionByName(done)
+        waiting = scratch.keep(waiting.join(fine.select("norm"), "norm", "left_anti"), "waiting")
+    return settled if settled is not None else drawn.select("norm", F.lit(0).alias("attempt")).limit(0)
 
 
 def replace(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """docs with surrogates in the text; ``found`` names a column for the kinds of the entities, in order."""
     scratch = C.Scratch(docs.sparkSession, "pii")
-    odd = exceptions(docs, key, scratch, text)
-    n = odd.count()
-    rows = docs.withColumn("_e", entities(F.col(text)))
-    if n:
-        named = C.table_print(rows.filter(F.size("_e") > 0), text).select("_p", F.explode(F.array_distinct("_e")).alias("e"))
-        named = named.distinct().join(F.broadcast(odd) if n <= EXCEPTIONS else odd, "e").groupBy("_p").agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias("_m"))
-        rows = C.table_print(rows, text).join(named, "_p", "left").drop("_p")
-        attempt = lambda e: F.coalesce(F.element_at("_m", e), F.lit(0))
+    odd = scratch.keep(exceptions(docs, key, scratch, text), "exceptions")
+    few = odd.limit(EXCEPTIONS + 1).collect()
+    ents, made, tries, mark = (C.free_name([*docs.columns, found or ""], x) for x in ("entities", "replaced", "attempts", "mark"))
+    rows = docs.withColumn(ents, entities(F.col(text)))
+    if len(few) <= EXCEPTIONS:
+        by_attempt: dict[int, list[str]] = {}
+        for r in few:
+            by_attempt.setdefault(r["attempt"], []).append(r["norm"])
+
+        def attempt_of(norm: Column) -> Column:
+            out = F.lit(0)
+            for t, norms in by_attempt.items():
+                out = F.when(norm.isin(norms), t).otherwise(out)
+            return out
     else:
-        attempt = lambda e: F.lit(0)
-    new = F.transform("_e", lambda e: surrogate(e, key, attempt(e)))
+        every = F.array_distinct(F.flatten(F.transform(ents, lambda e: F.transform(units(e, kind(e)), lambda u: u["norm"]))))
+        prints = C.table_print(rows.select(ents, F.col(text).alias("text")), "text")
+        named = prints.filter(F.size(ents) > 0).select("_p", F.explode(every).alias("norm")).distinct()
+        named = named.join(odd, "norm").groupBy("_p").agg(F.map_from_entries(F.collect_list(F.struct("norm", "attempt"))).alias(tries))
+        rows = rows.withColumn(mark, C.text_print(F.col(text))).join(named.withColumnRenamed("_p", mark), mark, "left")
+        attempt_of = lambda norm: F.coalesce(F.element_at(tries, norm), F.lit(0))
+
+    def new(e: Column) -> Column:
+        return _let(kind(e), lambda k: F.when(k == "name", _name(e, key, attempt_of)).otherwise(_let(attempt_of(normal(e, k)), lambda t: surrogate(e, key, t))))
+
     between = F.split(F.col(text), PATTERN, -1)
-    whole = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("_e")), new, lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
-    rows = rows.withColumn("_t", F.when(F.size("_e") > 0, whole).otherwise(F.col(text)))
-    if found:
-        rows = rows.withColumn(found, F.transform("_e", kind))
-    extra = [found] if found else []
-    return rows.select(*[F.col("_t").alias(c) if c == text else F.col(c) for c in docs.columns if c not in extra], *extra)
+    whole = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(ents)), F.transform(ents, new), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
+    rows = rows.withColumn(made, F.when(F.size(ents) > 0, whole).otherwise(F.col(text)))
+    extra = [F.transform(ents, kind).alias(found)] if found else []
+    return rows.select(*[F.col(made).alias(c) if c == text else F.col(c) for c in docs.columns if c != found], *extra)

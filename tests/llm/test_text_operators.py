@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat, decontam, jaccard, langid, pii, quality, shards, suffixes
+from ledgerloom.llm import bpe, catalog, chat, decontam, jaccard, langid, pii, quality, shards, suffixes
 from ledgerloom.llm import common as C
 
 SCHEMA = "doc_id long, text string, score string, id string"  # columns that clash with added ones
@@ -74,12 +74,10 @@ def test_refine_gives_equal_ids_to_equal_strings():
     assert len(set(seen.values())) == len(seen)
 
 
-@pytest.mark.parametrize(("k", "pct"), [(3, 90), (5, 80)])
-def test_jaccard_matches_brute_force(spark, docs, k, pct, monkeypatch):
-    monkeypatch.setattr(jaccard, "RARE", 2)  # so that combinations are indexed, too
-    got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard.groups(docs, k=k, pct=pct).collect())
+def expected_groups(rows, k, pct):
+    """Rows of the Jaccard join by comparing all sets."""
     sets = []
-    for i, t, *_ in corpus():
+    for i, t, *_ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()))
     up = {i: i for i, _ in sets if i is not None}
@@ -94,15 +92,64 @@ def test_jaccard_matches_brute_force(spark, docs, k, pct, monkeypatch):
             if i is not None and j is not None and x and y and 100 * len(x & y) >= pct * len(x | y):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
-    assert got == sorted(((i is None, i or 0), len(s), None if i is None else root(i)) for i, s in sets)
+    return sorted(((i is None, i or 0), len(s), None if i is None else root(i)) for i, s in sets)
 
 
-def test_overlap_bound_never_lies():
+@pytest.mark.parametrize(("k", "pct"), [(3, 90), (5, 80), (1, 60), (2, 100)])
+def test_jaccard_matches_brute_force(spark, docs, k, pct, monkeypatch):
+    monkeypatch.setattr(jaccard, "RARE", 2)  # so that combinations are indexed, too
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard.groups(docs, k=k, pct=pct).collect())
+    assert got == expected_groups(corpus(), k, pct)
+
+
+@pytest.mark.parametrize("pct", [60, 80, 90])
+def test_similar_sets_share_a_signature(pct, monkeypatch):
+    """Whatever tokens two similar sets miss: the smaller one's index signatures meet the larger one's probe signatures."""
+    rnd = np.random.default_rng(pct)
+    for case in range(300):
+        n = int(rnd.integers(1, 40)) if case % 3 else int(rnd.integers(40, 400))
+        tokens = np.unique(rnd.integers(0, 1 << 56, 3 * n)).astype(C.U)
+        df = rnd.choice([2, 3, 40, 2000], len(tokens), p=rnd.dirichlet([1, 1, 1, 1]))
+        keys = rnd.permutation((jaccard.level(df).astype(C.U) << C.U(56)) | tokens)
+        x = keys[:n]
+        swap = int(rnd.integers(0, n - -(-pct * n // 100) + 1))
+        y = np.concatenate([x[: n - swap], keys[n : n + int(rnd.integers(0, swap + 1))]])
+        x, y = sorted((np.sort(x), np.sort(y)), key=len)
+        both = len(np.intersect1d(x, y))
+        if 100 * both < pct * (len(x) + len(y) - both) or both == len(x) == len(y):
+            continue
+        index = jaccard._signatures(x, 0, len(x) - -(-2 * pct * len(x) // (100 + pct)), jaccard._groups_of(len(x), pct), pct)
+        probe = [jaccard._signatures(y, 0, jaccard._missing(len(y), pct), g, pct) for g in {jaccard._groups_of(len(y), pct), jaccard._groups_of(-(-pct * len(y) // 100), pct)}]
+        assert len(np.intersect1d(index, np.concatenate(probe)))
+
+
+def test_coarse_counts_never_lie(spark):
     rnd = np.random.default_rng(3)
-    for n, m in ((5, 9), (400, 380), (3000, 200)):
+    rows = []
+    for n, m in ((5, 9), (400, 380), (3000, 200), (40000, 100)):
         x = np.unique(rnd.integers(0, 1 << 63, n).astype(C.U) * C.U(2))
         y = np.unique(np.concatenate([x[: len(x) // 2], rnd.integers(0, 1 << 63, m).astype(C.U)]))
-        assert jaccard.overlap_bound(jaccard.sketch(x), jaccard.sketch(y), len(x), len(y)) >= len(np.intersect1d(x, y))
+        (p, sp), (q, sq) = jaccard.coarse(x), jaccard.coarse(y)
+        rows.append((*p, 1 << sp, *q, 1 << sq, len(np.intersect1d(x, y))))
+    df = spark.createDataFrame(rows, ["p0", "p1", "p2", "p3", "ps", "q0", "q1", "q2", "q3", "qs", "both"])
+    assert df.filter(jaccard.coarse_bound("p", "q") < F.col("both")).isEmpty()
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    texts = ["a b c d e f g h i j k l"] * 3 + ["a b c d e f g h i j k l m", "something else that nobody else says here", None]
+    rows = [(i, t, True, i * 7) for i, t in enumerate(texts)] + [(None, texts[0], False, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, may_go boolean, gone int")
+    got = jaccard.keep_one(df).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.may_go, r.gone) for r in got) == [(-1, False, 5), (0, True, 0), (4, True, 28), (5, True, 35)]
+
+
+def test_registered_jaccard_query_matches_brute_force(spark, tmp_path):
+    rows = corpus()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in catalog.queries()["op5_jaccard_join"](spark, str(tmp_path)).collect())
+    assert got == expected_groups(rows, 3, 90)
 
 
 def test_bpe_is_the_librarys(spark, docs):
@@ -239,6 +286,55 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len(set(got)) == 40 and not set(got) & {r[1] for r in rows}
 
 
+def test_long_domains_end_no_executor(spark):
+    texts = ["x@" + "a." * 2000, "x@" + "a." * 2000 + "com", "to x@" + "a." * 100 + "com"]
+    got = [r.text for r in pii.replace(spark.createDataFrame([(i, t, "s", "i") for i, t in enumerate(texts)], SCHEMA).coalesce(1), "k").collect()]
+    assert got[:2] == texts[:2] and got[2] != texts[2] and len(got[2]) == len(texts[2])
+
+
+def test_short_addresses_get_room(spark):
+    """Every address of the form x@y.co is in the corpus, so that no replacement of that form is left."""
+    rows = [(i, f"{chr(97 + i // 26)}@{chr(97 + i % 26)}.co", "s", "i") for i in range(676)]
+    got = [r.text for r in pii.replace(spark.createDataFrame(rows, SCHEMA), "k").collect()]
+    assert len(set(got)) == 676 and not set(got) & {r[1] for r in rows} and all(re.fullmatch(r"[a-z]+@[a-z]\.co", t) for t in got)
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_a_person_stays_one_after_a_redraw(spark, monkeypatch, limit):
+    """Family names are drawn from a room of three, so that most are drawn again; spellings of one person keep their family name."""
+    monkeypatch.setattr(pii, "EXCEPTIONS", limit)
+    real = pii._family
+
+    def narrow(word, key, attempt):
+        return F.when(attempt < 2, pii._cased(word, pii._choice(["bor", "dun", "fel"], F.xxhash64(F.lower(word), attempt)))).otherwise(real(word, key, attempt))
+
+    monkeypatch.setattr(pii, "_family", narrow)
+    people = ["Keller", "Berger", "Maurer", "Zeller", "Kramer", "Lehner"]
+    rows = [(i, f"Frau {p} is Anna {p}; Dr. Kim {p}; FRAU {p.upper()}; Frau {p.upper()}", "s", "i") for i, p in enumerate(people)]
+    got = [re.fullmatch(r"Frau (\w+) is (\w+) (\w+); Dr\. (\w+) (\w+); FRAU (\w+); Frau (\w+)", r.text).groups() for r in pii.replace(spark.createDataFrame(rows, SCHEMA), "k").orderBy("doc_id").collect()]
+    assert all(a == c == e and g == a.upper() for a, _, c, _, e, _, g in got)
+    assert len({a for a, *_ in got}) == len(people) and not {a for a, *_ in got} & set(people)
+    assert len({b for _, b, *_ in got}) == 1 and got[0][3] != "Kim"
+
+
+def test_given_names_stay_distinct_and_keep_gender_and_script(spark):
+    women, men = pii.GIVEN["f"], pii.GIVEN["m"]
+    texts = [f"{n} Moser" for n in [*women, *men]] + ["Κύριος", "Dear Νίκος Παππάς,", "my name is Ivor Novak."]
+    rows = [(i, t, "s", "i") for i, t in enumerate(texts)]
+    got = [r.text for r in pii.replace(spark.createDataFrame(rows, SCHEMA), "k").orderBy("doc_id").collect()]
+    given = [t.split()[0] for t in got[: len(women) + len(men)]]
+    assert len(set(given)) == len(given) and not set(given) & {*women, *men}
+    assert all(n.endswith("a") or n in pii.GIVEN["f"] for n in given[: len(women)]) and not any(n.endswith("a") for n in given[len(women) :])
+    assert got[-3] == texts[-3] and re.fullmatch(r"Dear [Α-ω]+ [Α-ω]+,", got[-2]) and "Νίκος" not in got[-2] and "Παππάς" not in got[-2]
+    assert re.fullmatch(r"my name is [A-Z]\w+ [A-Z]\w+\.", got[-1]) and "Novak" not in got[-1]
+
+
+def test_surrogates_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "ip 10.0.0.1", "a", "b", "c", "d")], "doc_id long, text string, _e string, _t string, entities string, replaced string")
+    got = pii.replace(df, "k", found="kinds").first()
+    assert (got["_e"], got["_t"], got["entities"], got["replaced"], got["kinds"]) == ("a", "b", "c", "d", ["ip"]) and "10.0.0.1" not in got["text"]
+
+
 def test_training_order(spark, docs, tmp_path):
     for n in (1, 2, 3, 100, 1000):
         assert sorted(shards.slots(np.arange(n), n, b"k").tolist()) == list(range(n))
