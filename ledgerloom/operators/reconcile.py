@@ -7,15 +7,14 @@ rounds is driven from here and keeps its state in scratch tables. Conditions are
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.errors import AnalysisError, RunError
-from ledgerloom.plans.scratch import Scratch
+from ledgerloom.plans.scratch import Scratch, numbered
 from ledgerloom.relation import Relation
 
 SHAPES = ("one_to_one", "one_to_many", "many_to_one", "many_to_many")
@@ -49,6 +48,7 @@ class Tier:
     lift_a: dict[str, Column] = field(default_factory=dict)
     lift_b: dict[str, Column] = field(default_factory=dict)
     subset: Subset | None = None
+    reason: str = ""
 
 
 @dataclass(frozen=True)
@@ -70,14 +70,35 @@ def _any(conditions) -> Column:
 
 
 def read_columns(expressions, side: str) -> set[str]:
-    """Names that expressions read as ``side.name``."""
-    return {m for e in expressions for m in re.findall(rf"\b{side}\.`?(\w+)", str(e))}
+    """Names that expressions read as ``side.name``, from their syntax trees."""
+    found: set[str] = set()
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedAttribute":
+            parts = node.nameParts()
+            if parts.size() > 1 and parts.apply(0).lower() == side:
+                found.add(parts.apply(1))
+        elif kind == "SqlExpression":  # an expression that was given as text
+            parser = SparkSession.active()._jsparkSession.sessionState().sqlParser()
+            walk(parser.parseExpression(node.expression()))
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    for e in expressions:
+        walk(e._jc.node())
+    return found
 
 
 class Run:
-    """One reconciliation. After ``run()``: matches, unmatched_a, unmatched_b, ambiguous, candidates, summary, rounds."""
+    """One reconciliation. After ``run()``: matches, unmatched_a, unmatched_b, ambiguous, candidates, summary, rounds; costs of subset
+    tiers. ``names`` are the sides' names in the columns of the outputs. An output without rows has its columns, too."""
 
-    def __init__(self, a: Relation, b: Relation, policy: Policy):
+    def __init__(self, a: Relation, b: Relation, policy: Policy, names: tuple[str, str] = ("a", "b")):
+        if not policy.tiers:
+            raise AnalysisError("L301", "a reconciliation has a tier at least")
+        self.names = dict(zip("ab", names))
         for t in policy.tiers:
             if t.subset and not 1 <= t.subset.max_items <= 16:
                 raise AnalysisError("L313", "a subset has 1 to 16 items")
@@ -89,6 +110,7 @@ class Run:
         self.scratch = Scratch(self.spark, "reconcile")
         self.relations = {"a": self._identified(a, "a"), "b": self._identified(b, "b")}
         self.rounds: dict[str, int] = {}
+        self.costs: dict[str, dict] = {}
         self.sides = {s: self.scratch.keep(self._setup(s)) for s in "ab"}
         for s in "ab":
             self._check_identity(s)
@@ -97,12 +119,12 @@ class Run:
     # setup
 
     def _identified(self, r: Relation, side: str) -> Relation:
-        """Without an identity rows are numbered by their content, copies by a second number."""
+        """Without an identity rows are numbered by their content."""
         if r.identity:
             return r
-        w = Window.partitionBy(*r.columns).orderBy(F.lit(0))
-        df = r.df.withColumn(f"{side}_copy", F.row_number().over(w)).withColumn(f"{side}_row", F.concat_ws(":", F.xxhash64(*r.columns), f"{side}_copy")).drop(f"{side}_copy")
-        return r.with_(df, identity=(f"{side}_row",))
+        row = f"{self.names[side]}_row"
+        order = [F.col(f"`{c}`").asc_nulls_last() for c in r.columns]
+        return r.with_(numbered(self.scratch, r.df, order, row), identity=(row,))
 
     def _policy_columns(self, side: str) -> list[str]:
         r, p = self.relations[side], self.policy
@@ -129,7 +151,7 @@ class Run:
     # state
 
     def _union(self, what: str) -> DataFrame | None:
-        return reduce(lambda x, y: x.unionByName(y), self.parts[what]) if self.parts[what] else None
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), self.parts[what]) if self.parts[what] else None
 
     def _gone(self, side: str) -> DataFrame | None:
         """Ids that later tiers don't see."""
@@ -184,20 +206,31 @@ class Run:
 
     # selection
 
+    @staticmethod
+    def _class_counts(rows: DataFrame, s: str) -> DataFrame:
+        """Of each class the rows, whether they are all alike, and the first one."""
+        return rows.groupBy(F.col("c").alias(f"c{s}")).agg(F.count("*").alias(f"n{s}"), F.min("x").eqNullSafe(F.max("x")).alias(f"k{s}"), F.min("u").alias(f"first_{s}"))
+
     def _one_to_one(self, tier: Tier, cand: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
-        """Rounds of mutual best classes and stars, then ties; returns links, duplicates of each side and ambiguous pairs (units)."""
+        """Rounds of mutual best classes and stars, then ties; returns links, duplicates of each side and ambiguous pairs (units).
+
+        Classes of one row that only have each other are linked at once. Rounds only see rows and pairs that are still open.
+        """
         rows = {s: self.scratch.keep(cand.select(F.col(f"u{s}").alias("u"), F.col(f"c{s}").alias("c"), F.col(f"x{s}").alias("x")).distinct()) for s in "ab"}
-        pairs = self.scratch.keep(cand.select("ca", "cb", *[f"_r{i}" for i in range(len(tier.rank))]).distinct())
+        ranks = [f"_r{i}" for i in range(len(tier.rank))]
         order = self._order(tier) or [F.lit(1)]
-        links, dups, amb, held = [], {"a": [], "b": []}, [], {"a": [], "b": []}
+        pairs = cand.select("ca", "cb", *ranks).distinct().join(self._class_counts(rows["a"], "a"), "ca").join(self._class_counts(rows["b"], "b"), "cb")
+        pairs = self.scratch.keep(pairs.withColumn("pa", F.count("*").over(Window.partitionBy("ca"))).withColumn("pb", F.count("*").over(Window.partitionBy("cb"))))
+        alone = (F.col("pa") == 1) & (F.col("pb") == 1) & (F.col("na") == 1) & (F.col("nb") == 1)
+        links, dups, amb = [pairs.filter(alone).select(F.col("first_a").alias("ua"), F.col("first_b").alias("ub"))], {"a": [], "b": []}, []
+        pairs = pairs.filter(~alone).select("ca", "cb", *ranks)
         n = 0
-        while True:
-            left = {}
-            for s in "ab":
-                used = [x.select(F.col(f"u{s}").alias("u")) for x in links] + [x.select("u") for x in dups[s]] + [x.select("u") for x in held[s]]
-                left[s] = rows[s].join(reduce(lambda x, y: x.unionByName(y), used).distinct(), "u", "left_anti") if used else rows[s]
-            counts = {s: left[s].groupBy(F.col("c").alias(f"c{s}")).agg(F.count("*").alias(f"n{s}"), F.countDistinct("x").alias(f"k{s}")) for s in "ab"}
-            act = pairs.join(counts["a"], "ca").join(counts["b"], "cb")
+        if not pairs.isEmpty():
+            left = {s: self.scratch.keep(rows[s].join(pairs.select(F.col(f"c{s}").alias("c")).distinct(), "c", "left_semi")) for s in "ab"}
+        else:
+            left = None
+        while left is not None:
+            act = pairs.join(self._class_counts(left["a"], "a"), "ca").join(self._class_counts(left["b"], "b"), "cb").drop("first_a", "first_b")
             wa, wb = Window.partitionBy("ca"), Window.partitionBy("cb")
             act = act.withColumn("ra", F.rank().over(wa.orderBy(*order))).withColumn("rb", F.rank().over(wb.orderBy(*order)))
             act = act.withColumn("ta", F.sum((F.col("ra") == 1).cast("int")).over(wa)).withColumn("tb", F.sum((F.col("rb") == 1).cast("int")).over(wb))
@@ -206,14 +239,14 @@ class Run:
                 break
             n += 1
             best_a, best_b = (F.col("ra") == 1) & (F.col("ta") == 1), (F.col("rb") == 1) & (F.col("tb") == 1)
-            enough = (F.col("na") == F.col("nb")) | ((F.col("na") > F.col("nb")) & (F.col("ka") == 1)) | ((F.col("nb") > F.col("na")) & (F.col("kb") == 1))
+            enough = (F.col("na") == F.col("nb")) | ((F.col("na") > F.col("nb")) & F.col("ka")) | ((F.col("nb") > F.col("na")) & F.col("kb"))
             pair = act.filter(best_a & best_b)
             decided = [pair.filter(enough).select(F.struct(F.lit("p").alias("kind"), F.to_json("ca").alias("x"), F.to_json("cb").alias("y")).alias("g"), "ca", "cb")]
             undecided = pair.filter(~enough).select("ca", "cb", F.concat(F.lit("p"), F.to_json("ca"), F.to_json("cb")).alias("g"))
             for s, o, leaf_best in (("a", "b", best_b), ("b", "a", best_a)):
                 w = Window.partitionBy(f"c{s}")
                 star = act.filter((F.col(f"r{s}") == 1) & (F.col(f"t{s}") > 1)).withColumn("all", F.min(leaf_best.cast("int")).over(w)).withColumn("leaves", F.sum(f"n{o}").over(w))
-                ok = (F.col("all") == 1) & ((F.col(f"n{s}") == F.col("leaves")) | ((F.col(f"n{s}") > F.col("leaves")) & (F.col(f"k{s}") == 1)))
+                ok = (F.col("all") == 1) & ((F.col(f"n{s}") == F.col("leaves")) | ((F.col(f"n{s}") > F.col("leaves")) & F.col(f"k{s}")))
                 decided.append(star.filter(ok).select(F.struct(F.lit(s).alias("kind"), F.to_json(f"c{s}").alias("x"), F.lit("").alias("y")).alias("g"), "ca", "cb"))
             groups = self.scratch.keep(reduce(lambda x, y: x.unionByName(y), decided))
             undecided = self.scratch.keep(undecided)
@@ -237,8 +270,14 @@ class Run:
             pairs_amb = undecided.join(left["a"].select(F.col("c").alias("ca"), F.col("u").alias("ua")), "ca").join(left["b"].select(F.col("c").alias("cb"), F.col("u").alias("ub")), "cb")
             pairs_amb = self.scratch.keep(pairs_amb.select("ua", "ub", "g"))
             amb.append(pairs_amb)
+            # what is still open
+            pairs = act.select("ca", "cb", *ranks)
             for s in "ab":
-                held[s].append(pairs_amb.select(F.col(f"u{s}").alias("u")))
+                gone = both.filter(F.col(f"u{s}").isNotNull())
+                if self.policy.duplicates == "continue":  # left-over copies stay
+                    gone = gone.filter(F.col("ua").isNotNull() & F.col("ub").isNotNull())
+                gone = gone.select(F.col(f"u{s}").alias("u")).unionByName(pairs_amb.select(F.col(f"u{s}").alias("u"))).distinct()
+                left[s] = self.scratch.keep(left[s].join(gone, "u", "left_anti"))
         self.rounds[tier.name] = n
         join = lambda xs: reduce(lambda x, y: x.unionByName(y), xs) if xs else None
         return join(links), {s: join(dups[s]) for s in "ab"}, join(amb)
@@ -286,11 +325,11 @@ class Run:
 
     def record(self, index: int, tier: Tier, cand: DataFrame, links, dups, amb, ma=None, mb=None) -> None:
         """Put a tier's outcome in the tables of the run."""
-        info = ["candidates_a", "candidates_b", "candidate_rank", "evidence", "flags", "rank_values"]
-        ev = F.map_from_arrays(F.array(*[F.lit(k) for k in tier.evidence]), F.array(*[F.col(f"e_{k}").cast("string") for k in tier.evidence])) if tier.evidence else F.lit(None).cast("map<string,string>")
+        shown = [*[f"e_{k}" for k in tier.evidence], *[f"f_{k}" for k in tier.flags]]
+        info = [*shown, "flags", "candidates_a", "candidates_b", "candidate_rank", "rank_values", "reason"]
         fl = F.array_join(F.array(*[F.when(F.col(f"f_{k}"), k) for k in tier.flags]), ",") if tier.flags else F.lit("")
         rv = F.concat_ws(", ", *[F.coalesce(F.col(f"_r{i}").cast("string"), F.lit("null")) for i in range(len(tier.rank))]) if tier.rank else F.lit("")
-        cand = cand.withColumns({"evidence": ev, "flags": fl, "rank_values": rv, "tier": F.lit(tier.name), "tier_index": F.lit(index)})
+        cand = cand.withColumns({"flags": fl, "rank_values": rv, "tier": F.lit(tier.name), "tier_index": F.lit(index), "reason": F.lit(tier.reason or self._reason(tier))})
         cols = ["tier", "tier_index", "a_group", "b_group", "aid", "bid", *info]
         group = lambda c, m: (F.to_json(c) if m is not None else F.lit(None).cast("string"))
         rows = self._expand(cand, ma, mb).withColumns({"a_group": group("ua", ma), "b_group": group("ub", mb)})
@@ -299,11 +338,20 @@ class Run:
             self.parts["links"].append(self.scratch.keep(self._expand(cand.join(links.select("ua", "ub").distinct(), ["ua", "ub"]), ma, mb).withColumns({"a_group": group("ua", ma), "b_group": group("ub", mb)}).select(*cols)))
         if amb is not None:
             known = cand.drop("g").join(amb, ["ua", "ub"])
-            self.parts["ambiguous"].append(self.scratch.keep(self._expand(known, ma, mb).select("tier", "tier_index", "g", "aid", "bid", "candidate_rank", "rank_values")))
+            self.parts["ambiguous"].append(self.scratch.keep(self._expand(known, ma, mb).withColumns({"a_group": group("ua", ma), "b_group": group("ub", mb)}).select("g", *cols)))
         for s, d in dups.items():
             if d is not None:
                 self.parts[f"dups_{s}"].append(self.scratch.keep(d.select(F.col("u").alias("_id"), F.col("of").alias("_of"))))
 
+    def _reason(self, tier: Tier) -> str:
+        """The tier's policy in words."""
+        block = self.policy.block if tier.block is None else tier.block
+        plain = lambda e: e._jc.toString()
+        parts = [f"same {x}" if x == y else f"{x} is {y}" for x, y in block] + [plain(e) for e in tier.require]
+        parts += [f"{tier.subset.amount} adds up to {tier.subset.target}"] if tier.subset else []
+        parts += [f"best by {plain(e)}{' descending' if desc else ''}" for e, desc in tier.rank]
+        return f"{tier.name}: {'; '.join(parts)}" if parts else tier.name
+
     def run(self) -> Run:
         for i, tier in enumerate(self.policy.tiers):
             self._tier(i, tier)
@@ -313,58 +361,85 @@ class Run:
     # outputs
 
     def _ids(self, side: str, column: str) -> list[Column]:
-        return [F.col(f"{column}.{i}").alias(f"{side}_{i}" if not i.startswith(f"{side}_") else i) for i in self.relations[side].identity]
+        name = self.names[side]
+        return [F.col(f"{column}.`{i}`").alias(f"{name}_{i}" if i != f"{name}_row" else i) for i in self.relations[side].identity]
+
+    def _shown(self, df: DataFrame) -> list[Column]:
+        """Evidence, then flags, a column each; names that the outputs have already stay as they are."""
+        return [F.col(f"`{c}`").alias(c[2:]) for c in df.columns if c.startswith("e_")] + [F.coalesce(F.col(f"`{c}`"), F.lit(False)).alias(c[2:]) for c in df.columns if c.startswith("f_")]
+
+    def _others(self, side: str) -> list[str]:
+        r = self.relations[side]
+        return [c for c in r.columns if c not in r.identity]
+
+    def _with_sides(self, df: DataFrame, columns: list[Column]) -> DataFrame:
+        """The columns, then those of both sides' rows but for their identities."""
+        for s in "ab":
+            side = self.sides[s].select(F.col("_id").alias(f"{s}id"), F.struct(*[F.col(f"`{c}`") for c in self._others(s)] or [F.lit(1).alias("none")]).alias(f"{s}row"))
+            df = df.join(side, f"{s}id")
+        return df.select(*columns, *[F.col(f"{s}row.`{c}`").alias(f"{self.names[s]}_{c}") for s in "ab" for c in self._others(s)])
 
     def _outputs(self) -> None:
-        empty = lambda s: self.sides[s].select("_id", F.col("_id").alias("_of")).limit(0)
+        cand = self._union("candidates")
+        nothing = cand.limit(0)
         links, amb = self._union("links"), self._union("ambiguous")
-        self.matches = None
-        if links is not None:
-            side = {s: self.sides[s].select(F.col("_id").alias(f"{s}id"), *[F.col(c).alias(f"{s}_{c}") for c in self.relations[s].columns]) for s in "ab"}
-            self.matches = links.join(side["a"], "aid").join(side["b"], "bid").drop("aid", "bid")
+        links = nothing if links is None else links
+        amb = nothing.withColumn("g", F.lit("")) if amb is None else amb
+        ids = [*self._ids("a", "aid"), *self._ids("b", "bid")]
+        head = ["tier", "tier_index", "a_group", "b_group", *ids]
+        self.matches = self._with_sides(links, [*head, *self._shown(links), "flags", "candidates_a", "candidates_b", "candidate_rank", "rank_values", "reason"])
         status = {}
         for s in "ab":
             st = self.sides[s].select("_id")
-            matched = links.select(F.col(f"{s}id").alias("_id")).distinct().withColumn("m", F.lit(True)) if links is not None else st.limit(0).withColumn("m", F.lit(True))
-            doubtful = amb.select(F.col(f"{s}id").alias("_id")).distinct().withColumn("q", F.lit(True)) if amb is not None else st.limit(0).withColumn("q", F.lit(True))
+            matched = links.select(F.col(f"{s}id").alias("_id")).distinct().withColumn("m", F.lit(True))
+            doubtful = amb.select(F.col(f"{s}id").alias("_id")).distinct().withColumn("q", F.lit(True))
             chooser = {"many_to_one": "a", "one_to_many": "b"}.get(self.policy.cardinality)
             if chooser not in (None, s):
                 doubtful = doubtful.limit(0)
             dups = self._union(f"dups_{s}")
-            dups = (empty(s) if dups is None else dups).groupBy("_id").agg(F.min("_of").alias("_of"))
+            dups = (self.sides[s].select("_id", F.col("_id").alias("_of")).limit(0) if dups is None else dups).groupBy("_id").agg(F.min("_of").alias("_of"))
             st = st.join(matched, "_id", "left").join(doubtful, "_id", "left").join(dups, "_id", "left")
             st = st.withColumn("status", F.when(F.col("m"), "matched").when(F.col("q"), "ambiguous").when(F.col("_of").isNotNull(), "duplicate").otherwise("unmatched"))
             status[s] = self.scratch.keep(st.select("_id", "status", "_of"))
-            of = F.when(F.col("status") == "duplicate", F.concat_ws("|", *[F.col(f"_of.{i}").cast("string") for i in self.relations[s].identity]))
+            of = F.when(F.col("status") == "duplicate", F.concat_ws("|", *[F.col(f"_of.`{i}`").cast("string") for i in self.relations[s].identity]))
             rest = status[s].filter(F.col("status").isin("unmatched", "duplicate")).select("_id", F.col("status").alias("match_status"), of.alias("duplicate_of"))
-            setattr(self, f"unmatched_{s}", self.sides[s].join(rest, "_id").select("match_status", "duplicate_of", *self.relations[s].columns))
+            setattr(self, f"unmatched_{s}", self.sides[s].join(rest, "_id").select("match_status", "duplicate_of", *[F.col(f"`{c}`") for c in self.relations[s].columns]))
         self.status = status
-        self.ambiguous = None
-        if amb is not None:
-            number = amb.select("tier_index", "g").distinct().withColumn("ambiguity_id", F.dense_rank().over(Window.orderBy("tier_index", "g")).cast("long"))
-            self.ambiguous = amb.join(number, ["tier_index", "g"]).select("ambiguity_id", "tier", "tier_index", *self._ids("a", "aid"), *self._ids("b", "bid"), "candidate_rank", "rank_values")
-        cand = self._union("candidates")
-        if cand is not None:
-            hit = (links.select("tier_index", "aid", "bid").distinct().withColumn("_m", F.lit(True))) if links is not None else cand.select("tier_index", "aid", "bid").limit(0).withColumn("_m", F.lit(True))
-            doubt = (amb.select("tier_index", "aid", "bid").distinct().withColumn("_q", F.lit(True))) if amb is not None else cand.select("tier_index", "aid", "bid").limit(0).withColumn("_q", F.lit(True))
-            on = ["tier_index", "aid", "bid"]
-            outcome = F.when(F.col("_m"), "matched").when(F.col("_q"), "ambiguous").otherwise("not selected")
-            self.candidates = cand.join(hit, on, "left").join(doubt, on, "left").select("tier", "tier_index", *self._ids("a", "aid"), *self._ids("b", "bid"), outcome.alias("outcome"), "candidate_rank", "rank_values", "candidates_a", "candidates_b")
+        groups = numbered(self.scratch, amb.select("tier_index", "g").distinct(), [F.col("tier_index"), F.col("g")], "ambiguity_id")
+        self.ambiguous = self._with_sides(amb.join(groups, ["tier_index", "g"]), ["tier", "tier_index", "ambiguity_id", "a_group", "b_group", *ids, *self._shown(amb), "candidate_rank", "rank_values"])
+        on = ["tier_index", "aid", "bid"]
+        hit = links.select(*on).distinct().withColumn("_m", F.lit(True))
+        doubt = amb.select(*on).distinct().withColumn("_q", F.lit(True))
+        outcome = F.when(F.col("_m"), "matched").when(F.col("_q"), "ambiguous").otherwise("not selected")
+        self.candidates = cand.join(hit, on, "left").join(doubt, on, "left").select(*head, outcome.alias("outcome"), "candidate_rank", "rank_values", "candidates_a", "candidates_b", *self._shown(cand))
         self._summarise(links, amb)
 
     def _summarise(self, links, amb) -> None:
         """position, step, tier_index, pairs, a_rows, b_rows."""
         schema = "position long, step string, tier_index long, pairs long, a_rows long, b_rows long"
-        per = {r["tier_index"]: r for r in links.groupBy("tier_index").agg(F.count("*").alias("p"), F.countDistinct("aid").alias("a"), F.countDistinct("bid").alias("b")).collect()} if links is not None else {}
+        per = {r["tier_index"]: r for r in links.groupBy("tier_index").agg(F.count("*").alias("p"), F.countDistinct("aid").alias("a"), F.countDistinct("bid").alias("b")).collect()}
         rows = [(i + 1, t.name, i, *((per[i]["p"], per[i]["a"], per[i]["b"]) if i in per else (0, 0, 0))) for i, t in enumerate(self.policy.tiers)]
         kinds = {s: {r["status"]: r["count"] for r in self.status[s].groupBy("status").count().collect()} for s in "ab"}
         n = len(rows)
         for k, step in enumerate(("ambiguous", "duplicate", "unmatched")):
-            pairs = amb.select("aid", "bid").distinct().count() if step == "ambiguous" and amb is not None else 0
+            pairs = amb.select("aid", "bid").distinct().count() if step == "ambiguous" else 0
             rows.append((n + 1 + k, step, None, pairs, kinds["a"].get(step, 0), kinds["b"].get(step, 0)))
         rows.append((n + 4, "total", None, sum(r[3] for r in rows[:n]), sum(kinds["a"].values()), sum(kinds["b"].values())))
         self.summary = self.spark.createDataFrame(rows, schema)
-        if self.policy.cardinality == "one_to_one" and self.policy.consume == "both" and links is not None:
-            single = links.filter("a_group is null and b_group is null")
-            if not single.groupBy("tier_index", "aid").count().filter("count > 1").join(links.filter("b_group is null"), "aid", "left_semi").isEmpty() and not any(t.subset for t in self.policy.tiers):
-                raise RunError("L400", "a row is matched twice")
+        self._verify(links, amb)
+
+    def _verify(self, links: DataFrame, amb: DataFrame) -> None:
+        """Every row has one status, no withheld duplicate is matched, and in one_to_one a row is in one pair or one group."""
+        for s in "ab":
+            rows = self.sides[s].count()
+            if self.status[s].agg(F.countDistinct("_id")).first()[0] != rows or self.status[s].count() != rows:
+                raise RunError("L400", f"a row of side {s} has no status, or several")
+            dups = self._union(f"dups_{s}")
+            if dups is not None and self.policy.duplicates == "hold" and not dups.join(links.select(F.col(f"{s}id").alias("_id")), "_id", "left_semi").isEmpty():
+                raise RunError("L400", f"a duplicate of side {s} is matched")
+            if self.policy.cardinality == "one_to_one" and self.policy.consume == "both":
+                o = "b" if s == "a" else "a"
+                unit = F.coalesce(f"{o}_group", F.to_json(f"{o}id"))
+                mine = links.filter(F.lit(not any(t.subset for t in self.policy.tiers)) | F.col(f"{s}_group").isNotNull())
+                if not mine.groupBy(f"{s}id").agg(F.countDistinct(unit).alias("n"), F.countDistinct("tier_index").alias("t")).filter("n > 1 or t > 1").join(links.filter(F.col("a_group").isNull() & F.col("b_group").isNull()), f"{s}id", "left_semi").isEmpty():
+                    raise RunError("L400", f"a row of side {s} is matched twice")

@@ -1,19 +1,21 @@
 """Subset tiers: one unit equals a combination of rows of the other side, within a stated bound.
 
 Members are joined to their unit by block and conditions; each unit's members go to one task, where a depth-first search over
-scaled integers enumerates subsets. A partial subset is extended only while the remaining items can still bring its sum to
+whole numbers at the columns' own scale enumerates subsets. The budget of examined subsets is the tier's. A partial subset is extended only while the remaining items can still bring its sum to
 the target. Copies (rows equal but for identity) are taken in identity order, so subsets that differ by copies count once.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerloom.errors import RunError
+from ledgerloom.errors import AnalysisError, RunError
 
 
 def search(values: list[int], copies: list[int], target: int, max_items: int, budget: int) -> tuple[list[tuple[int, ...]], int]:
@@ -33,7 +35,7 @@ def search(values: list[int], copies: list[int], target: int, max_items: int, bu
         left = max_items - len(chosen)
         for i in range(start, n):
             # of several copies the first ones are taken
-            if i > 0 and copies[i] == copies[i - 1] and (i - 1 not in chosen):
+            if i > start and copies[i] == copies[i - 1]:
                 continue
             examined += 1
             if examined > budget:
@@ -49,7 +51,7 @@ def search(values: list[int], copies: list[int], target: int, max_items: int, bu
 
 
 def upfront(members: int, max_items: int) -> int:
-    """Subsets of a unit without pruning."""
+    """Subsets of a unit of so many rows: what a search without pruning would examine."""
     return sum(comb(members, k) for k in range(1, min(members, max_items) + 1))
 
 
@@ -60,29 +62,45 @@ def tier(run, index: int, t) -> None:
     units, grouped = run._units(t, o)
     rows = run._available(s).withColumn("_unit", F.col("_id"))
     cand = run.scratch.keep(_members(run, t, units, rows, s, o))
-    scale = F.lit(10_000)
-    ready = cand.select(f"u{o}", f"u{s}", (F.col("_amount").cast("decimal(38,4)") * scale).cast("decimal(38,0)").cast("string").alias("v"), (F.col("_target").cast("decimal(38,4)") * scale).cast("decimal(38,0)").cast("string").alias("t"), F.to_json(f"x{s}").alias("x"), F.to_json(f"u{o}").alias("unit"), F.to_json(f"u{s}").alias("row"))
+    scale = 0
+    for c in ("_amount", "_target"):
+        kind = cand.schema[c].dataType
+        if not isinstance(kind, (T.IntegralType, T.DecimalType)):
+            raise AnalysisError("L314", f"a subset adds up whole numbers or decimals, not {kind.simpleString()}")
+        scale = max(scale, getattr(kind, "scale", 0))
+    ready = cand.select(f"u{o}", f"u{s}", F.col("_amount").cast("string").alias("v"), F.col("_target").cast("string").alias("t"), F.to_json(f"x{s}").alias("x"), F.to_json(f"u{o}").alias("unit"), F.to_json(f"u{s}").alias("row"))
     ready = ready.filter("v is not null and t is not null")
     max_items, budget, fewest = spec.max_items, spec.max_subsets, spec.fewest
+    sizes = ready.groupBy("unit").count().groupBy("count").agg(F.count("*").alias("units")).collect()
+    units_n, largest = sum(r["units"] for r in sizes), max((r["count"] for r in sizes), default=0)
+    run.costs[t.name] = {"units": units_n, "largest": largest, "bound": sum(upfront(r["count"], max_items) * r["units"] for r in sizes), "budget": budget}
+    names_of = ["unit", "n_subsets", "n_best", "x", "take", "row", "chosen", "examined"]
 
     def best(key, pdf):
         import pandas as pd
 
+        whole = lambda v: int(Decimal(v).scaleb(scale))
         pdf = pdf.sort_values(["x", "row"], kind="stable")
         copies = pd.factorize(pdf["x"])[0].tolist()
-        found, _ = search([int(v) for v in pdf["v"]], copies, int(pdf["t"].iloc[0]), max_items, budget)
-        if not found:
-            return pd.DataFrame([], columns=["unit", "n_subsets", "n_best", "x", "take", "row", "chosen"])
-        least = min(map(len, found))
-        top = [f for f in found if len(f) == least] if fewest else found
-        out, xs, row = [], pdf["x"].tolist(), pdf["row"].tolist()
-        used = {i for f in top for i in f}
-        for i in sorted(used):
-            group = [j for j in used if copies[j] == copies[i]]
-            out.append((key[0], len(found), len(top), xs[i], sum(copies[j] == copies[i] for j in top[0]) if len(top) == 1 else len(group), row[i], len(top) == 1))
-        return pd.DataFrame(out, columns=["unit", "n_subsets", "n_best", "x", "take", "row", "chosen"])
-
-    got = run.scratch.keep(ready.select("unit", "v", "t", "x", "row").groupBy("unit").applyInPandas(best, "unit string, n_subsets long, n_best long, x string, take long, row string, chosen boolean"))
+        found, examined = search([whole(v) for v in pdf["v"]], copies, whole(pdf["t"].iloc[0]), max_items, budget)
+        out = [(key[0], None, None, None, None, None, None, examined)]
+        if found:
+            least = min(map(len, found))
+            top = [f for f in found if len(f) == least] if fewest else found
+            xs, row = pdf["x"].tolist(), pdf["row"].tolist()
+            used = {i for f in top for i in f}
+            for i in sorted(used):
+                group = [j for j in used if copies[j] == copies[i]]
+                out.append((key[0], len(found), len(top), xs[i], sum(copies[j] == copies[i] for j in top[0]) if len(top) == 1 else len(group), row[i], len(top) == 1, None))
+        out = pd.DataFrame(out, columns=names_of)
+        return out.astype({c: "Int64" for c in ("n_subsets", "n_best", "take", "examined")})
+
+    got = run.scratch.keep(ready.select("unit", "v", "t", "x", "row").groupBy("unit").applyInPandas(best, "unit string, n_subsets long, n_best long, x string, take long, row string, chosen boolean, examined long"))
+    examined = got.agg(F.coalesce(F.sum("examined"), F.lit(0))).first()[0]
+    run.costs[t.name]["examined"] = examined
+    if examined > budget:
+        raise RunError("L315", f"tier {t.name} examined {examined} subsets of up to {max_items} rows ({units_n} units, the largest with {largest} rows), more than {budget}; block or require more, or lower max_items")
+    got = got.filter("examined is null").drop("examined")
     # copies are shared out in unit order; a kind of row that units need more often than it is there makes them ambiguous
     need = got.select("unit", "x", "take", "n_best").distinct()
     supply = run._available(s).groupBy(F.to_json("_ex").alias("x")).agg(F.count("*").alias("there"))

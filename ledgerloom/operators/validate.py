@@ -73,16 +73,19 @@ def results(r: Relation, checks: list[Check]) -> DataFrame:
             cols.append(c.measured.alias(f"m{i}"))
         else:
             cols.append(F.count_if(_failing(c)).alias(f"f{i}"))
-    one = r.df.agg(*cols)
-    rows = None
+    text = lambda v: F.lit(v).cast("string")
+    made = []
     for i, c in enumerate(shared):
         if c.kind == "whole":
-            good = F.coalesce(c.value, F.lit(False))
-            part = one.withColumn("m", F.col(f"m{i}")).select(F.when(good, "pass").otherwise("fail").alias("status"), F.lit(None).cast("long").alias("failing_rows"), F.col("n").alias("total_rows"), F.col("m").cast("string").alias("measured"))
+            status, failing, measured = F.when(F.coalesce(F.col(f"good{i}"), F.lit(False)), "pass").otherwise("fail"), F.lit(None).cast("long"), F.col(f"m{i}").cast("string")
         else:
-            part = one.select(F.when(F.col(f"f{i}") == 0, "pass").otherwise("fail").alias("status"), F.col(f"f{i}").alias("failing_rows"), F.col("n").alias("total_rows"), F.lit(None).cast("string").alias("measured"))
-        part = part.select(F.lit(c.name).alias("check"), F.lit(c.severity).alias("severity"), "*")
-        rows = part if rows is None else rows.unionByName(part)
+            status, failing, measured = F.when(F.col(f"f{i}") == 0, "pass").otherwise("fail"), F.col(f"f{i}"), text(None)
+        made.append(F.struct(text(c.name).alias("check"), text(c.severity).alias("severity"), status.alias("status"), failing.alias("failing_rows"), F.col("n").alias("total_rows"), measured.alias("measured")))
+    one = r.df.agg(*cols)
+    for i, c in enumerate(shared):
+        if c.kind == "whole":  # its condition reads the measured value as m
+            one = one.withColumn("m", F.col(f"m{i}")).withColumn(f"good{i}", c.value)
+    rows = one.select(F.inline(F.array(*made))) if made else None
     for c in (c for c in checks if c.kind == "unique"):
         groups = r.df.groupBy(*c.value).agg(F.count("*").alias("k"))
         part = groups.agg(F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias("failing_rows"), F.coalesce(F.sum("k"), F.lit(0)).alias("total_rows"))

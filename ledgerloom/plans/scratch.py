@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.errors import RunError
 
 
 class Scratch:
+    """Tables below one folder. Without the setting, only a session on one machine gets a folder: /tmp is no cluster's shared folder."""
+
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ledgerloom-scratch"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RunError("L200", "spark.checkpoint.dir names no shared folder")
+            base = "/tmp/ledgerloom-scratch"
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -17,3 +26,17 @@ class Scratch:
         self.n += 1
         df.write.parquet(f"{self.root}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
+
+
+def numbered(scratch: Scratch, df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with numbers from 1 in the given order (df's own, if it is empty), without moving all rows to one task: rows are numbered in their
+    sorted partition, of which only the sizes are gathered."""
+    at = (F.shiftright(F.col(name), 33), F.col(name).bitwiseAND(F.lit((1 << 33) - 1)))
+    kept = scratch.keep((df.orderBy(*order) if order else df).withColumn(name, F.monotonically_increasing_id()))
+    sizes = {r["part"]: r["n"] for r in kept.groupBy(at[0].cast("int").alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, offsets = 0, []
+    for part in range(max(sizes, default=-1) + 1):
+        offsets.append(before)
+        before += sizes.get(part, 0)
+    start = F.get(F.array(*map(F.lit, offsets)), at[0].cast("int")) if offsets else F.lit(0)
+    return kept.withColumn(name, (start + at[1] + 1).cast("long"))

@@ -1,3 +1,5 @@
+import decimal
+import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ import pytest
 
 from ledgerloom.errors import AnalysisError, RunError
 from ledgerloom.operators import subsets
-from ledgerloom.operators.reconcile import Policy, Run, Subset, Tier
+from ledgerloom.operators.reconcile import Policy, Run, Subset, Tier, read_columns
 from ledgerloom.queries import reconciling
 from ledgerloom.relation import Relation
 
@@ -16,7 +18,7 @@ def side(spark, rows, schema, name):
 
 
 def pairs(run):
-    return sorted((r.a_id, r.b_id) for r in run.matches.collect()) if run.matches is not None else []
+    return sorted((r.a_id, r.b_id) for r in run.matches.collect())
 
 
 def status(run, s):
@@ -98,6 +100,95 @@ def test_subset_search():
         subsets.search(list(range(1, 20)), list(range(19)), 60, 6, 20)
 
 
+def test_subset_sums_are_exact(spark):
+    """No two of these add up to the target at the columns' own scale, though they do when rounded to four places."""
+    schema = "id long, amount decimal(18,6)"
+    D = decimal.Decimal
+    a = side(spark, [(1, D("1.000001")), (2, D("0.900000"))], schema, "a")
+    b = side(spark, [(11, D("0.400000")), (12, D("0.600049")), (13, D("0.500000"))], schema, "b")
+    policy = Policy((Tier("payout", block=(), subset=Subset("b", "amount", "amount", max_items=2)),))
+    assert pairs(Run(a, b, policy).run()) == [(2, 11), (2, 13)]
+    floats = Relation(b.df.withColumn("amount", F.col("amount").cast("double")), "b", ("id",))
+    with pytest.raises(AnalysisError, match="L314"):
+        Run(a, floats, policy).run()
+
+
+def test_subset_budget_is_the_tiers(spark):
+    """Each unit examines fewer subsets than the budget, both together more."""
+    a = side(spark, [(1, "x", 3), (2, "y", 3)], "id long, k string, amount long", "a")
+    b = side(spark, [(i, k, i) for k, base in (("x", 0), ("y", 10)) for i in range(base + 1, base + 4)], "id long, k string, amount long", "b")
+    tier = lambda n: Tier("payout", block=(("k", "k"),), subset=Subset("b", "amount", "amount", max_items=2, max_subsets=n))
+    run = Run(a, b, Policy((tier(1000),))).run()
+    cost = run.costs["payout"]
+    assert (cost["units"], cost["largest"], cost["bound"]) == (2, 3, 12) and 0 < cost["examined"] <= 12
+    with pytest.raises(RunError, match="L315"):
+        Run(a, b, Policy((tier(cost["examined"] - 1),))).run()
+
+
+def test_policy_columns_come_from_the_tree(spark):
+    """A column with a blank in its name tells rows apart; a text that looks like a column doesn't."""
+    a = side(spark, [(1, "p", 5), (2, "q", 5)], "id long, `order id` string, amt long", "a")
+    b = side(spark, [(7, "q", 5), (8, "p", 5)], "id long, `order id` string, amt long", "b")
+    same = F.col("a.`order id`") == F.col("b.`order id`")
+    assert pairs(Run(a, b, Policy((Tier("t", require=(same,), block=()),))).run()) == [(1, 8), (2, 7)]
+    assert read_columns([same, F.lit("a.amt") == F.col("b.amt"), F.expr("a.x + b.y > 1")], "a") == {"order id", "x"}
+
+
+def test_outputs_have_their_columns_without_rows(spark):
+    a = side(spark, [(1, 5)], "id long, amt long", "a")
+    b = side(spark, [(7, 6)], "id long, amt long", "b")
+    tier = Tier("t", require=(F.col("a.amt") == F.col("b.amt"),), block=(), evidence={"gap": F.col("b.amt") - F.col("a.amt")}, flags={"big": F.col("a.amt") > 3})
+    run = Run(a, b, Policy((tier,)), ("bank", "book")).run()
+    head = ["tier", "tier_index", "a_group", "b_group", "bank_id", "book_id"]
+    assert run.matches.columns == [*head, "gap", "big", "flags", "candidates_a", "candidates_b", "candidate_rank", "rank_values", "reason", "bank_amt", "book_amt"]
+    assert run.ambiguous.columns[:3] == ["tier", "tier_index", "ambiguity_id"] and run.candidates.columns[:7] == [*head, "outcome"]
+    assert all(x.isEmpty() for x in (run.matches, run.ambiguous, run.candidates))
+    near = Run(a, b, Policy((Tier("t", require=(F.col("a.amt") <= F.col("b.amt"),), block=(), evidence=tier.evidence, flags=tier.flags),)), ("bank", "book")).run().matches.first()
+    assert (near.gap, near.big, near.flags, near.bank_id, near.book_amt) == (1, True, "big", 1, 6) and "a.amt" in near.reason.replace("'", "")
+
+
+def test_rows_without_identity_are_numbered_by_content(spark):
+    make = lambda rows, name: Relation(spark.createDataFrame(rows, "k string, amt long").repartition(3), name)
+    a, b = make([("b", 2), ("a", 2), ("a", 1), ("a", 1)], "a"), make([("a", 1)], "b")
+    run = Run(a, b, Policy((Tier("t", block=(("k", "k"), ("amt", "amt"))),))).run()
+    assert [(r.a_row, r.k, r.amt, r.match_status) for r in run.unmatched_a.orderBy("a_row").collect()] == [(2, "a", 1, "duplicate"), (3, "a", 2, "unmatched"), (4, "b", 2, "unmatched")]
+    assert run.matches.first().a_row == 1
+
+
+def test_ambiguities_are_numbered_in_order(spark):
+    a = side(spark, [(i, i) for i in range(1, 6)], "id long, k long", "a")
+    b = side(spark, [(10 * i + j, i, str(j)) for i in range(1, 6) for j in (1, 2)], "id long, k long, note string", "b")
+    got = Run(a, b, Policy((Tier("t", block=(("k", "k"),)),))).run().ambiguous.collect()
+    assert sorted({r.ambiguity_id for r in got}) == [1, 2, 3, 4, 5] and all(r.a_k == r.b_k for r in got) and len(got) == 10
+
+
+def matched_by_hand(a, b, gap, most):
+    """Mutual best pairs, round by round, of rows that all differ; what ties is left."""
+    a, b, out = dict(a), dict(b), []
+    cand = {(i, j): gap(a[i], b[j]) for i in a for j in b if gap(a[i], b[j]) is not None and gap(a[i], b[j]) <= most}
+    while True:
+        best_a = {i: [j for (x, j), g in cand.items() if x == i and g == min(h for (y, _), h in cand.items() if y == i)] for i in {i for i, _ in cand}}
+        best_b = {j: [i for (i, y), g in cand.items() if y == j and g == min(h for (_, z), h in cand.items() if z == j)] for j in {j for _, j in cand}}
+        found = [(i, js[0]) for i, js in best_a.items() if len(js) == 1 and best_b[js[0]] == [i]]
+        if not found:
+            return sorted(out)
+        out += found
+        gone_a, gone_b = {i for i, _ in found}, {j for _, j in found}
+        cand = {(i, j): g for (i, j), g in cand.items() if i not in gone_a and j not in gone_b}
+
+
+def test_rounds_match_brute_force(spark):
+    rnd = random.Random(4)
+    spread = rnd.sample(range(400), 60)  # all differ; no two distances of a row are equal, or the case is drawn again
+    a, b = {i: 2 * x for i, x in enumerate(spread[:30])}, {100 + i: 2 * x + rnd.choice([0, 1]) for i, x in enumerate(spread[30:])}
+    near = F.abs(F.col("a.v") - F.col("b.v"))
+    run = Run(side(spark, list(a.items()), "id long, v long", "a"), side(spark, list(b.items()), "id long, v long", "b"), Policy((Tier("t", require=(near <= 40,), rank=((near, False),), block=()),))).run()
+    want = matched_by_hand(a, b, lambda x, y: abs(x - y), 40)
+    assert len(want) > 12 and set(want) <= set(pairs(run)) and run.rounds["t"] > 1
+    tied = {r.a_id for r in run.ambiguous.collect()} | {r.b_id for r in run.ambiguous.collect()}
+    assert all(not {i, j} & tied for i, j in want)
+
+
 def test_subset_tier(spark):
     a = side(spark, [(1, 300), (2, 100), (3, 999)], "id long, amount long", "a")
     b = side(spark, [(11, 100), (12, 200), (13, 100)], "id long, amount long", "b")
