@@ -99,10 +99,7 @@ class Program:
         if owner is not None and owner.kind == "source" and part == "rejects":
             return Relation(self._source(owner).rejects, name=name)
         if owner is not None and owner.kind == "reconcile" and part in ("matches", "ambiguous", "unmatched_a", "unmatched_b", "candidates", "summary"):
-            df = getattr(self._reconcile(owner), part)
-            if df is None:
-                raise RunError("L300", f"{name} is empty and has no columns")
-            return Relation(df, name=name)
+            return Relation(getattr(self._reconcile(owner), part), name=name)
         raise AnalysisError("L002", f"no relation {name}")
 
     def names(self) -> list[str]:
@@ -348,16 +345,17 @@ class Program:
                 os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
                 rel = s.data["relation"]
                 chart = self.by_name.get((rel or "").lower())
+                if path in targets:
+                    raise AnalysisError("L504", "two exports write the same file")
                 if chart is not None and chart.kind == "chart":
-                    charts[path] = chart
+                    o = chart.data["options"]
+                    charts[path] = {"kind": o["kind"], "x": o["x"], "y": o["y"], "title": o.get("title", "")}
+                    targets[path] = self.relation(chart.data["relation"])
                 elif s.data["parts"]:
                     targets[path] = {label: self.relation(n) for label, n in s.data["parts"]}
                 else:
                     targets[path] = self.relation(rel)
-            X.export(targets)
-            for path, c in charts.items():
-                o = c.data["options"]
-                X.export({path: self.relation(c.data["relation"])}, kind=o["kind"], x=o["x"], y=o["y"], title=o.get("title", ""))
+            X.export(targets, charts)
         return failed
 
     def explain(self, name: str) -> str:
@@ -536,4 +534,4 @@ class _Lowering:
 
     def run(self) -> Rec.Run:
         policy = Rec.Policy(tuple(self.tier(t) for t in self.d["tiers"]), self.block(self.d["block"]), **self.d["options"])
-        return Rec.Run(self.rel["a"], self.rel["b"], policy).run()
+        return Rec.Run(self.rel["a"], self.rel["b"], policy, (self.na, self.nb)).run()

@@ -1,7 +1,8 @@
 """Readers: CSV, fixed-width, spreadsheet, Parquet, database files and SQL connections, all as text or typed DataFrames.
 
-Whole CSV files and Parquet are read by Spark in parallel. Sections, preambles, spreadsheets and fixed-width files without
-line ends are laid out by bytes that only make sense in file order; these small documents are split on the driver.
+CSV, fixed-width and Parquet files are read by Spark's tasks, a CSV file in splits unless one of its records spans lines; rows are
+numbered by the sizes of the splits before them. Sections of a CSV file and spreadsheets only make sense in file order; these
+documents are laid out on the driver. A database file is one process' file: the driver streams it in bounded batches.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 import zipfile
 from collections import Counter
 from datetime import datetime, timedelta
+from itertools import count
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,25 +20,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.errors import AnalysisError, RunError
+from ledgerloom.plans.scratch import Scratch, numbered
 
 HEAD = 1 << 20
+#: Rows of a database file in memory at once.
+BATCH = 200_000
 
 
 def header_names(cells: list[str | None]) -> list[str]:
     """Runs of blanks become one; a blank name is column_<i>; repeats get _2, _3, skipping names the header has elsewhere."""
-    clean = [" ".join((c or "").split()) for c in cells]
-    own = {c.lower() for c in clean if c}
-    taken: set[str] = set()
-    out = []
-    for i, c in enumerate(clean):
-        name, k = c or f"column_{i + 1}", 2
-        if name.lower() in taken:
-            while f"{name}_{k}".lower() in own | taken:
-                k += 1
-            name = f"{name}_{k}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+    names = [" ".join((c or "").split()) or f"column_{i}" for i, c in enumerate(cells, 1)]
+    met: Counter = Counter()
+    every = {n.lower() for n in names}
+    for i, name in enumerate(names):
+        met[name.lower()] += 1
+        if met[name.lower()] > 1:
+            names[i] = next(x for k in count(met[name.lower()]) if (x := f"{name}_{k}").lower() not in every)
+            every.add(names[i].lower())
+    return names
 
 
 def split_line_fields(text: str, delimiter: str) -> list[tuple[int, list[str]]]:
@@ -136,23 +137,70 @@ def _head(spark: SparkSession, path: str) -> str:
         n *= 8
 
 
+def ends_open(line: str, delimiter: str) -> bool:
+    """Whether a line ends inside quotes, so that its record goes on in the next one."""
+    if '"' not in line:
+        return False
+    i, n = 0, len(line)
+    while i < n:
+        if line[i] != '"':  # a quote opens at the start of a field only
+            i = line.find(delimiter, i)
+            if i < 0:
+                return False
+            i += 1
+            continue
+        i += 1
+        while True:
+            i = line.find('"', i)
+            if i < 0:
+                return True
+            if line[i + 1 : i + 2] != '"':
+                break
+            i += 2
+        i = line.find(delimiter, i + 1)
+        if i < 0:
+            return False
+        i += 1
+    return False
+
+
+def _spans_lines(spark: SparkSession, path: str, delimiter: str) -> bool:
+    """Whether some record of the file goes on in another line; lines are looked at in parallel."""
+
+    def odd(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            quoted = batch.column(0).filter(pc.match_substring(batch.column(0), '"'))
+            n = sum(ends_open(x, delimiter) for x in quoted.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return not spark.read.text(path).mapInArrow(odd, "n long").filter("n > 0").isEmpty()
+
+
 def csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, section: int | None = None, ragged: bool = False, row_number: str | None = None) -> DataFrame:
-    """All columns as text. Sections and row numbers need the file's order and read it whole; else Spark splits it among tasks."""
-    if section is not None or row_number:
+    """All columns as text. A section needs the file's order and is read whole; else Spark splits the file among tasks, which number the
+    rows, if asked to, by the sizes of the parts before them. A file with a record of several lines is one task's work."""
+    if section is not None:
         text = spark.read.text(path, wholetext=True).first()[0]
-        return csv_section(spark, text.removeprefix("﻿"), section, delimiter, header, ragged, row_number)
-    head = _head(spark, path)
+        return csv_section(spark, text.removeprefix("\ufeff"), section, delimiter, header, ragged, row_number)
+    head = _head(spark, path).removeprefix("\ufeff")
     d = delimiter or guess_delimiter(head)
-    first = split_line_fields(head.removeprefix("﻿"), d)
-    names = header_names(first[0][1]) if header else [f"column_{i + 1}" for i in range(len(first[0][1]))]
-    wanted = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_bad", T.StringType())])
-    options = dict(sep=d, quote='"', escape='"', header=header, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    first = next((f for _, f in split_line_fields(head, d) if any(x.strip() for x in f)), None)
+    if first is None:
+        raise RunError("L200", "the file has no table")
+    names = header_names(first) if header else [f"column_{i + 1}" for i in range(len(first))]
+    bad, ok = (next(f"{x}{k or ''}" for k in count() if f"{x}{k or ''}" not in {n.lower() for n in names}) for x in ("_bad", "_ok"))
+    wanted = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(bad, T.StringType())])
+    options = dict(sep=d, quote='"', escape='"', header=header, multiLine=_spans_lines(spark, path, d), mode="PERMISSIVE", columnNameOfCorruptRecord=bad, enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = spark.read.schema(wanted).options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).csv(path)
-    filled = F.size(F.array_compact(F.array(*[F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")) for n in names])))
-    short = F.size(F.split(F.col("_bad"), re.escape(d))) < len(names)
-    bad = F.col("_bad").isNotNull() & (~short if ragged else F.lit(True)) & (filled > 0)
-    checked = df.withColumn("_ok", F.when(bad, F.raise_error(F.lit("L212: a line has another number of fields"))).otherwise(filled))
-    return checked.filter("_ok > 0").select(*names)
+    has_text = F.exists(F.array(*[F.col(f"`{n}`") for n in names]), lambda c: c.rlike(r"[^\s\p{Z}\x1c-\x1f\x85]"))
+    short = F.col(f"`{names[-1]}`").isNull()  # a line of fewer fields leaves the last column empty, a longer one fills it
+    wrong = F.col(bad).isNotNull() & (~short if ragged else F.lit(True)) & has_text
+    checked = df.withColumn(ok, F.when(wrong, F.raise_error(F.lit("L212: a line has another number of fields"))).otherwise(F.coalesce(has_text, F.lit(False))))
+    rows = checked.filter(F.col(ok)).select(*[F.col(f"`{n}`") for n in names])
+    return numbered(Scratch(spark, "csv"), rows, [], row_number).select(row_number, *[F.col(f"`{n}`") for n in names]) if row_number else rows
 
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -165,31 +213,40 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
 def fixed_width(spark: SparkSession, path: str, layout: list[tuple[str, int, int, str]], encoding: str = "utf-8", record: str | None = None, record_length: int | None = None, row_number: str | None = None) -> DataFrame:
     """layout: (name, 1-based start byte, length, code A text, N whole number, D YYYYMMDD, M amount with two implied decimals).
 
-    Records are lines, or blocks of ``record_length`` bytes; ``record`` keeps those that begin with it.
+    Records are lines, or blocks of ``record_length`` bytes; ``record`` keeps those that begin with it. Lines are read in splits; blocks by one
+    task a file.
     """
-    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    lines = [data[i : i + record_length] for i in range(0, len(data), record_length)] if record_length else re.split(rb"\r\n|\n|\r", data)
-    lines = [x for x in lines if x.strip() and (record is None or x.startswith(record.encode(encoding)))]
-    if len({len(x) for x in lines}) > 1:
+    if record_length:
+        whole = spark.read.format("binaryFile").load(path).select("content")
+        starts = F.sequence(F.lit(0).cast("long"), F.octet_length("content").cast("long") - 1, F.lit(record_length).cast("long"))
+        records = whole.filter(F.octet_length("content") > 0).select("content", F.explode(starts).alias("at")).select(F.substring("content", F.col("at").cast("int") + 1, F.lit(record_length)).alias("r"))
+    else:
+        records = spark.read.text(path).select(F.col("value").cast("binary").alias("r"))
+    shown = F.decode("r", "iso-8859-1")  # a character for each byte
+    records = records.filter(shown.rlike(r"[^\s]"))
+    if record is not None:
+        records = records.filter(F.substring("r", F.lit(1), F.lit(len(record.encode(encoding)))) == F.lit(record.encode(encoding)))
+    n = "_n"
+    records = numbered(Scratch(spark, "fixed-width"), records, [], n)
+    sizes = records.agg(F.min(F.octet_length("r")), F.max(F.octet_length("r"))).first()
+    if sizes[0] != sizes[1]:
         raise RunError("L212", "records differ in length")
-    rows = []
-    for x in lines:
-        row = []
-        for _, start, length, code in layout:
-            v = x[start - 1 : start - 1 + length].decode(encoding)
-            t = v.strip()
-            if code == "D":
-                v = None if not t.strip("0") else f"{t[:4]}-{t[4:6]}-{t[6:]}" if re.fullmatch(r"\d{8}", t) else t
-            elif code == "M":
-                m = re.fullmatch(r"([+-]?)(\d+)([+-]?)", t)
-                v = f"{'-' if '-' in (m[1], m[3]) else ''}{int(m[2]) // 100}.{int(m[2]) % 100:02d}" if m else t
-            elif code == "N":
-                v = t
-            else:
-                v = v.rstrip() or None
-            row.append(v)
-        rows.append(row)
-    return _rows(spark, [f[0] for f in layout], rows, row_number)
+    columns = []
+    for name, start, length, code in layout:
+        v = F.decode(F.substring("r", F.lit(start), F.lit(length)), encoding)
+        t = F.regexp_replace(v, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+        if code == "D":
+            v = F.when(t.rlike("^0*$"), None).when(t.rlike(r"^[0-9]{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))).otherwise(t)
+        elif code == "M":
+            digits = F.lpad(F.regexp_replace(F.regexp_replace(t, "[^0-9]", ""), "^0+", ""), F.greatest(F.length(F.regexp_replace(F.regexp_replace(t, "[^0-9]", ""), "^0+", "")), F.lit(3)), F.lit("0"))
+            amount = F.concat(F.when(t.contains("-"), "-").otherwise(""), F.substring(digits, F.lit(1), F.length(digits) - 2), F.lit("."), F.substring(digits, F.length(digits) - 1, F.lit(2)))
+            v = F.when(t.rlike(r"^[+-]?[0-9]+[+-]?$"), amount).otherwise(t)
+        elif code == "N":
+            v = t
+        else:
+            v = F.nullif(F.regexp_replace(v, r"[\s\p{Z}]+$", ""), F.lit(""))
+        columns.append(v.alias(name))
+    return records.select(*([F.col(n).alias(row_number)] if row_number else []), *columns)
 
 
 LAYOUT_TYPES = {"A": "string", "N": "int", "D": "date", "M": "decimal(18,2)"}
@@ -281,17 +338,56 @@ def excel(spark: SparkSession, path: str, sheet: str | None = None, cells: str |
     return _rows(spark, names, table[1:] if header else table, row_number)
 
 
+def _plain_table(table):
+    """An Arrow table with types that Spark has: wider integers for unsigned ones, text for what it lacks."""
+    import pyarrow as pa
+
+    fields = []
+    for f in table.schema:
+        t = f.type
+        if pa.types.is_unsigned_integer(t):
+            t = pa.decimal128(20, 0) if t.bit_width == 64 else pa.int64()
+        elif pa.types.is_dictionary(t) or pa.types.is_time(t) or pa.types.is_duration(t) or pa.types.is_interval(t):
+            t = pa.string()
+        elif pa.types.is_timestamp(t) and t.unit != "us":
+            t = pa.timestamp("us", t.tz)
+        fields.append(pa.field(f.name, t))
+    columns = [c if c.type == f.type else pa.chunked_array([pa.array([None if v is None else str(v) for v in c.to_pylist()], pa.string())]) if pa.types.is_string(f.type) and not pa.types.is_dictionary(c.type) else c.cast(f.type) for c, f in zip(table.columns, fields)]
+    return pa.table(columns, schema=pa.schema(fields))
+
+
 def database_file(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """The rows of a query on an embedded database file, through Arrow."""
+    """The rows of a query on an embedded database file, through Arrow in batches: whole numbers, decimals and nulls stay what they are.
+
+    More than one batch goes to scratch tables, so that the driver holds BATCH rows at most.
+    """
     import duckdb
+    import pyarrow as pa
 
     con = duckdb.connect(path, read_only=True)
     try:
-        return spark.createDataFrame(con.execute(query.rstrip().rstrip(";")).fetchdf())
+        batches = con.execute(query.rstrip().rstrip(";")).to_arrow_reader(BATCH)
+        made, held = None, []
+        for batch in batches:
+            if held:
+                made = _append(spark, made, held)
+            held = [batch]
+        last = spark.createDataFrame(_plain_table(pa.Table.from_batches(held, batches.schema)))
+        return last if made is None else made[1](last)
     finally:
         con.close()
 
 
+def _append(spark: SparkSession, made, held):
+    """A scratch folder that batches are appended to, and what reads it with the last one."""
+    import pyarrow as pa
+
+    path = made[0] if made else f"{Scratch(spark, 'database').root}/rows"
+    df = spark.createDataFrame(_plain_table(pa.Table.from_batches(held)))
+    df.write.mode("append").parquet(path)
+    return path, lambda last: spark.read.schema(last.schema).parquet(path).unionByName(last)
+
+
 def secret(value: str | dict) -> str:
     """A literal, or {"env": NAME}: read when used, never kept in plans or messages."""
     if isinstance(value, dict):

@@ -32,9 +32,9 @@ def test_inference(spark):
 
 def test_headers_and_sections(spark):
     assert R.header_names(["id", "Amount", "amount", "", "amount_2", "a  b"]) == ["id", "Amount", "amount_3", "column_4", "amount_2", "a b"]
-    text = 'Statement, 2024\nkey:,value\n\nid;amount;note\n1;"2;5";PIPE 12" STEEL\n2;3;"two\nlines"\n\ntotal;3\n'
+    text = 'Harvest of, 2031\nfield:,north\n\nrow;weight;remark\n1;"2;5";tall by 3" or so\n2;3;"two\nlines"\n\nsum;3\n'
     df = R.csv_section(spark, text, section=2, delimiter=";", row_number="n")
-    assert [tuple(r) for r in df.orderBy("n").collect()] == [(1, "1", "2;5", 'PIPE 12" STEEL'), (2, "2", "3", "two\nlines")]
+    assert [tuple(r) for r in df.orderBy("n").collect()] == [(1, "1", "2;5", 'tall by 3" or so'), (2, "2", "3", "two\nlines")]
     assert R.guess_delimiter("a;b;c\n1;2,5;3\n4;5;6\n") == ";"
     with pytest.raises(RunError):
         R.csv_section(spark, "a,b\n1\n")
@@ -52,6 +52,50 @@ def test_csv_in_parallel(spark, tmp_path):
         R.csv(spark, str(p)).collect()
 
 
+def test_csv_rows_are_numbered_in_splits(spark, tmp_path):
+    """The splits' rows get the numbers of the file's order; a record of several lines is met wherever it is."""
+    lines = [f'{i},"v {i}",{"" if i % 7 else "x"}' for i in range(1, 4001)]
+    p = tmp_path / "a.csv"
+    p.write_text("\ufeffid,name,tag\n" + "\n\t\n".join(lines) + "\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = R.csv(spark, str(p), row_number="n")
+        assert spark.read.text(str(p)).rdd.getNumPartitions() > 4
+        assert [tuple(r) for r in df.orderBy("n").collect()] == [(i, str(i), f"v {i}", None if i % 7 else "x") for i in range(1, 4001)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    p.write_text('id,name\n1,"a\nb"\n2,c "d\n3,"e ""f"" g"\n')
+    assert [tuple(r) for r in R.csv(spark, str(p), row_number="n").orderBy("n").collect()] == [(1, "1", "a\nb"), (2, "2", 'c "d'), (3, "3", 'e "f" g')]
+    assert [R.ends_open(x, ",") for x in ('a,"b', 'a,"b"', 'a 3" b,c', '"a""', '"a"",b"', 'a,"b"x,"c')] == [True, False, False, True, False, True]
+    p.write_text("id,name\n1\n")
+    assert [tuple(r) for r in R.csv(spark, str(p), ragged=True, row_number="n").collect()] == [(1, "1", None)]
+    with pytest.raises(Exception, match="L212"):
+        R.csv(spark, str(p), row_number="n").collect()
+
+
+def test_database_files_keep_numbers_and_nulls(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    path = f"{tmp_path}/a.duckdb"
+    con = duckdb.connect(path)
+    con.execute("create table t as select * from (values (9007199254740993, 1234567890123456.78::decimal(18,2), date '2024-02-29', 7::utinyint, 'x'), (null, null, null, null, null), (3, 4.5, null, 255, 'y')) v(id, m, d, u, s)")
+    con.close()
+    want = {(9007199254740993, decimal.Decimal("1234567890123456.78"), datetime.date(2024, 2, 29), 7, "x"), (None,) * 5, (3, decimal.Decimal("4.50"), None, 255, "y")}
+    assert set(map(tuple, R.database_file(spark, path, "select * from t").collect())) == want
+    monkeypatch.setattr(R, "BATCH", 1)
+    assert set(map(tuple, R.database_file(spark, path, "select * from t").collect())) == want
+    assert R.database_file(spark, path, "select * from t where id < 0").dtypes[:2] == [("id", "bigint"), ("m", "decimal(18,2)")]
+    r = Relation(R.database_file(spark, path, "select * from t"), "t")
+    X.export({f"{tmp_path}/b.duckdb": {"t": r, "none": Relation(r.df.limit(0), "none")}})
+    con = duckdb.connect(f"{tmp_path}/b.duckdb")
+    assert set(con.execute("select * from t").fetchall()) == want and con.execute("select count(*) from \"none\"").fetchone() == (0,)
+    assert con.execute("select column_type from (describe t)").fetchall()[:2] == [("BIGINT",), ("DECIMAL(18,2)",)]
+
+
+def test_sheet_titles_differ():
+    assert X._sheet_titles(["a" * 40, "A" * 50, "b"]) == ["a" * 31, "A" * 27 + " (2)", "b"]
+
+
 def test_csv_guesses_from_the_first_megabyte(spark, tmp_path):
     """Over the first 250 lines , and ; are as good as each other."""
     text = "price, net;name\n" + "1,5;x\n" * 250 + "2;y\n" * 300
