@@ -2,18 +2,21 @@
 
 Whole texts are cut where a rolling hash of the last bytes has a fixed pattern, so that equal passages of different documents
 give equal chunks. The inside of a chunk, between its first and last blank, is encoded once and kept in a bounded cache of the
-worker; the pieces of words at a join of two chunks are put together and encoded again, over as many chunks as a word spans,
+worker, of which the half not used for longest goes when it is full; the pieces of words at a join of two chunks are put together and encoded again, over as many chunks as a word spans,
 so that the ids are exactly those of the whole text. Words are encoded once for as long as they stay in a second cache.
 
 A global exchange of chunks would move each text twice through a shuffle and cost more than encoding; reuse is therefore per
 worker, which documents of one task or of tasks that follow each other share.
 
-The vocabulary is a file of the tokenizers library that splits at white space and has no decoder (its path is a parameter).
-Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows give equal rows.
+The vocabulary is a file of the tokenizers library (its path is a parameter). Chunks and words can be encoded apart where the file's
+rules are those of RULES: blanks and case don't matter beyond a word, and tokens are joined by blanks. With other rules each
+whole text goes through the library. Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows give
+equal rows; texts of any length are encoded whole; other columns of the caller are not read.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import types
 import unicodedata
@@ -32,6 +35,18 @@ _BLANK = b" \t\n\r\x0b\x0c"
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: The normaliser, splitter and decoder of a vocabulary file whose words can be encoded apart.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+    "decoder": None,
+}
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -73,6 +88,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.by_words = {k: json.loads(self.whole.to_str()).get(k) for k in RULES} == RULES
         self.bare = Tokenizer(self.whole.model)
         self.tokens = [(self.whole.id_to_token(i) or "").encode() for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
@@ -80,6 +98,7 @@ class Encoder:
         self.letters = _byte_letters()
         self.ids = Words(self.learn)
         self.chunks: dict[bytes, bytes] = {}
+        self.old_chunks: dict[bytes, bytes] = {}
         self.chunk_bytes = 0
 
     def _plain(self, word: str) -> list[str] | None:
@@ -131,12 +150,14 @@ class Encoder:
         """words(), once for each chunk in the cache."""
         got = self.chunks.get(chunk)
         if got is None:
-            got = self.words(chunk)
-            self.chunk_bytes += len(chunk) + len(got) + 200
-            if self.chunk_bytes > CACHED_CHUNK_BYTES:
-                self.chunks.clear()
-                self.chunk_bytes = len(chunk) + len(got) + 200
+            got = self.old_chunks.get(chunk)
+            if got is None:
+                got = self.words(chunk)
+            size = len(chunk) + len(got) + 200
+            if self.chunk_bytes + size > CACHED_CHUNK_BYTES // 2:
+                self.old_chunks, self.chunks, self.chunk_bytes = self.chunks, {}, 0
             self.chunks[chunk] = got
+            self.chunk_bytes += size
         return got
 
     def text(self, data: bytes, cuts: np.ndarray) -> bytes:
@@ -196,8 +217,14 @@ def encode_texts(col, path: str, limit: int = 2 << 20) -> tuple[list[bytes], lis
     ids, decoded = [], []
     for a, b in C.slices(offsets, limit):
         d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        cuts, own = cut_points(d, o)
         raw = d.tobytes()
+        if not e.by_words:
+            for i in range(b - a):
+                found = e.whole.encode(raw[o[i] : o[i + 1]].decode(), add_special_tokens=False).ids
+                ids.append(np.array(found, dtype="<u4").tobytes())
+                decoded.append(e.whole.decode(found, skip_special_tokens=False).encode())
+            continue
+        cuts, own = cut_points(d, o)
         e.ids.see(set(raw.split()))
         for i in range(b - a):
             ids.append(e.text(raw[o[i] : o[i + 1]], cuts[own[i] : own[i + 1]] - o[i]))
