@@ -4,11 +4,12 @@ Trusted positives and unlabelled web text train a linear scorer that minimises
 
     prior * E_pos[loss(f)] + max(0, E_unl[loss(-f)] - prior * E_pos[loss(-f)])
 
-with the logistic loss (Kiryo et al., 2017). The class prior is the share of positives among the labelled rows.
+with the logistic loss (Kiryo et al., 2017). The class prior is the share of positives among the labelled rows, from 0.05 to 0.95.
 A score depends on the text alone: frequencies of byte-class pairs, and how much of the text repeats itself.
 
 Defined cases: null and empty texts have the features of an empty text and get a score as any other; a document with
-contradicting labels counts as unlabelled; repeated rows are scored alike; without any positive label every score is the prior.
+contradicting labels counts as unlabelled; repeated rows are scored alike, and an id gives one row to learn from: the one whose text has the
+smallest hash; without any positive label every score is one half; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -130,7 +131,8 @@ def _sample_features(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) ->
     def vector(col):
         return pa.array(list(features(col)), type=pa.list_(pa.float32()))
 
-    rows = docs.select(doc_id, text).join(F.broadcast(ids), doc_id, "left_semi").select(vector(F.col(text)).alias("x"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids.select(F.col(doc_id).alias("id"))), "id", "left_semi")
+    rows = rows.groupBy("id").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select(vector(F.col("t")).alias("x"))
     return np.array([r for r in rows.toPandas()["x"]], dtype=np.float64).reshape(-1, N_FEATURES)
 
 
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, text: str = "text"
     if not share:
         return QualityModel(np.zeros(N_FEATURES), 0.0, np.zeros(N_FEATURES), np.ones(N_FEATURES), 0.5)
     prior = float(min(max(share, 0.05), 0.95))
-    by_hash = lambda df, n: df.select(doc_id).orderBy(F.xxhash64(F.lit("quality"), F.col(doc_id)), doc_id).limit(n)
+    by_hash = lambda df, n: df.select(doc_id).distinct().orderBy(F.xxhash64(F.lit("quality"), F.col(doc_id)), doc_id).limit(n)
     p = _sample_features(docs, by_hash(known.filter("lo = 1"), max_positive), text, doc_id)
     u = _sample_features(docs, by_hash(docs.filter(training & F.col(doc_id).isNotNull()), max_unlabelled), text, doc_id)
     if not len(p) or not len(u):
