@@ -6,6 +6,8 @@ import argparse
 import datetime
 import sys
 
+from pyspark.errors import PySparkException
+
 from ledgerloom.errors import Diagnostic
 from ledgerloom.lang.program import Program
 from ledgerloom.plans import bi, compare
@@ -70,6 +72,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except Diagnostic as e:
         print(e, file=sys.stderr)
         return 1
+    except PySparkException as e:  # messages of the engine can hold data values, so only the condition is shown
+        print(f"L900: {e.getCondition() or type(e).__name__}", file=sys.stderr)
+        return 1
     except OSError as e:
         print(e.strerror, file=sys.stderr)
         return 2

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from ledgerloom.queries import reconciling, relational, sourcing  # noqa: F401
+    from ledgerloom.queries import language, reconciling, relational, sourcing  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

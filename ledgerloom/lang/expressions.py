@@ -31,6 +31,15 @@ def columns_of(e) -> list[str]:
     return [c for x in e for c in columns_of(x)] if isinstance(e, list) else []
 
 
+#: What a function's first arguments are: s text, n a number, i a whole number, t a date or timestamp, b true or false.
+ARGUMENTS = {
+    "lower": "s", "upper": "s", "trim": "s", "strip_accents": "s", "replace": "sss", "contains": "ss", "starts_with": "ss", "ends_with": "ss", "length": "s", "substr": "sii",
+    "regexp_matches": "ss", "abs": "n", "floor": "n", "ceil": "n", "parse_number": "s", "year": "t", "month": "t", "day": "t", "quarter": "t", "day_of_week": "t",
+    "days_between": "tt", "date_diff": "tt", "similarity": "ss", "token_similarity": "ss", "levenshtein": "ss", "if": "b",
+}
+_KINDS = {"s": T.StringType, "n": T.NumericType, "i": T.IntegralType, "t": (T.DateType, T.TimestampType, T.TimestampNTZType), "b": T.BooleanType}
+
+
 class Compiler:
     """``resolve`` gives the Column of a (dotted) name; ``frame`` is a DataFrame on which types are found."""
 
@@ -147,8 +156,17 @@ class Compiler:
             return S.add_days(xs[0], xs[1], self.kind(xs[0]))
         if fn not in S.REGISTRY:
             raise AnalysisError("L107", f"no function {name}")
+        self.check_arguments(fn, xs)
         return S.REGISTRY[fn](*xs)
 
+    def check_arguments(self, fn: str, xs: list[Column]) -> None:
+        """Arguments whose type a function doesn't take are an error before anything runs."""
+        wanted = ARGUMENTS.get(fn, "")
+        for i, (x, w) in enumerate(zip(xs, wanted), 1):
+            kind = self.type(x)
+            if not isinstance(kind, T.NullType) and not isinstance(kind, _KINDS[w]):
+                raise AnalysisError("L102", f"argument {i} of {fn} is {kind.simpleString()}")
+
     def aggregate(self, fn: str, args: list) -> Column:
         if any(has_aggregate(a) for a in args):
             raise AnalysisError("L110", "an aggregate inside an aggregate")

@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.errors import AnalysisError, RunError
 from ledgerloom.lang import syntax
@@ -222,7 +223,10 @@ class Program:
                 r.lineage[name] = tuple(columns_of(e))
             return r
         if kind == "filter":
-            return P.filter_(r, c(step[1]))
+            condition = c(step[1])
+            if not isinstance(c.type(condition), (T.BooleanType, T.NullType)):
+                raise AnalysisError("L102", "a filter is true or false")
+            return P.filter_(r, condition)
         if kind == "distinct":
             return P.distinct(r)
         if kind == "sort":
@@ -417,8 +421,6 @@ def _conjuncts(e: tuple) -> list[tuple]:
 
 
 def _name_of(t) -> str:
-    from pyspark.sql import types as T
-
     names = {T.BooleanType: "bool", T.DoubleType: "float", T.FloatType: "float", T.DateType: "date", T.TimestampNTZType: "timestamp", T.TimestampType: "timestamp_tz", T.BinaryType: "binary"}
     if isinstance(t, T.IntegralType):
         return "int"

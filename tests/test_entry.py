@@ -10,7 +10,6 @@ from ledgerloom import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"reconcile_ranked", "reconcile_summary", "reconcile_accounting"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -36,7 +35,7 @@ def rows(columns, data):
     return sorted((tuple(plain(r[c]) for c in columns) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_against_sql(spark, con, name):
     df = catalog.queries()[name](spark, SF)
     columns = sorted(df.columns)

@@ -97,3 +97,25 @@ def test_errors(spark, tmp_path):
         r.relation("d")
     row = Program.from_text(spark, 'source i = csv("i.csv")\ndataset d = i |> distinct |> derive { t = today() z = -id + 2 * 3 }', str(tmp_path), datetime.date(2026, 7, 1)).relation("d").df.first()
     assert (row.t, row.z) == (datetime.date(2026, 7, 1), 5) and p.relation("d").df.count() == 2
+
+
+def test_types_are_checked_before_a_run(spark, tmp_path, capsys):
+    (tmp_path / "i.csv").write_text("id,name\n1,x\n")
+    make = lambda t: Program.from_text(spark, 'source i = csv("i.csv")\ndataset d = i |> ' + t, str(tmp_path)).relation("d")
+    for bad in ("derive { x = upper(id) }", "derive { x = length(2.5) }", "filter name", "derive { x = year(name) }", 'derive { x = if(name, 1, 2) }', "filter id + 1"):
+        with pytest.raises(AnalysisError, match="L102"):
+            make(bad)
+    assert make("derive { x = length(name)  y = upper(null) } |> filter id > 0 and name is not null").df.count() == 1
+    (tmp_path / "p.txt").write_text('source i = csv("i.csv")\ndataset d = i |> derive { x = spark.no_such_function(id) }')
+    assert main(["show", str(tmp_path / "p.txt"), "d"], spark) == 1
+    assert "L900" in capsys.readouterr().err
+
+
+def test_charts_and_files_are_written_all_or_none(spark, tmp_path):
+    (tmp_path / "i.csv").write_text("id,n\n1,5\n1,6\n")
+    text = 'source i = csv("i.csv")\nchart c = i { kind: bar x: id y: n }\nexport i to "out/i.csv"\nexport c to "out/c.svg"'
+    with pytest.raises(RunError, match="L509"):
+        Program.from_text(spark, text, str(tmp_path)).run()
+    assert not list((tmp_path / "out").iterdir())
+    with pytest.raises(AnalysisError, match="L504"):
+        Program.from_text(spark, text.replace("c.svg", "i.csv"), str(tmp_path)).run()
