@@ -2,6 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir). It works on all rows that its predecessor kept and returns a DataFrame, which
 is written and read again before the next one. All but the last return the columns of documents.
+
+Defined cases: null and empty texts are scored as empty texts, hold no benchmark words and no personal data, and have no ids; rows with a null id
+are kept by the second stage, as are rows without shingles; repeated rows have one id and stay or go together; texts of any
+length pass whole; empty tables give no rows; further columns of documents, of any name, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -60,9 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written as Parquet to the shared folder and read again."""
+    """Apply the stages to documents; each result is written as Parquet to the shared folder and read again, and goes when the next one is there."""
     scratch = C.Scratch(spark, "pipeline")
     docs = C.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch.path(name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        made.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        scratch.drop_all(but=path)
     return docs
