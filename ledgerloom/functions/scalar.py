@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import unicodedata
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -224,18 +225,46 @@ def jaro_winkler(a: bytes, b: bytes) -> float:
     return score
 
 
+def jaro_winkler_many(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """jaro_winkler() of many pairs, those of about one length side by side."""
+    out = np.empty(len(xs))
+    la, lb = (np.fromiter(map(len, v), dtype=np.int64, count=len(v)) for v in (xs, ys))
+    width = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(np.maximum(la, lb), 1))).astype(np.int64))
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        if w > 128:  # long texts are few
+            out[rows] = [jaro_winkler(xs[i], ys[i]) for i in rows]
+            continue
+        a, b = (np.frombuffer(b"".join(v[i].ljust(w, b"\0") for i in rows), dtype=np.uint8).reshape(-1, w) for v in (xs, ys))
+        na, nb, n = la[rows], lb[rows], len(rows)
+        reach = np.maximum(np.maximum(na, nb) // 2 - 1, 0)
+        at, used, left = np.arange(w), np.zeros((n, w), dtype=bool), np.zeros((n, w), dtype=bool)
+        for i in range(int(na.max())):
+            fits = (b == a[:, i : i + 1]) & ~used & (np.abs(at - i) <= reach[:, None]) & (at < nb[:, None]) & (i < na)[:, None]
+            hit = np.flatnonzero(fits.any(axis=1))
+            used[hit, fits[hit].argmax(axis=1)] = left[hit, i] = True
+        m = left.sum(axis=1)
+        pair = np.repeat(np.arange(n), m)
+        swapped = np.bincount(pair, weights=a[left] != b[used], minlength=n).astype(np.int64) // 2
+        some = np.maximum(m, 1)
+        score = np.where(m > 0, (m / np.maximum(na, 1) + m / np.maximum(nb, 1) + (m - swapped) / some) / 3, 0.0)
+        same = np.zeros(n, dtype=np.int64)
+        for i in range(4):
+            same += (same == i) & (i < na) & (i < nb) & (a[:, i] == b[:, i])
+        score = np.where(score > 0.7, score + 0.1 * same * (1 - score), score)
+        out[rows] = np.where((na == nb) & (a == b).all(axis=1), 1.0, score)
+    return out
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Jaro-Winkler of texts without regard to case and white space; null if either is blank."""
     import pandas as pd
 
     def both(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict = {}
-        out = []
-        for p in zip(x, y):
-            if p not in known:
-                known[p] = None if p[0] is None or p[1] is None else jaro_winkler(p[0].encode(), p[1].encode())
-            out.append(known[p])
-        return pd.Series(out, dtype="float64")
+        known = (x.notna() & y.notna()).to_numpy()
+        out = np.full(len(x), np.nan)
+        out[known] = jaro_winkler_many([v.encode() for v in x[known]], [v.encode() for v in y[known]])
+        return pd.Series(out).where(known).astype("Float64")
 
     both.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
     blank = lambda s: F.nullif(_normal(s), F.lit(""))

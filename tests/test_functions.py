@@ -1,5 +1,6 @@
 import datetime
 import decimal
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,12 @@ def test_types():
         L.unify(L.STRING, L.INT)
     with pytest.raises(AnalysisError):
         dec("decimal(39,2)")
+
+
+def test_many_similarities_are_the_single_ones():
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.choice([1, 2, 5, 9, 20, 70, 150]))).encode()
+    xs = [word() for _ in range(600)]
+    ys = [x if rnd.random() < 0.1 else (x[: len(x) // 2] + word()) if rnd.random() < 0.5 else word() for x in xs]
+    assert S.jaro_winkler_many(xs, ys).tolist() == [S.jaro_winkler(x, y) for x, y in zip(xs, ys)]
+    assert S.jaro_winkler_many([], []).tolist() == []
