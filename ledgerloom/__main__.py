@@ -1,4 +1,4 @@
-"""python -m ledgerloom run|check|test|show|profile|schema|trace|explain|compile|snapshot|diff FILE ..."""
+"""python -m ledgerloom run|check|test|show|profile|schema|trace|explain|plan|fmt|compile|snapshot|diff FILE ..."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import sys
 from pyspark.errors import PySparkException
 
 from ledgerloom.errors import Diagnostic
+from ledgerloom.lang import syntax
+from ledgerloom.lang.format import formatted
 from ledgerloom.lang.program import Program
 from ledgerloom.plans import bi, compare
 from ledgerloom.relation import Relation
@@ -17,7 +19,7 @@ from ledgerloom.session import session
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     p = argparse.ArgumentParser(prog="ledgerloom", description=__doc__)
-    p.add_argument("command", choices=["run", "check", "test", "show", "profile", "schema", "trace", "explain", "compile", "snapshot", "diff"])
+    p.add_argument("command", choices=["run", "check", "test", "show", "profile", "schema", "trace", "explain", "plan", "fmt", "compile", "snapshot", "diff"])
     p.add_argument("file")
     p.add_argument("names", nargs="*")
     p.add_argument("--rows", type=int, default=20)
@@ -25,7 +27,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     p.add_argument("--keep-going", action="store_true")
     p.add_argument("--out")
     a = p.parse_args(argv)
+    if a.command == "fmt":
+        return _format([a.file, *a.names])
     spark = spark or session()
+    program = None
     try:
         if a.command == "diff":
             found = {k: v for k, v in compare.diff_snapshots(spark, a.file, a.names[0]).items() if "only_in" in v or v["added"] or v["removed"] or any(v["columns"].values())}
@@ -65,6 +70,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             print("\n".join(program.trace(*a.names[0].rsplit(".", 1))))
         elif a.command == "explain":
             print(program.explain(a.names[0]))
+        elif a.command == "plan":
+            for n in a.names or program.names():
+                program.relation(n).df.explain("formatted")
         elif a.command == "compile":
             print("\n".join(bi.compile_models(program, a.out or ".")))
         else:
@@ -78,9 +86,31 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except OSError as e:
         print(e.strerror, file=sys.stderr)
         return 2
+    finally:
+        for n in program.notes if program else ():
+            print(f"warning {n}", file=sys.stderr)
     return 0
 
 
+def _format(paths: list[str]) -> int:
+    """Rewrite files in the common style; a file that doesn't parse stays."""
+    bad = 0
+    for path in paths:
+        with open(path, encoding="utf-8") as f:
+            source = f.read()
+        try:
+            syntax.parse(source)
+            new = formatted(source)
+        except Diagnostic as e:
+            print(f"{path}: {e}", file=sys.stderr)
+            bad = 1
+            continue
+        if new != source:
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(new)
+    return bad
+
+
 __all__ = ["Relation", "main"]
 
 if __name__ == "__main__":

@@ -57,7 +57,11 @@ class Program:
         self.relations: dict[str, Relation] = {}
         self.sources: dict[str, tuple[K.Source, list[K.Declared]]] = {}
         self.runs: dict[str, Rec.Run] = {}
+        self.notes: list[str] = []
         self._open: list[str] = []
+        for s in statements:
+            if s.kind == "runtime":
+                self._runtime(s.data["options"])
 
     @classmethod
     def from_file(cls, spark: SparkSession, path: str, today: datetime.date | None = None) -> Program:
@@ -70,6 +74,24 @@ class Program:
             s.data["dir"] = directory
         return cls(spark, statements, today)
 
+    def note(self, code: str, text: str) -> None:
+        """A warning: the program runs on."""
+        if f"{code}: {text}" not in self.notes:
+            self.notes.append(f"{code}: {text}")
+
+    def _runtime(self, options: dict) -> None:
+        """``threads`` is the width of shuffles; memory and spill folders are the cluster's, fixed before a session starts."""
+        unknown = set(options) - {"threads", "memory_limit", "temp_storage"}
+        if unknown:
+            raise AnalysisError("L001", f"no runtime option {', '.join(sorted(unknown))}")
+        if "threads" in options:
+            if not isinstance(options["threads"], int) or options["threads"] < 1:
+                raise AnalysisError("L001", "threads is a number from 1")
+            self.spark.conf.set("spark.sql.shuffle.partitions", options["threads"])
+        for name in ("memory_limit", "temp_storage"):
+            if name in options:
+                self.note("L901", f"{name} is a setting of the cluster and stays as it is")
+
     # relations
 
     def relation(self, name: str) -> Relation:
@@ -95,7 +117,8 @@ class Program:
         base, _, part = key.rpartition(".")
         if part in ("checks", "failures") and any(v.kind == "validate" and v.name.lower() == base for v in self.statements):
             r, checks = self.checks(base)
-            return Relation(V.results(r, checks) if part == "checks" else V.failures(r, checks), name=name)
+            rows = self.sources[base][0].rows if base in self.sources else None
+            return Relation(V.results(r, checks) if part == "checks" else V.failures(r, checks, rows), name=name)
         owner = self.by_name.get(base)
         if owner is not None and owner.kind == "source" and part == "rejects":
             return Relation(self._source(owner).rejects, name=name)
@@ -236,8 +259,10 @@ class Program:
         if kind == "union":
             return P.union(r, self.relation(step[1]))
         if kind == "aggregate":
+            self._float_sums(c, [e for _, e in step[1]])
             return P.aggregate(r, tuple(group), **{n: c(e) for n, e in step[1]})
         if kind == "window":
+            self._float_sums(c, [e for _, e in step[3]])
             made = {}
             for name, e in step[3]:
                 if e[0] != "call":
@@ -256,6 +281,8 @@ class Program:
             if on == ("lit", True):
                 return P.join(r, o, True, how, alias or o.name)
             a = alias or o.name
+            if not any(n.rsplit(".", 1)[0].lower() == a.lower() if "." in n else o.has(n) and not r.has(n) for n in columns_of(on)):
+                self.note("L121", f"the condition of the join with {a} does not mention it")
             both = r.df.alias(r.name).join(o.df.alias(a), F.lit(True), "cross")
             return P.join(r, o, Compiler(both, lambda n: self._side_column(r, o, a, n), self.mappings, self.today)(on), how, a)
         if kind == "asof":
@@ -280,6 +307,18 @@ class Program:
             return P.asof(r, o, tuple(equal), probe, left, alias or o.name)
         raise AnalysisError("L001", f"no step {kind}")
 
+    def _float_sums(self, c: Compiler, expressions: list) -> None:
+        """Sums of floats depend on the order of addition, which differs from run to run."""
+
+        def walk(e) -> None:
+            if isinstance(e, tuple) and e[:1] == ("call",) and e[1].lower() in ("sum", "mean", "avg", "running_sum") and len(e[2]) == 1:
+                if isinstance(c.type(c(e[2][0])), (T.DoubleType, T.FloatType)):
+                    self.note("L122", f"{e[1].lower()} adds floats, so its last digits can differ; use decimals")
+            for x in e if isinstance(e, (tuple, list)) else ():
+                walk(x)
+
+        walk(list(expressions))
+
     @staticmethod
     def _side_column(r: Relation, o: Relation, alias: str, name: str) -> Column:
         if "." in name:
@@ -301,17 +340,31 @@ class Program:
             for i, (severity, value, label) in enumerate(s.data["checks"], 1):
                 label = label or f"{severity} {i}"
                 if value[0] == "not_null":
+                    if not r.df.schema[r.spelled(value[1])].nullable:
+                        self.note("L401", f"{label} of {name} can't fail: {value[1]} is never null")
                     out.append(V.Check(label, severity, "not_null", (r.spelled(value[1]),)))
                 elif value[0] == "unique":
                     out.append(V.Check(label, severity, "unique", tuple(map(r.spelled, value[1]))))
                 elif has_aggregate(value[1]):
                     e = value[1]
+                    if self._bare(e):
+                        raise AnalysisError("L103", f"{label} mixes aggregates with columns of single rows")
                     measured = e[2] if e[0] == "cmp" and has_aggregate(e[2]) else e[3] if e[0] == "cmp" else e
                     out.append(V.Check(label, severity, "whole", F.col("m"), c(measured)) if e[0] != "cmp" else self._whole(label, severity, e, measured, c))
                 else:
                     out.append(V.Check(label, severity, "row", c(value[1])))
         return r, out
 
+    @classmethod
+    def _bare(cls, e) -> bool:
+        """Whether a column is read outside of aggregates."""
+        if isinstance(e, tuple):
+            if e[:1] == ("col",):
+                return True
+            if e[:1] == ("call",) and has_aggregate((*e[:2], [])):
+                return False
+        return any(cls._bare(x) for x in e) if isinstance(e, (tuple, list)) else False
+
     @staticmethod
     def _whole(label, severity, e, measured, c) -> V.Check:
         other = e[3] if measured is e[2] else e[2]
@@ -340,8 +393,13 @@ class Program:
         for name in self.validated():
             r, checks = self.checks(name)
             for row in V.enforce(r, checks, keep_going):
+                if row["status"] == "fail" and row["severity"] == "warn":
+                    self.note("L404", f"{name}: {row['check']} failed")
                 if row["status"] == "fail":
                     failed[row["severity"]].append(f"{name}: {row['check']}")
+        for name, (source, _) in self.sources.items():
+            for row in source.rounded.collect():  # a row for each decimal column
+                self.note("L209", f"{name}.{row['column']}: {row['rows']} values were rounded to the declared scale")
         if write:
             charts, targets = {}, {}
             for s in (s for s in self.statements if s.kind == "export"):
@@ -353,13 +411,17 @@ class Program:
                     raise AnalysisError("L504", "two exports write the same file")
                 if chart is not None and chart.kind == "chart":
                     o = chart.data["options"]
-                    charts[path] = {"kind": o["kind"], "x": o["x"], "y": o["y"], "title": o.get("title", "")}
+                    unknown = set(o) - {"kind", "x", "y", "series", "title", "width", "height", "total"}
+                    if unknown or not {"kind", "x", "y"} <= set(o):
+                        raise AnalysisError("L508", f"chart {chart.name} needs kind, x and y" + (f" and has no {', '.join(sorted(unknown))}" if unknown else ""))
+                    charts[path] = dict(o)
                     targets[path] = self.relation(chart.data["relation"])
                 elif s.data["parts"]:
                     targets[path] = {label: self.relation(n) for label, n in s.data["parts"]}
                 else:
                     targets[path] = self.relation(rel)
-            X.export(targets, charts)
+            for text in X.export(targets, charts):
+                self.note("L509", text)
         return failed
 
     def explain(self, name: str) -> str:
@@ -438,6 +500,8 @@ class _Lowering:
             r = p.relation(rel)
             own = next((v for k, v in self.d["identity"].items() if k.lower() == alias.lower()), None)
             self.rel[side] = r.with_(r.df, identity=tuple(own) if own else r.identity)
+            if not self.rel[side].identity:
+                p.note("L306", f"{alias} has no identity; its rows are numbered by their content")
         self.evidence = {n.lower(): e for n, e in self.d["evidence"]}
 
     def side(self, qualifier: str) -> str:
@@ -497,12 +561,25 @@ class _Lowering:
             return tuple(self.lift(x, lifted) for x in e)
         return [self.lift(x, lifted) for x in e] if isinstance(e, list) else e
 
+    def check_shape(self, t: dict, groups: dict) -> None:
+        """A shape line says what the groups, or the subset, already do."""
+        if "shape" not in t:
+            return
+        n1, x, n2, y = t["shape"]
+        said = {self.side(x): n1, self.side(y): n2}
+        if len(said) != 2:
+            raise AnalysisError("L313" if t["subset"] else "L308", "a shape names both sides")
+        several = {*groups, *([self.side(t["subset"]["side"])] if t["subset"] else [])}
+        if said != {s: "many" if s in several else "one" for s in "ab"}:
+            raise AnalysisError("L313" if t["subset"] else "L308", f"the shape of tier {t['name']} and its groups differ")
+
     def tier(self, t: dict) -> Rec.Tier:
         own = {n.lower(): e for n, e in t["evidence"]}
         names = self.evidence | own
         groups = {self.side(k): tuple(self.rel[self.side(k)].spelled(x) for x in v) for k, v in t["group"].items()}
         require = [self.expand(e, names) for e in t["require"]]
         rank = [(self.expand(e, names), desc) for e, desc in t["rank"]]
+        self.check_shape(t, groups)
         subset = None
         if t["subset"]:
             s = self.side(t["subset"]["side"])

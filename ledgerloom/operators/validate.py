@@ -50,9 +50,11 @@ def _failing(check: Check) -> Column:
     return F.count("*").over(Window.partitionBy(*check.value)) > 1  # null keys are equal here
 
 
-def failures(r: Relation, checks: list[Check]) -> DataFrame:
-    """check, severity and the columns of the failing rows (clashing ones are row_...)."""
+def failures(r: Relation, checks: list[Check], rows: DataFrame | None = None) -> DataFrame:
+    """check, severity and the columns of the failing rows (clashing ones are row_...); ``rows`` is a source's relation with source_row."""
     names = [f"row_{c}" if c.lower() in ("check", "severity", "source_row") else c for c in r.columns]
+    if rows is not None:
+        r, names = r.with_(rows), [*names, "source_row"]
     out = None
     for c in checks:
         if c.kind == "whole":

@@ -110,10 +110,12 @@ class Source:
     relation: Relation
     rejects: DataFrame
     rounded: DataFrame
+    rows: DataFrame | None = None
 
 
 def typed(raw: DataFrame, declared: list[Declared], row: str | None = None, identity: tuple[str, ...] = (), name: str = "source", keep_row: bool = False) -> Source:
-    """The typed relation, ``rejects`` (row, column, expected, value) and ``rounded`` (column, values that the declared scale changed)."""
+    """The typed relation, ``rejects`` (row, column, expected, value) ``rounded`` (column, values that the declared scale changed) and, if rows have
+    numbers, ``rows``: the relation with source_row."""
     kinds = {f.name.lower(): f.dataType for f in raw.schema}
     missing = [d.name for d in declared if d.name.lower() not in kinds]
     if missing:
@@ -129,7 +131,9 @@ def typed(raw: DataFrame, declared: list[Declared], row: str | None = None, iden
     rejects = raw.select(F.explode(F.array_compact(F.array(*bad))).alias("x")).select("x.*")
     cut = [F.count_if(text[d.name].try_cast("decimal(38,15)") != value[d.name]).alias(d.name) for d in declared if d.type.lower().startswith("decimal")]
     rounded = raw.agg(*cut).unpivot([], [d.name for d in declared if d.type.lower().startswith("decimal")], "column", "rows").filter("rows > 0") if cut else raw.sparkSession.createDataFrame([], "column string, rows long")
-    return Source(Relation(table, name=name, identity=identity), rejects, rounded)
+    free = row and "source_row" not in {c.lower() for c in table.columns}
+    rows = raw.select(*[v.alias(d.name) for d, v in zip(declared, value.values())], *([F.col(row)] if keep_row else []), F.col(row).cast("long").alias("source_row")) if free else None
+    return Source(Relation(table, name=name, identity=identity), rejects, rounded, rows)
 
 
 def enforce(source: Source, declared: list[Declared]) -> None:

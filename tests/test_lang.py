@@ -5,6 +5,7 @@ import pytest
 from ledgerloom.__main__ import main
 from ledgerloom.errors import AnalysisError, RunError
 from ledgerloom.lang import syntax
+from ledgerloom.lang.format import formatted
 from ledgerloom.lang.program import Program
 
 PROGRAM = '''
@@ -119,3 +120,52 @@ def test_charts_and_files_are_written_all_or_none(spark, tmp_path):
     assert not list((tmp_path / "out").iterdir())
     with pytest.raises(AnalysisError, match="L504"):
         Program.from_text(spark, text.replace("c.svg", "i.csv"), str(tmp_path)).run()
+
+
+def test_formatter_keeps_the_program(tmp_path):
+    messy = PROGRAM.replace("    |>", "|>").replace(" = ", "=").replace("source rates", "\n\n\nsource   rates")
+    for text in (PROGRAM, messy, 'dataset x = native_sql { query: """select 1,\n   2   as b""" }  # end'):
+        once = formatted(text)
+        assert formatted(once) == once and [t.text for t in syntax.tokens(once)] == [t.text for t in syntax.tokens(text)]
+    assert "    |> filter amount is not null and amount > 0" in formatted(messy) and "\n\n\n" not in formatted(messy)
+    (tmp_path / "a.txt").write_text(messy)
+    (tmp_path / "b.txt").write_text("dataset = = x")
+    assert main(["fmt", str(tmp_path / "a.txt")]) == 0 and (tmp_path / "a.txt").read_text() == formatted(messy)
+    assert main(["fmt", str(tmp_path / "b.txt")]) == 1 and (tmp_path / "b.txt").read_text() == "dataset = = x"
+
+
+def test_notes(spark, tmp_path, capsys):
+    (tmp_path / "i.csv").write_text("k,f,m\na,1.5e0,1.234\nb,2e0,2\n")
+    text = """
+    runtime { threads: 4  memory_limit: "1GB" }
+    source i = csv("i.csv") { schema { f: float, m: decimal(10,2) } }
+    source j = csv("i.csv")
+    dataset s = i |> aggregate { total = sum(f)  exact = sum(m) }
+    dataset x = i |> join j as j on i.m > 1.0
+    reconcile r = i as i with j as j { block by k  tier t { } }
+    validate i { warn count() > 10 as "many"  require k not null }
+    """
+    (tmp_path / "p.txt").write_text(text)
+    p = Program.from_file(spark, str(tmp_path / "p.txt"))
+    for name in ("s", "x", "r.matches"):
+        p.relation(name)
+    p.run()
+    assert {n[:4] for n in p.notes} == {"L121", "L122", "L209", "L306", "L404", "L901"}
+    assert main(["show", str(tmp_path / "p.txt"), "s"], spark) == 0 and "warning L122" in capsys.readouterr().err
+    with pytest.raises(AnalysisError, match="L103"):
+        Program.from_text(spark, text.replace("count() > 10", "count() > m"), str(tmp_path)).run()
+
+
+def test_failures_cite_rows_of_the_file(spark, tmp_path):
+    (tmp_path / "i.csv").write_text("k,n\na,1\nb,-2\nc,-3\n")
+    p = Program.from_text(spark, 'source i = csv("i.csv")\nvalidate i { expect n > 0 as "positive" }', str(tmp_path))
+    assert sorted((r.check, r.source_row, r.k) for r in p.relation("i.failures").df.collect()) == [("positive", 2, "b"), ("positive", 3, "c")]
+
+
+def test_shapes_agree_with_groups(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,org,amt\n1,o,300\n")
+    text = 'source a = csv("a.csv") { identity id }\nreconcile r = a as x with a as y { tier t { %s block by org  group y by org  require x.amt == sum(y.amt) } }'
+    assert Program.from_text(spark, text % "one x to many y", str(tmp_path)).relation("r.matches").df.count() == 1
+    for bad in ("many x to one y", "one x to one y"):
+        with pytest.raises(AnalysisError, match="L308"):
+            Program.from_text(spark, text % bad, str(tmp_path)).relation("r.matches")

@@ -1,5 +1,6 @@
 import datetime
 import decimal
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,23 @@ def test_failed_export_changes_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         X.export({f"{tmp_path}/a.csv": Relation(spark.range(9).toDF("id"), "g"), f"{tmp_path}/b.csv": bad})
     assert open(f"{tmp_path}/a.csv").read() == before and sorted(x.name for x in tmp_path.iterdir()) == ["a.csv"]
+
+
+def test_charts(spark, tmp_path):
+    D = datetime.date
+    rows = [(D(2024, 1, 1), 5.0, "a", False), (D(2024, 1, 3), None, "a", False), (D(2024, 2, 1), 2.0, "a", False), (D(2024, 1, 1), 1.0, "b", False), (None, 1.0, "b", False)]
+    r = Relation(spark.createDataFrame(rows, "day date, n double, kind string, t boolean"), "r")
+    path = f"{tmp_path}/c.svg"
+    assert X.write_svg(r, path, "line", "day", "n", series="kind", width=800, height=300) == ["1 rows without a value are not in the chart"]
+    svg = open(path).read()
+    assert 'viewBox="0 0 800 300"' in svg and svg.count("<polyline") == 3  # a gap cuts the first series
+    steps = Relation(spark.createDataFrame([(1, "start", 10.0, False), (2, "loss", -4.0, False), (3, "end", None, True)], "i int, step string, n double, t boolean"), "s", sort=(("i", False),))
+    assert X.write_svg(steps, path, "waterfall", "step", "n", total="t") == []
+    tall = [float(x) for x in re.findall(r'<rect [^>]*height="([0-9.]+)"', open(path).read())]
+    assert len(tall) == 3 and abs(tall[2] - tall[0] * 0.6) < 0.1 and abs(tall[1] - tall[0] * 0.4) < 0.1
+    assert X.write_svg(r, path, "bar", "day", "n", series="kind") and open(path).read().count("<rect") == 3
+    for bad in (dict(kind="pie", series="kind"), dict(kind="bar", width=10), dict(kind="bar", total="t"), dict(kind="bar", y="kind"), dict(kind="dots")):
+        with pytest.raises(AnalysisError, match="L508"):
+            X.write_svg(r, path, **{"x": "day", "y": "n", **bad})
+    with pytest.raises(RunError, match="L509"):
+        X.write_svg(r, path, "bar", "day", "n")
