@@ -561,6 +561,15 @@ class _Lowering:
             return tuple(self.lift(x, lifted) for x in e)
         return [self.lift(x, lifted) for x in e] if isinstance(e, list) else e
 
+    def bare(self, e, side: str) -> bool:
+        """Whether an expression reads a column of the side outside of aggregates."""
+        if isinstance(e, tuple):
+            if e[:1] == ("col",):
+                return "." in e[1] and self.side(e[1].rsplit(".", 1)[0]) == side
+            if e[:1] == ("call",) and has_aggregate((*e[:2], [])):
+                return False
+        return any(self.bare(x, side) for x in e) if isinstance(e, (tuple, list)) else False
+
     def check_shape(self, t: dict, groups: dict) -> None:
         """A shape line says what the groups, or the subset, already do."""
         if "shape" not in t:
@@ -588,12 +597,17 @@ class _Lowering:
             parts = [c for e in require for c in _conjuncts(e)]
             sums = [c for c in parts if has_aggregate(c) and c[0] == "cmp" and c[1] == "=="]
             total, target = next(((x, y) for c in sums for x, y in ((c[2], c[3]), (c[3], c[2])) if x[0] == "call" and x[1].lower() == "sum" and self.side(x[2][0][1].rsplit(".", 1)[0]) == s and y[0] == "col"), (None, None))
-            if total is None or len([c for c in parts if has_aggregate(c)]) != 1:
-                raise AnalysisError("L314", "a subset tier has one condition sum(x) == a column of the unit")
+            if total is None:
+                raise AnalysisError("L314", "a subset tier has a condition sum(x) == a column of the unit")
+            amount = next(c for c in sums if total in c[2:4] and target in c[2:4])
+            of_subset = [c for c in parts if has_aggregate(c) and c is not amount]
             require = [c for c in parts if not has_aggregate(c)]
-            fewest = any(e[0] == "call" and e[1].lower() == "count" and not desc for e, desc in rank)
-            subset = Rec.Subset(s, total[2][0][1].rsplit(".", 1)[1], target[1].rsplit(".", 1)[1], t["subset"].get("max_items", 8), t["subset"].get("max_subsets", 2_000_000), fewest)
-            rank = []
+            mine = lambda e: not self.bare(e, s)
+            if not all(map(mine, [*of_subset, *[e for e, _ in rank]])):
+                raise AnalysisError("L314", f"a combination's columns of {t['subset']['side']} are read in aggregates")
+            fewest = bool(rank) and rank[0][0][0] == "call" and rank[0][0][1].lower() == "count" and not rank[0][1]
+            subset_rank, rank = rank[1:] if fewest else rank, []
+            subset_evidence = {k: self.expand(e, {n: v for n, v in names.items() if n != k}) for k, e in own.items() if has_aggregate(e)}
             own = {k: e for k, e in own.items() if not has_aggregate(e)}
         lifted: dict[str, dict] = {"a": {}, "b": {}}
         require = [self.lift(e, lifted) for e in require]
@@ -601,11 +615,22 @@ class _Lowering:
         shown = {k: self.lift(self.expand(e, names), lifted) for k, e in ({} if groups else self.evidence).items()} | {k: self.lift(self.expand(e, {n: v for n, v in names.items() if n != k}), lifted) for k, e in own.items()}
         flags = {n: self.lift(self.expand(e, names), lifted) for n, e in [*self.d["flags"], *t["flags"]]} if not groups else {n: self.lift(self.expand(e, names), lifted) for n, e in t["flags"]}
         aggs = {}
+        if t["subset"]:
+            side = self.side(t["subset"]["side"])
+            of_subset, subset_rank = [self.lift(e, lifted) for e in of_subset], [(self.lift(e, lifted), d) for e, d in subset_rank]
+            subset_evidence = {k: self.lift(e, lifted) for k, e in subset_evidence.items()}
         for s in "ab":
             c = Compiler(self.rel[s].df, lambda n, s=s: F.col(self.rel[s].spelled(n.rsplit(".", 1)[-1])), self.p.mappings, self.p.today)
             aggs[s] = {name: c(e) for name, e in lifted[s].values()}
         types = {s: [(n, F.lit(None).cast(self.rel[s].df.agg(c.alias("x")).schema[0].dataType)) for n, c in aggs[s].items()] for s in "ab"}
         compile_ = Compiler(self.frame(types), self.resolve, self.p.mappings, self.p.today)
+        if t["subset"]:
+            m = t["subset"]
+            subset = Rec.Subset(
+                side, total[2][0][1].rsplit(".", 1)[1], target[1].rsplit(".", 1)[1], m.get("max_items", 8), m.get("max_subsets", 2_000_000), fewest,
+                aggs[side], tuple(map(compile_, of_subset)), tuple((compile_(e), d) for e, d in subset_rank), {k: compile_(e) for k, e in subset_evidence.items()},
+            )
+            aggs[side] = {}
         return Rec.Tier(
             t["name"], tuple(map(compile_, require)), None if t["block"] == "inherit" else self.block(t["block"]), tuple((compile_(e), d) for e, d in rank),
             {k: compile_(e) for k, e in shown.items()}, {k: compile_(e) for k, e in flags.items()}, groups.get("a", ()), groups.get("b", ()), aggs["a"], aggs["b"], subset,

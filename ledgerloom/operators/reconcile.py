@@ -22,7 +22,11 @@ SHAPES = ("one_to_one", "one_to_many", "many_to_one", "many_to_many")
 
 @dataclass(frozen=True)
 class Subset:
-    """One unit of the other side equals a combination of up to ``max_items`` rows of ``side``: sum(``amount``) == ``target`` of the unit."""
+    """One unit of the other side equals a combination of up to ``max_items`` rows of ``side``: sum(``amount``) == ``target`` of the unit.
+
+    ``lift``: aggregates by name over a combination's rows, which ``require`` and ``rank`` (best first) read as side.name, as does ``evidence``.
+    ``fewest`` ranks by the number of rows first.
+    """
 
     side: str
     amount: str
@@ -30,6 +34,10 @@ class Subset:
     max_items: int = 8
     max_subsets: int = 2_000_000
     fewest: bool = True
+    lift: dict[str, Column] = field(default_factory=dict)
+    require: tuple[Column, ...] = ()
+    rank: tuple[tuple[Column, bool], ...] = ()
+    evidence: dict[str, Column] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -129,6 +137,7 @@ class Run:
     def _policy_columns(self, side: str) -> list[str]:
         r, p = self.relations[side], self.policy
         exprs = [e for t in p.tiers for e in (*t.require, *[x for x, _ in t.rank], *t.evidence.values(), *t.flags.values())]
+        exprs += [e for t in p.tiers if t.subset for e in (*t.subset.require, *[x for x, _ in t.subset.rank], *t.subset.evidence.values())]
         names = read_columns(exprs, side) | {pair[side == "b"] for pair in p.block} | {pair[side == "b"] for t in p.tiers for pair in t.block or ()}
         names |= {k for t in p.tiers for k in (t.group_a if side == "a" else t.group_b)}
         names |= {x for t in p.tiers if t.subset for x in ([t.subset.amount] if t.subset.side == side else [t.subset.target])}
@@ -325,7 +334,7 @@ class Run:
 
     def record(self, index: int, tier: Tier, cand: DataFrame, links, dups, amb, ma=None, mb=None) -> None:
         """Put a tier's outcome in the tables of the run."""
-        shown = [*[f"e_{k}" for k in tier.evidence], *[f"f_{k}" for k in tier.flags]]
+        shown = [*[f"e_{k}" for k in (*tier.evidence, *(tier.subset.evidence if tier.subset else ()))], *[f"f_{k}" for k in tier.flags]]
         info = [*shown, "flags", "candidates_a", "candidates_b", "candidate_rank", "rank_values", "reason"]
         fl = F.array_join(F.array(*[F.when(F.col(f"f_{k}"), k) for k in tier.flags]), ",") if tier.flags else F.lit("")
         rv = F.concat_ws(", ", *[F.coalesce(F.col(f"_r{i}").cast("string"), F.lit("null")) for i in range(len(tier.rank))]) if tier.rank else F.lit("")

@@ -74,7 +74,8 @@ def tier(run, index: int, t) -> None:
     sizes = ready.groupBy("unit").count().groupBy("count").agg(F.count("*").alias("units")).collect()
     units_n, largest = sum(r["units"] for r in sizes), max((r["count"] for r in sizes), default=0)
     run.costs[t.name] = {"units": units_n, "largest": largest, "bound": sum(upfront(r["count"], max_items) * r["units"] for r in sizes), "budget": budget}
-    names_of = ["unit", "n_subsets", "n_best", "x", "take", "row", "chosen", "examined"]
+    names_of = ["unit", "n_subsets", "n_best", "x", "take", "row", "chosen", "examined", "sid"]
+    by_size = not spec.require and not spec.rank and not spec.evidence  # the search itself knows the best
 
     def best(key, pdf):
         import pandas as pd
@@ -83,24 +84,32 @@ def tier(run, index: int, t) -> None:
         pdf = pdf.sort_values(["x", "row"], kind="stable")
         copies = pd.factorize(pdf["x"])[0].tolist()
         found, examined = search([whole(v) for v in pdf["v"]], copies, whole(pdf["t"].iloc[0]), max_items, budget)
-        out = [(key[0], None, None, None, None, None, None, examined)]
-        if found:
+        out = [(key[0], None, None, None, None, None, None, examined, None)]
+        if found and not by_size:
+            xs, row = pdf["x"].tolist(), pdf["row"].tolist()
+            out += [(key[0], None, None, xs[i], None, row[i], None, None, k) for k, f in enumerate(found) for i in f]
+        elif found:
             least = min(map(len, found))
             top = [f for f in found if len(f) == least] if fewest else found
             xs, row = pdf["x"].tolist(), pdf["row"].tolist()
             used = {i for f in top for i in f}
             for i in sorted(used):
                 group = [j for j in used if copies[j] == copies[i]]
-                out.append((key[0], len(found), len(top), xs[i], sum(copies[j] == copies[i] for j in top[0]) if len(top) == 1 else len(group), row[i], len(top) == 1, None))
+                out.append((key[0], len(found), len(top), xs[i], sum(copies[j] == copies[i] for j in top[0]) if len(top) == 1 else len(group), row[i], len(top) == 1, None, None))
         out = pd.DataFrame(out, columns=names_of)
-        return out.astype({c: "Int64" for c in ("n_subsets", "n_best", "take", "examined")})
+        return out.astype({c: "Int64" for c in ("n_subsets", "n_best", "take", "examined", "sid")})
 
-    got = run.scratch.keep(ready.select("unit", "v", "t", "x", "row").groupBy("unit").applyInPandas(best, "unit string, n_subsets long, n_best long, x string, take long, row string, chosen boolean, examined long"))
+    got = run.scratch.keep(ready.select("unit", "v", "t", "x", "row").groupBy("unit").applyInPandas(best, "unit string, n_subsets long, n_best long, x string, take long, row string, chosen boolean, examined long, sid long"))
     examined = got.agg(F.coalesce(F.sum("examined"), F.lit(0))).first()[0]
     run.costs[t.name]["examined"] = examined
     if examined > budget:
         raise RunError("L315", f"tier {t.name} examined {examined} subsets of up to {max_items} rows ({units_n} units, the largest with {largest} rows), more than {budget}; block or require more, or lower max_items")
     got = got.filter("examined is null").drop("examined")
+    shown = None
+    if by_size:
+        got = got.drop("sid")
+    else:
+        got, shown = _ranked(run, spec, units, rows, got, s, o)
     # copies are shared out in unit order; a kind of row that units need more often than it is there makes them ambiguous
     need = got.select("unit", "x", "take", "n_best").distinct()
     supply = run._available(s).groupBy(F.to_json("_ex").alias("x")).agg(F.count("*").alias("there"))
@@ -120,6 +129,9 @@ def tier(run, index: int, t) -> None:
     spare = numbered.join(kinds, "x").join(links.select(f"u{s}").distinct(), f"u{s}", "left_anti").join(amb.select(f"u{s}").distinct(), f"u{s}", "left_anti").select(F.col(f"u{s}").alias("u"), "of")
     counts = got.select("unit", "row", F.col("n_subsets").alias(f"candidates_{o}"))
     log = cand.withColumns({"unit": F.to_json(f"u{o}"), "row": F.to_json(f"u{s}")}).join(counts, ["unit", "row"], "left")
+    if spec.evidence:  # of the rows of a unit's only best combination
+        log = log.join(got.filter("chosen").select("unit", "row", F.lit(True).alias("_in")), ["unit", "row"], "left").join(shown, "unit", "left")
+        log = log.withColumns({f"e_{k}": F.when(F.col("_in"), F.col(f"e_{k}")) for k in spec.evidence}).drop("_in")
     log = log.withColumns({f"candidates_{o}": F.coalesce(f"candidates_{o}", F.lit(0).cast("long")), f"candidates_{s}": F.lit(1).cast("long"), "candidate_rank": F.lit(1)})
     run.rounds[t.name] = 1
     run.record(index, t, run.scratch.keep(log.drop("unit", "row", "_amount", "_target")), links, {s: spare}, amb, *((grouped, None) if o == "a" else (None, grouped)))
@@ -137,3 +149,24 @@ def _members(run, t, units: DataFrame, rows: DataFrame, s: str, o: str) -> DataF
         F.col("a._unit").alias("ua"), F.col("b._unit").alias("ub"), F.col("a._ex").alias("xa"), F.col("b._ex").alias("xb"),
         F.col(f"{s}.{t.subset.amount}").alias("_amount"), F.col(f"{o}.{t.subset.target}").alias("_target"), *extra,
     )
+
+
+def _ranked(run, spec, units: DataFrame, rows: DataFrame, got: DataFrame, s: str, o: str) -> tuple[DataFrame, DataFrame]:
+    """The best combinations of each unit, as the search gives them, and the evidence of units with one best.
+
+    Aggregates over each combination's rows are columns of the side; conditions and ranks are evaluated on pairs of a unit and a combination.
+    """
+    from ledgerloom.operators.reconcile import _all
+
+    members = got.select("unit", "sid", "row").join(rows.withColumn("row", F.to_json("_id")), "row")
+    one = members.groupBy("unit", "sid").agg(F.count("*").alias("_size"), *[c.alias(n) for n, c in spec.lift.items()]).alias(s)
+    other = units.withColumn("_json", F.to_json("_unit")).alias(o)
+    order = ([F.col("_size").asc()] if spec.fewest else []) + [F.col(f"_k{i}").desc_nulls_last() if desc else F.col(f"_k{i}").asc_nulls_last() for i, (_, desc) in enumerate(spec.rank)]
+    fit = one.join(other, F.col(f"{s}.unit") == F.col(f"{o}._json")).filter(_all(spec.require))
+    fit = fit.select(F.col(f"{s}.unit").alias("unit"), F.col(f"{s}.sid").alias("sid"), F.col(f"{s}._size").alias("_size"), *[e.alias(f"_k{i}") for i, (e, _) in enumerate(spec.rank)], *[e.alias(f"e_{k}") for k, e in spec.evidence.items()])
+    w = Window.partitionBy("unit")
+    fit = fit.withColumn("n_subsets", F.count("*").over(w)).withColumn("place", F.rank().over(w.orderBy(*order)) if order else F.lit(1))
+    best = run.scratch.keep(fit.filter("place = 1").withColumn("n_best", F.count("*").over(w)))
+    used = got.select("unit", "sid", "x", "row").join(best.select("unit", "sid", "n_subsets", "n_best"), ["unit", "sid"]).drop("sid").distinct()
+    used = used.withColumn("take", F.count("*").over(Window.partitionBy("unit", "x"))).withColumn("chosen", F.col("n_best") == 1)
+    return run.scratch.keep(used.select("unit", "n_subsets", "n_best", "x", "take", "row", "chosen")), best.filter("n_best = 1").select("unit", *[f"e_{k}" for k in spec.evidence])

@@ -169,3 +169,28 @@ def test_shapes_agree_with_groups(spark, tmp_path):
     for bad in ("many x to one y", "one x to one y"):
         with pytest.raises(AnalysisError, match="L308"):
             Program.from_text(spark, text % bad, str(tmp_path)).relation("r.matches")
+
+
+def test_subset_conditions_ranks_and_evidence(spark, tmp_path):
+    """Of the combinations that add up, those of one day and two lines at least pass; the one with the largest line is best."""
+    (tmp_path / "a.csv").write_text("id,amt,day\n1,100,5\n2,60,6\n")
+    (tmp_path / "b.csv").write_text("id,amt,day\n1,100,5\n2,70,5\n3,30,5\n4,50,5\n5,45,5\n6,5,5\n7,30,6\n8,30,6\n9,60,7\n")
+    text = """
+    source a = csv("a.csv") { identity id }
+    source b = csv("b.csv") { identity id }
+    reconcile r = a with b { tier t {
+        one a to many b
+        subset b max_items 3
+        require sum(b.amt) == a.amt
+        require min(b.day) == max(b.day) and max(b.day) == a.day and count(b.id) > 1
+        rank by max(b.amt) desc
+        evidence { lines = count(b.id)  largest = max(b.amt) }
+    } }
+    """
+    got = Program.from_text(spark, text, str(tmp_path)).relation("r.matches").df.collect()
+    assert sorted((r.a_id, r.b_id, r.lines, r.largest) for r in got) == [(1, 2, 2, 70), (1, 3, 2, 70), (2, 7, 2, 30), (2, 8, 2, 30)]
+    assert {r.a_id: r.candidates_a for r in got} == {1: 2, 2: 1}
+    tied = Program.from_text(spark, text.replace("rank by max(b.amt) desc", ""), str(tmp_path))
+    assert {(r.a_id) for r in tied.relation("r.matches").df.collect()} == {2} and {r.a_id for r in tied.relation("r.ambiguous").df.collect()} == {1}
+    with pytest.raises(AnalysisError, match="L314"):
+        Program.from_text(spark, text.replace("rank by max(b.amt) desc", "rank by b.amt"), str(tmp_path)).relation("r.matches")
