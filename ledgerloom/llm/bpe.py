@@ -210,7 +210,7 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def encode_texts(col, path: str, limit: int = 2 << 20) -> tuple[list[bytes], list[bytes]]:
+def encode_texts(col, path: str, limit: int = 1 << 20) -> tuple[list[bytes], list[bytes]]:
     """For each text of an Arrow column its ids (little-endian unsigned 32-bit) and its decoded text in UTF-8."""
     e = encoder(path)
     data, offsets = C.text_bytes(col)

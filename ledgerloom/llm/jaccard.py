@@ -44,7 +44,7 @@ HOT = 10_000
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4"), ("fa", "<u8"), ("fb", "<u8")])
 
 
-def flat_sets(col, k: int, limit: int = 2 << 20):
+def flat_sets(col, k: int, limit: int = 1 << 19):
     """Sorted distinct shingle hashes of the texts of an Arrow column: (rows, bytes, hashes, ends) of one slice after another."""
     data, offsets = C.text_bytes(col)
     inside = np.ones(256, dtype=bool)

@@ -50,7 +50,7 @@ def _distinct_share(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.bincount(r[new], minlength=n) / np.maximum(count, 1) * (count > 0) - (count == 0)
 
 
-def features(col, limit: int = 2 << 20) -> np.ndarray:
+def features(col, limit: int = 1 << 19) -> np.ndarray:
     """One row of N_FEATURES numbers for each text of an Arrow column."""
     data, offsets = C.text_bytes(col)
     table = _class_table()
