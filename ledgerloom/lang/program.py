@@ -16,6 +16,7 @@ from ledgerloom.operators import reconcile as Rec
 from ledgerloom.operators import steps as P
 from ledgerloom.operators import validate as V
 from ledgerloom.plans import compare
+from ledgerloom.plans.scratch import Scratch
 from ledgerloom.relation import Relation
 from ledgerloom.sources import contract as K
 from ledgerloom.sources import exports as X
@@ -175,6 +176,7 @@ class Program:
         elif kind == "sql":
             c = self.by_name[s.data["arg"].lower()].data["options"]
             raw = R.sql(self.spark, c.get("connection_string") or c.get("dsn"), o["query"], c.get("user"), c.get("password"))
+            raw = Scratch(self.spark, "sql").keep(raw)  # a run sees one state of the tables
         else:
             raise AnalysisError("L001", f"no source of kind {kind}")
         if fill:
@@ -209,9 +211,17 @@ class Program:
         if head == "native":
             inputs = {n: self.relation(n) for n in value.get("inputs", [])}
             query = value["query"]
-            for n in inputs:
-                inputs[n].df.createOrReplaceTempView(n)
-            r = Relation(self.spark.sql(query), name=s.name)
+            views = {t.name.lower() for t in self.spark.catalog.listTables() if t.isTemporary}
+            hidden = {n: self.spark.table(n) for n in inputs if n.lower() in views}
+            try:
+                for n in inputs:
+                    inputs[n].df.createOrReplaceTempView(n)
+                r = Relation(self.spark.sql(query), name=s.name)  # resolved here, so the names can go
+            finally:
+                for n in inputs:
+                    self.spark.catalog.dropTempView(n)
+                for n, df in hidden.items():
+                    df.createOrReplaceTempView(n)
         else:
             r = self.relation(value)
         group: list[str] = []

@@ -194,3 +194,12 @@ def test_subset_conditions_ranks_and_evidence(spark, tmp_path):
     assert {(r.a_id) for r in tied.relation("r.matches").df.collect()} == {2} and {r.a_id for r in tied.relation("r.ambiguous").df.collect()} == {1}
     with pytest.raises(AnalysisError, match="L314"):
         Program.from_text(spark, text.replace("rank by max(b.amt) desc", "rank by b.amt"), str(tmp_path)).relation("r.matches")
+
+
+def test_native_sql_leaves_no_views(spark, tmp_path):
+    (tmp_path / "i.csv").write_text("k,n\na,1\nb,2\n")
+    spark.range(3).createOrReplaceTempView("i")
+    p = Program.from_text(spark, 'source i = csv("i.csv")\nsource j = csv("i.csv")\ndataset d = native_sql { inputs: [i, j]  query: "select i.k, j.n from i join j on i.k = j.k" }', str(tmp_path))
+    assert sorted(map(tuple, p.relation("d").df.collect())) == [("a", 1), ("b", 2)]
+    assert spark.table("i").columns == ["id"] and "j" not in {t.name for t in spark.catalog.listTables()}
+    spark.catalog.dropTempView("i")
