@@ -22,15 +22,24 @@ def fold(doc_id) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
+def held_out(doc_id) -> Column:
+    """Whether a document is in fold 2; without an id it is not."""
+    return F.coalesce(fold(doc_id) == 2, F.lit(False))
+
+
 class Scratch:
     """Tables written to the shared folder of ``spark.checkpoint.dir``; they cut lineage and outlive executors.
 
-    Where the setting is missing (tests on one machine) a folder under /tmp is used.
+    Without the setting a session on one machine (tests) uses a folder under /tmp; on a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ledgerloom-scratch"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir names no shared folder")
+            base = "/tmp/ledgerloom-scratch"
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 

@@ -7,7 +7,8 @@ windows' whole text, so that every hit is verified by equality. Their number is
 shuffle. Document words inside any occurrence are hit.
 
 Defined cases: null texts have no words; repeated document rows give a row each; repeated items count once by id;
-items with equal windows are all counted; an empty benchmark hits nothing; columns that clash with added ones are replaced.
+items with equal windows are all counted; an empty benchmark hits nothing; texts of any length are searched whole; find() replaces the
+caller's columns n_words, spans, n_hit and items by its own, remove() keeps columns of any name.
 """
 
 from __future__ import annotations
@@ -96,36 +97,49 @@ def _merge(hits: Column) -> Column:
 _NO_HITS = "array<struct<at:int,key:string,size:int>>"
 
 
-def _with_hits(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
-    """docs with n_words and hits."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once. As it is no column, no rule of the optimizer can put its expression into a lambda, where it
+    would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _found(w: Column, hits: Column) -> Column:
+    return _let(hits, lambda h: F.struct(F.size(w).alias("n_words"), h.alias("hits"), _merge(h).alias("spans")))
+
+
+def _with_hits(docs: DataFrame, windows: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """docs with one column more, and its name: struct of n_words, hits and spans (merged ranges of hit words)."""
     few = windows.select("key", "size").limit(SET_WINDOWS + 1).collect()
-    rows = docs.withColumn("_w", words(F.col(text)))
-    if not few:
-        rows = rows.withColumn("hits", F.array().cast(_NO_HITS))
-    elif len(few) <= SET_WINDOWS:
-        rows = rows.withColumn("hits", _hits_by_set(F.col("_w"), [(r["key"], r["size"]) for r in few]))
-    else:
-        sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most n
-        found = C.table_print(docs, text).withColumn("_w", words(F.col(text)))
-        found = found.select("_p", F.explode(F.concat(*[_windows(F.col("_w"), s) for s in sizes])).alias("x")).select("_p", "x.*")
-        found = found.join(windows.select("key", "size"), ["key", "size"], "left_semi").groupBy("_p").agg(F.collect_set(F.struct("at", "key", "size")).alias("hits"))
-        rows = C.table_print(rows, text).drop("hits").join(found, "_p", "left").withColumn("hits", F.coalesce("hits", F.array().cast(_NO_HITS))).drop("_p")
-    return rows.withColumn("n_words", F.size("_w")).drop("_w")
+    name = C.free_name(docs.columns, "found")
+    nothing = F.array().cast(_NO_HITS)
+    if len(few) <= SET_WINDOWS:
+        hits = (lambda w: _hits_by_set(w, [(r["key"], r["size"]) for r in few])) if few else (lambda w: nothing)
+        return docs.withColumn(name, _let(words(F.col(text)), lambda w: _found(w, hits(w)))), name
+    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most n
+    mark, seen = C.free_name([*docs.columns, name], "mark"), C.free_name([*docs.columns, name, "mark"], "seen")
+    marked = docs.withColumn(mark, C.text_print(F.col(text)))
+    at = marked.select(F.col(mark).alias("p"), F.explode(_let(words(F.col(text)), lambda w: F.concat(*[_windows(w, s) for s in sizes]))).alias("x")).select("p", "x.*")
+    at = at.join(windows.select("key", "size"), ["key", "size"], "left_semi").groupBy("p").agg(F.collect_set(F.struct("at", "key", "size")).alias(seen))
+    rows = marked.join(at.withColumnRenamed("p", mark), mark, "left")
+    found = _let(words(F.col(text)), lambda w: _found(w, F.coalesce(F.col(seen), nothing)))
+    return rows.withColumn(name, found).drop(mark, seen), name
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N) -> DataFrame:
     """docs without the text, with n_words, spans (merged hit ranges [a, b) of 0-based words), n_hit, items (sorted ids as text)."""
     scratch = C.Scratch(docs.sparkSession, "decontam")
     windows = scratch.keep(benchmark_windows(benchmark, n=n), "windows")
-    rows = _with_hits(docs, windows, text).drop(text, "spans", "n_hit", "items")
-    rows = scratch.keep(rows.withColumn("spans", _merge(F.col("hits"))).withColumn("_r", F.monotonically_increasing_id()), "rows")
+    rows, found = _with_hits(docs, windows, text)
+    row = C.free_name([*rows.columns, "x", "item"], "row")
+    rows = scratch.keep(rows.drop(text, "n_words", "spans", "n_hit", "items").withColumn(row, F.monotonically_increasing_id()), "rows")
     # few rows have hits; each hit is one of a window's occurrences, told apart by row before its items are gathered
     items = (
-        rows.filter(F.size("hits") > 0).select("_r", F.explode(F.array_distinct(F.transform("hits", lambda x: F.struct(x["key"], x["size"])))).alias("x")).select("_r", "x.key", "x.size")
-        .join(windows, ["key", "size"]).select("_r", F.explode("items").alias("item")).distinct()
-        .groupBy("_r").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        rows.filter(F.size(f"{found}.hits") > 0).select(F.col(row).alias("r"), F.explode(F.array_distinct(F.transform(f"{found}.hits", lambda x: F.struct(x["key"], x["size"])))).alias("x")).select("r", "x.key", "x.size")
+        .join(windows, ["key", "size"]).select("r", F.explode("items").alias("item")).distinct()
+        .groupBy("r").agg(F.sort_array(F.collect_list("item")).alias("items")).withColumnRenamed("r", row)
     )
-    out = rows.drop("hits").join(items, "_r", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("_r")
+    out = rows.join(items, row, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    out = out.withColumn("n_words", F.col(f"{found}.n_words")).withColumn("spans", F.col(f"{found}.spans")).drop(found, row)
     return out.withColumn("n_hit", F.aggregate("spans", F.lit(0), lambda s, x: s + x["b"] - x["a"]))
 
 
@@ -133,10 +147,17 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: floa
     """docs without the hit words, which go with the separators before them; a document of which more than the share ``most`` is hit goes whole."""
     scratch = C.Scratch(docs.sparkSession, "decontam")
     windows = scratch.keep(benchmark_windows(benchmark, n=n), "windows")
-    rows = _with_hits(docs, windows, text).withColumn("_spans", _merge(F.col("hits")))
-    hit = F.aggregate("_spans", F.lit(0), lambda s, x: s + x["b"] - x["a"])
+    rows, found = _with_hits(docs, windows, text)
     # a text splits behind each word, so that piece i ends with word i
     pieces = F.split(F.col(text), r"(?<=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", -1)
-    cut = F.array_join(F.filter(pieces, lambda p, i: ~F.exists("_spans", lambda s: (i >= s["a"]) & (i < s["b"]))), "")
-    rows = rows.filter(hit <= F.lit(most) * F.col("n_words"))
-    return rows.withColumn(text, F.when(F.size("_spans") > 0, cut).otherwise(F.col(text))).select(*docs.columns)
+
+    def kept(f: Column) -> Column:
+        """The document's text, or nothing."""
+        hit = F.aggregate(f["spans"], F.lit(0), lambda s, x: s + x["b"] - x["a"])
+        cut = F.array_join(F.filter(pieces, lambda p, i: ~F.exists(f["spans"], lambda s: (i >= s["a"]) & (i < s["b"]))), "")
+        new = F.struct(F.when(hit > 0, cut).otherwise(F.col(text)).alias("left"))
+        return F.when(hit <= F.lit(most) * f["n_words"], F.array(new)).otherwise(F.array().cast("array<struct<left:string>>"))
+
+    left = C.free_name(rows.columns, "left")
+    out = rows.withColumn(left, F.explode(_let(F.col(found), kept)))
+    return out.select(*[F.col(f"{left}.left").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
