@@ -33,14 +33,14 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = C.table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.fit(docs, labels, C.fold("doc_id") != 2)
-    return docs.select("doc_id", (C.fold("doc_id") == 2).alias("held_out"), quality.score(model, F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    return docs.select("doc_id", C.held_out("doc_id").alias("held_out"), quality.score(model, F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
 @query
 def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, C.fold("doc_id") != 2)
-    found = docs.select("doc_id", (C.fold("doc_id") == 2).alias("held_out"), langid.identify(spark, model, F.col("text")).alias("l"))
+    found = docs.select("doc_id", C.held_out("doc_id").alias("held_out"), langid.identify(spark, model, F.col("text")).alias("l"))
     return found.select("doc_id", "held_out", "l.lang_pred", "l.score")
 
 

@@ -4,14 +4,18 @@ For each language a suffix automaton is built over labelled text. A text is pars
 string that occurs in the language's text is one phrase, the next phrase begins after it. The language that needs the
 fewest phrases, normalised by the logarithm of its text's length, wins (Ziv and Merhav, 1993; Helmer, 2007).
 
-Texts are cut into segments that are parsed side by side; a segment begins a new phrase. Letters are lower-cased, every run
-of other characters is one blank. Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to
-the language that comes first by name; repeated rows get equal answers; with nothing to learn from every text is ``und``.
+Whole texts are parsed. To do this for many places at once, a text is cut into pieces that are first parsed as if a phrase began with
+each; then the automaton's state at the end of a piece is carried into the next one, which is parsed again until a phrase begins where
+one began before - from there on the two parses are one - and so on until no state changes.
+
+Letters are lower-cased, every run of other characters is one blank; every letter of the learned texts is a symbol of its own, and a letter
+that a language's text lacks is a phrase. Each language keeps all of its learned text. Defined cases: null texts and texts
+without a letter are ``und`` with score 0; ties go to the language that comes first by name; repeated rows get equal answers; texts of any
+length are parsed whole; with nothing to learn from every text is ``und``; other columns of the caller are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 UND = "und"
-SEGMENT = 256
+PIECE = 256
 
 
 def _codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,17 +40,53 @@ def _letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
+class Automaton:
+    """The transitions of a suffix automaton in an open-addressing hash table: (state, symbol) -> state."""
+
+    def __init__(self, seq: np.ndarray, n_symbols: int):
+        nxt = suffix_automaton(seq)
+        self.n_symbols, self.start = n_symbols, len(nxt)  # in the state ``start`` any symbol begins a phrase
+        self.first = np.full(n_symbols, self.start, dtype=np.int64)
+        for c, state in nxt[0].items():
+            self.first[c] = state
+        key = np.array([i * n_symbols + c for i, t in enumerate(nxt) for c in t], dtype=np.int64)
+        value = np.array([x for t in nxt for x in t.values()], dtype=np.int32)
+        self.bits = max(4, (2 * len(key)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+        left, at = np.arange(len(key)), self._slot(key)
+        while len(left):
+            free = np.flatnonzero(self.keys[at[left]] < 0)
+            winners = left[free][np.unique(at[left[free]], return_index=True)[1]]
+            self.keys[at[winners]], self.values[at[winners]] = key[winners], value[winners]
+            left = left[self.keys[at[left]] != key[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(C.U) * C.U(0x9E3779B97F4A7C15)) >> C.U(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether a phrase begins with the symbol."""
+        key = state * self.n_symbols + symbol
+        at = self._slot(key)
+        got = self.keys[at]
+        out = self.values[at].astype(np.int64)
+        open_ = np.flatnonzero((got != key) & (got >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            got[open_] = self.keys[at[open_]]
+            out[open_] = self.values[at[open_]]
+            open_ = open_[(got[open_] != key[open_]) & (got[open_] >= 0)]
+        new = got != key
+        return np.where(new, self.first[symbol], out), new
+
+
 @dataclass
 class LanguageModel:
-    """codes: code point -> symbol (0 blank, 1 a letter no language has often); tables: one automaton per language.
-
-    tables[l][s * n_symbols + c] is 2 * (next state * n_symbols), plus 1 where a new phrase begins with c.
-    """
+    """codes: code point -> symbol (0 blank, 1 a letter that no learned text has); automata: one for each language."""
 
     names: list[str]
     codes: np.ndarray
-    n_symbols: int
-    tables: list[np.ndarray]
+    automata: list[Automaton]
     bits: np.ndarray
 
 
@@ -61,67 +101,48 @@ def symbols(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[n
     return s[keep], total[offsets]
 
 
-def suffix_automaton(seq: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Transitions (state, symbol) of the suffix automaton of ``seq``; -1 where there is none."""
-    size = 2 * len(seq) + 2
-    nxt = np.full((size, n_symbols), -1, dtype=np.int32)
-    link, length = [-1] * size, [0] * size
-    last, count = 0, 1
+def suffix_automaton(seq: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of ``seq``."""
+    nxt: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
     for c in seq.tolist():
-        cur, count = count, count + 1
-        length[cur] = length[last] + 1
+        cur = len(nxt)
+        nxt.append({})
+        link.append(-1)
+        length.append(length[last] + 1)
         p = last
-        while p != -1 and nxt[p, c] < 0:
-            nxt[p, c] = cur
+        while p != -1 and c not in nxt[p]:
+            nxt[p][c] = cur
             p = link[p]
         if p == -1:
             link[cur] = 0
         else:
-            q = int(nxt[p, c])
+            q = nxt[p][c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone, count = count, count + 1
-                length[clone] = length[p] + 1
-                nxt[clone] = nxt[q]
-                link[clone] = link[q]
-                while p != -1 and nxt[p, c] == q:
-                    nxt[p, c] = clone
+                clone = len(nxt)
+                nxt.append(dict(nxt[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p != -1 and nxt[p].get(c) == q:
+                    nxt[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return nxt[:count]
+    return nxt
 
 
-def build(samples: dict[str, str], max_symbols: int = 64) -> LanguageModel:
-    """Automata over the text of each language, cut to the shortest so that no language has an edge by size alone."""
+def build(samples: dict[str, str]) -> LanguageModel:
+    """Automata over the text of each language."""
     names = sorted(k for k, t in samples.items() if any(ch.isalpha() for ch in t))
-    letters = _letter_table()
-    if not names:
-        return LanguageModel([], np.zeros(0x110000, dtype=np.uint8), 2, [], np.zeros(0))
-    freq: Counter = Counter()
-    for k in names:
-        own = Counter(ch for ch in samples[k].lower() if ch.isalpha())
-        total = sum(own.values())
-        for ch, n in own.items():
-            freq[ch] += n / total
-    codes = letters.astype(np.uint8)
-    for i, (ch, _) in enumerate(sorted(freq.items(), key=lambda x: (-x[1], x[0]))[: max_symbols - 2]):
+    codes = _letter_table().astype(np.int32)
+    letters = sorted({ch for k in names for ch in samples[k].lower() if ch.isalpha()})
+    for i, ch in enumerate(letters):
         codes[ord(ch)] = i + 2
-    seqs = []
-    for k in names:
-        data, offsets = _codepoints([samples[k]])
-        seqs.append(symbols(data, offsets, codes)[0])
-    least = max(min(map(len, seqs)), min(2000, max(map(len, seqs))))
-    tables = []
-    for s in seqs:
-        a = suffix_automaton(s[:least], max_symbols)
-        # behind a phrase that no string can lengthen, and at the start: the last row, where any symbol begins a phrase
-        a = np.where(a >= 0, a, -1).astype(np.int64)
-        again = np.where(a[0] >= 0, a[0], len(a)) * max_symbols * 2 + 1
-        t = np.vstack([np.where(a >= 0, a * max_symbols * 2, again[None, :]), again])
-        tables.append(t.astype(np.int32).ravel())
-    return LanguageModel(names, codes, max_symbols, tables, np.log2([len(s[:least]) + 1.0 for s in seqs]))
+    seqs = [symbols(*_codepoints([samples[k]]), codes)[0] for k in names]
+    return LanguageModel(names, codes, [Automaton(s, len(letters) + 2) for s in seqs], np.log2([len(s) + 1.0 for s in seqs]))
 
 
 def phrases(model: LanguageModel, sym: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -129,27 +150,44 @@ def phrases(model: LanguageModel, sym: np.ndarray, offsets: np.ndarray) -> np.nd
     n = len(offsets) - 1
     out = np.zeros((n, len(model.names)))
     lens = np.diff(offsets)
-    pieces = (lens + SEGMENT - 1) // SEGMENT
+    pieces = (lens + PIECE - 1) // PIECE
     rows = np.repeat(np.arange(n), pieces)
-    first = np.concatenate([[0], np.cumsum(pieces)])[:-1]
-    begin = offsets[rows] + (np.arange(len(rows)) - first[rows]) * SEGMENT
-    size = np.minimum(SEGMENT, offsets[rows + 1] - begin)
-    order = np.argsort(-size, kind="stable")
-    begin, size, rows = begin[order], size[order], rows[order]
-    steps = np.zeros((SEGMENT, len(rows)), dtype=np.uint8)
-    active = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # segments longer than t
-    for t in range(int(size[0]) if len(size) else 0):
-        k = active[t]
-        steps[t, :k] = sym[begin[:k] + t]
-    for l, table in enumerate(model.tables):
-        state = np.full(len(rows), len(table) - model.n_symbols, dtype=np.int32)
-        count = np.zeros(len(rows), dtype=np.int32)
-        for t in range(int(size[0]) if len(size) else 0):
-            k = active[t]
-            v = table[state[:k] + steps[t, :k]]
-            count[:k] += v & 1
-            state[:k] = v >> 1
-        out[:, l] = np.bincount(rows, weights=count, minlength=n)
+    if not len(rows):
+        return out
+    number = np.arange(len(rows)) - (np.cumsum(pieces) - pieces)[rows]
+    begin = offsets[rows] + number * PIECE
+    size = np.minimum(PIECE, offsets[rows + 1] - begin)
+    follows = np.append(rows[1:] == rows[:-1], False)  # the piece behind is of the same text
+    for l, automaton in enumerate(model.automata):
+        starts = np.zeros((int(size.max()), len(rows)), dtype=bool)
+        lanes, state = np.arange(len(rows)), np.full(len(rows), automaton.start, dtype=np.int64)
+        known = False  # whether ``starts`` holds a parse of the lanes already
+        while len(lanes):
+            ends, states = [], []
+            t = 0
+            while len(lanes):
+                state, new = automaton.step(state, sym[begin[lanes] + t])
+                old = starts[t, lanes]
+                starts[t, lanes] = new
+                t += 1
+                done = size[lanes] == t
+                if known:
+                    met = new & old
+                    stay = ~met & ~done
+                    done &= ~met
+                else:
+                    stay = ~done
+                if done.any():
+                    ends.append(lanes[done])
+                    states.append(state[done])
+                if not stay.all():
+                    lanes, state = lanes[stay], state[stay]
+            known = True
+            lanes = np.concatenate(ends) if ends else np.zeros(0, dtype=np.int64)
+            state = np.concatenate(states) if states else np.zeros(0, dtype=np.int64)
+            on = follows[lanes]
+            lanes, state = lanes[on] + 1, state[on]
+        out[:, l] = np.bincount(rows, weights=starts.sum(axis=0), minlength=n)
     return out
 
 
@@ -177,27 +215,28 @@ def predict(model: LanguageModel, texts: list[str | None], limit: int = 1 << 20)
     return names, scores
 
 
-def fit(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_chars: int = 24_000, max_docs: int = 40) -> LanguageModel:
+def fit(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_chars: int = 24_000, max_docs: int = 40, max_piece: int = 3_000, max_languages: int = 64) -> LanguageModel:
     """Learn from rows for which ``training`` holds and ``lang`` is known.
 
-    Of each language at most ``max_docs`` documents, those with the smallest hashes of their ids, and of these together at most
-    ``max_chars`` characters are taken, of each document the first eighth of that at most. The window that chooses them sees ids only.
+    The sample is bounded by its parameters: of each language at most ``max_docs`` documents, those with the smallest hashes of their ids (one
+    row for an id: the one with the smallest hash of its text), of each at most ``max_piece`` characters, from a place that the id's hash
+    chooses, and together at most ``max_chars`` characters. More than ``max_languages`` languages are refused, so that the model, about
+    3 MB for each, is small enough for every executor.
     """
-    w = Window.partitionBy(lang).orderBy(F.xxhash64(F.lit("lang"), F.col(doc_id)), doc_id)
-    ids = (
-        docs.filter(training & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(doc_id, lang)
-        .withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_docs)
-        .select(doc_id, "_n")
-    )
-    share = max(1, max_chars // 8)
-    rows = (
-        docs.filter(training & F.col(lang).isNotNull()).select(doc_id, lang, text).join(F.broadcast(ids), doc_id)
-        .select(lang, "_n", F.substring(F.coalesce(F.col(text), F.lit("")), 1, share).alias("t"))
-        .collect()
-    )
+    known = docs.filter(training & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
+    names = known.select(F.col(lang).alias("l")).distinct().limit(max_languages + 1).count()
+    if names > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages")
+    w = Window.partitionBy("l").orderBy("h", "id")
+    h = F.xxhash64(F.lit("lang"), F.col(doc_id))
+    ids = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("l"), h.alias("h")).distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_docs)
+    body = F.coalesce(F.col(text), F.lit(""))
+    start = F.pmod(h, F.greatest(F.length(body) - max_piece + 1, F.lit(1))).cast("int") + 1
+    pieces = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("l"), F.struct(F.xxhash64(body).alias("p"), F.substring(body, start, F.lit(max_piece)).alias("t")).alias("x"))
+    rows = pieces.join(F.broadcast(ids), ["id", "l"]).groupBy("l", "n").agg(F.min("x").alias("x")).collect()
     samples: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        samples[r[0]] = (samples.get(r[0], "") + " " + r[2])[: max_chars + 1]
+    for r in sorted(rows, key=lambda r: (r["l"], r["n"])):
+        samples[r["l"]] = (samples.get(r["l"], "") + " " + r["x"]["t"])[: max_chars + 1]
     return build(samples)
 
 
