@@ -1,9 +1,10 @@
 """The permutation index against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann
+from ledgerloom.llm import ann, catalog
 
 
 def test_small_tables_are_exact(spark):
@@ -32,18 +33,34 @@ def test_few_candidates_and_empty(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
-def test_recall(spark):
+@pytest.mark.parametrize("sigma", [0.0, 0.5])
+def test_recall(spark, monkeypatch, sigma):
+    """Over several blocks and parts of queries, for vectors of one length and of lognormal lengths."""
+    monkeypatch.setattr(ann, "BLOCK", 2500)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 100)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(10, 64))
-    v = centres[rng.integers(0, 10, 6000)] + 0.8 * rng.normal(size=(6000, 64))
-    v /= np.linalg.norm(v, axis=1)[:, None]
+    v = centres[rng.integers(0, 10, 8000)] + 0.8 * rng.normal(size=(8000, 64))
+    v *= rng.lognormal(0, sigma, 8000)[:, None] / np.linalg.norm(v, axis=1)[:, None]
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
     got = {}
-    for r in ann.search(df, F.col("vec_id") % 200 == 0).collect():
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 400
     hits = 0
     for q, found in got.items():
         s = v @ v[q]
-        s[q] = -9
+        s[q] = -1e9
         hits += len(found & set(np.argsort(-s)[:20].tolist()))
     assert hits >= 0.9 * 20 * len(got)
+
+
+def test_registered_query_matches_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(300, 8)).astype(np.float32)
+    rows = [(i, r.tolist(), 1) for i, r in enumerate(v)] + [(300, None, 1), (320, [0.0] * 8, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in catalog.queries()["op10_permutation_index"](spark, str(tmp_path)).collect())
+    w = v.astype(np.float64)
+    want = [(q, k + 1, int(i)) for q in range(0, 300, 20) for k, i in enumerate([i for i in np.lexsort((np.arange(300), -(w * w[q]).sum(axis=1))) if i != q][:20])]
+    assert got == sorted(want)
