@@ -22,7 +22,8 @@ number of tokens; a bucket holds 1/256 of them, as packed bytes.
 
 Defined cases: null and empty texts have no shingles and no links; texts of fewer words than a shingle are one shingle; repeated
 rows have equal ids and group as one; rows with a null id have no group (null) and don't link; an empty table gives no rows; other
-columns of the caller are not read. A text of any length is one set; the memory for it bounds its length.
+columns of the caller are not read. A text of any length is one set; the memory for it bounds its length. Documents are read in the order
+of their table's files, so that a task that runs again makes the same packs; a table that is computed is to be written first.
 """
 
 from __future__ import annotations

@@ -291,6 +291,7 @@ def replace(docs: DataFrame, key: str, text: str = "text", found: str | None = N
     ents, made, tries, mark = (C.free_name([*docs.columns, found or ""], x) for x in ("entities", "replaced", "attempts", "mark"))
     rows = docs.withColumn(ents, entities(F.col(text)))
     if len(few) <= EXCEPTIONS:
+        scratch.drop_all()
         by_attempt: dict[int, list[str]] = {}
         for r in few:
             by_attempt.setdefault(r["attempt"], []).append(r["norm"])

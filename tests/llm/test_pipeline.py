@@ -74,3 +74,25 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for name, query in catalog.queries().items():
         assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op9_") else 0), name
+
+
+def test_odd_rows_pass_through(spark, folder, tmp_path):
+    """Null and empty texts, null and repeated ids, a very long text, and columns with the operators' own names."""
+    d, texts, *_ = folder
+    long = " ".join(f"w{i}" for i in range(20_000)) + " " + "".join(chr(97 + i % 26) for i in range(50_000))
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (3, None), (4, ""), (5, long), (6, "to ann@corp.example.org, " + texts[2])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone int, may_go boolean, found string, hits array<int>, n_words int, entities string, _w string, _e string"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 7, True, "f", [9], 77, "e", "w", "x") for i, t in rows], schema)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = C.Scratch(spark, "test").keep(stage(spark, docs, d))
+        assert docs.columns == columns, name
+    got = docs.collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 1, 3, 4, 5, 6]
+    assert all((r.gone, r.may_go, r.found, r.hits, r.n_words, r.entities, r["_w"], r["_e"]) == (7, True, "f", [9], 77, "e", "w", "x") for r in got)
+    kept = {r.doc_id: r.text for r in got}
+    assert kept[3] is None and kept[4] == "" and kept[5] == long and "ann@corp" not in kept[6] and kept[6].endswith(texts[2])
+    first = corpus_pipeline.reject_poor(spark, docs, d)
+    assert first.columns == columns
+    last = corpus_pipeline.encode(spark, docs, d)
+    assert last.count() == 7 and last.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]

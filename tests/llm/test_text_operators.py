@@ -167,6 +167,72 @@ def test_bpe_is_the_librarys(spark, docs):
         assert r.decoded == whole.decode(ids, skip_special_tokens=False)
 
 
+def test_other_vocabularies_are_the_librarys(spark):
+    """A file with other rules goes through the library, text by text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    rows = [(i, t) for i, t in enumerate(["Don't STOP  now", None, "", "naïve 日本語\n x", "a" * 3000])]
+    for r in spark.createDataFrame(rows, "i int, text string").select("i", bpe.encode(F.col("text"), path).alias("c")).select("i", "c.*").collect():
+        ids = whole.encode(rows[r.i][1] or "", add_special_tokens=False).ids
+        assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids) and r.decoded == whole.decode(ids, skip_special_tokens=False)
+
+
+def test_chunk_cache_is_bounded(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "CACHED_CHUNK_BYTES", 4000)
+    e = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(200):
+        assert e.inside(b"some words %d here" % (i % 60)) == e.words(b"some words %d here" % (i % 60))
+        assert sum(len(c) + len(v) + 200 for g in (e.chunks, e.old_chunks) for c, v in g.items()) <= 4000
+
+
+def test_registered_bpe_query_matches_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [r for r in corpus() if r[0] is not None]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Tokenizer.from_file(catalog.vocabulary())
+    want = []
+    for i, t, *_ in rows:
+        ids = whole.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(whole.decode(ids, skip_special_tokens=False).encode())))
+    assert sorted(map(tuple, catalog.queries()["op4_chunked_bpe"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_registered_suffix_query_matches_brute_force(spark, tmp_path):
+    rows = [r for r in corpus() if r[0] is not None]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    least = {}
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            least[b[k : k + 50]] = min(least.get(b[k : k + 50], 1 << 63), i)
+    want = []
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for k in range(len(b) - 49):
+            if least[b[k : k + 50]] < i:
+                gone[k : k + 50] = [True] * 50
+        runs = sum(g and not p for g, p in zip(gone, [False, *gone]))
+        want.append((i, len(b), sum(gone), runs, sha(bytes(x for x, g in zip(b, gone) if not g))))
+    assert sorted(map(tuple, catalog.queries()["op3_bucket_pointer_dedup"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_suffixes_across_slices(spark, monkeypatch):
+    """Texts longer than a slice, and passages on its edge; the largest id and a null one come back as they are."""
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 256)
+    rnd = random.Random(8)
+    body = "".join(rnd.choice("abcdefgh") for _ in range(3000))
+    rows = [(1, body), ((1 << 63) - 1, "x" * 40 + body[200:700] + "y" * 30), (None, body[900:1000])]
+    got = {r.doc_id: r for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string"), C.Scratch(spark, "t")).collect()}
+    assert [(s.start, s.end) for s in got[1].spans] == [] and [(s.start, s.end) for s in got[(1 << 63) - 1].spans] == [(40, 540)] and bytes(got[None].kept) == b""
+
+
 def test_chunks_are_cut_by_content_only():
     rnd = np.random.default_rng(2)
     body = rnd.integers(97, 123, 6000).astype(np.uint8)
@@ -205,6 +271,21 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.find(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_decontamination_keeps_columns_of_any_name(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "SET_WINDOWS", limit)
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = ["a b c d e f g h i j k l " + item + " m n.", item, "clean words", None, item.upper() + " x" * 30]
+    df = spark.createDataFrame([(i, t, [9], 77, "w", "r", "f") for i, t in enumerate(texts)], "doc_id long, text string, hits array<int>, n_words int, _w string, row string, found string")
+    got = {r.doc_id: r for r in decontam.remove(df, bench).collect()}
+    assert {i: r.text for i, r in got.items()} == {0: "a b c d e f g h i j k l m n.", 2: "clean words", 3: None, 4: " x" * 30}
+    assert all((r.hits, r.n_words, r["_w"], r.row, r.found) == ([9], 77, "w", "r", "f") for r in got.values())
+    seen = {r.doc_id: r for r in decontam.find(df, bench).collect()}
+    assert [(seen[i].n_words, seen[i].n_hit, seen[i]["items"]) for i in range(5)] == [(24, 10, ["1"]), (10, 10, ["1"]), (2, 0, []), (0, 0, []), (40, 10, ["1"])]
+    assert all((r.hits, r["_w"], r.row, r.found) == ([9], "w", "r", "f") for r in seen.values())
+
+
 def test_large_benchmarks_are_joined(spark, monkeypatch):
     df = spark.createDataFrame([(1, "x a b c", "s", "i"), (2, None, "s", "i")], SCHEMA)
     bench = spark.createDataFrame([(7, "a b"), (8, "zz")], "item_id long, text string")
@@ -226,6 +307,18 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_loss_mask_covers_the_assistants_texts(spark):
+    rows = [(1, 0, "user", "hi </turn>\nthere"), (1, 1, "assistant", "a < b \\s </turn>\n"), (1, 2, "assistant", ""), (1, 3, "assistant", "plain é"), (2, 0, "assistant>\nx", "</turn>"), (2, 1, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    for k in (1, 2):
+        own = [(r[2] or "", r[3] or "") for r in rows if r[0] == k]
+        assert [(t.role, t.text) for t in got[k].turns] == own and got[k].loss == "".join(t for r, t in own if r == "assistant")
+        assert len(got[k].mask) == sum(r == "assistant" for r, _ in own)
+    f, m = got[1].formatted, got[1]["mask"]
+    assert [f[s.start : s.end] for s in m] == ["a \\l b \\ss \\l/turn\\g\n", "", "plain é"]
+
+
 def test_surrogates(spark):
     texts = ["mail Bob.Smith@corp.example.org or BOB.SMITH@corp.example.org.", "call +1 (659) 555-3949, ip 10.0.0.1.", "card 4111 1111 1111 1111 and 4111111111111111", "Dr. Anna Keller met Frau Keller; Иван Петров.", "token=0123456789abcdef0123456789abcdef01234567", None, "", "clean text, 12 apples v1.2.3"]
     df = spark.createDataFrame([(i, t, "s", "i") for i, t in enumerate(texts)], SCHEMA)
@@ -335,6 +428,35 @@ def test_surrogates_keep_columns_of_any_name(spark):
     assert (got["_e"], got["_t"], got["entities"], got["replaced"], got["kinds"]) == ("a", "b", "c", "d", ["ip"]) and "10.0.0.1" not in got["text"]
 
 
+def test_registered_surrogate_query(spark, tmp_path):
+    """Entities at known places: one replacement for each over all documents, all different, none an original, each of its own format; all else stays."""
+    rnd = random.Random(12)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    make = {
+        "email": lambda: f"{word(3)}.{digits(2)}@{word(4)}.example.com", "ip": lambda: ".".join(str(rnd.randint(1, 250)) for _ in range(4)), "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", "token": lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40)), "iban": lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)}",
+    }
+    pool = [(k, f()) for k, f in make.items() for _ in range(25)]
+    rows, parts = [], []
+    for i in range(150):
+        found = [rnd.choice(pool) for _ in range(rnd.randint(0, 5))]
+        between = [f", say {word(5)} of " for _ in range(len(found) + 1)]
+        parts.append((found, between))
+        rows.append((i, "".join(b + e for b, (_, e) in zip(between, found + [("", ".")]))))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen: dict[str, str] = {}
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
+    for r in catalog.queries()["op7_surrogates"](spark, str(tmp_path)).collect():
+        found, between = parts[r.doc_id]
+        assert r.kinds == ",".join(k for k, _ in found) and r.n_entities == len(found)
+        new = re.fullmatch("(.*)".join(map(re.escape, between)) + r"\.", r.text).groups()
+        for (k, e), n in zip(found, new):
+            assert seen.setdefault(e, n) == n
+            assert shape(e) == shape(n) or k == "ip" and re.fullmatch(r"\d+(\.\d+){3}", n) or k == "token" and re.fullmatch("[0-9a-f]{40}", n)
+    assert len(set(seen.values())) == len(seen) > 100 and not set(seen.values()) & {e for _, e in pool}
+
+
 def test_training_order(spark, docs, tmp_path):
     for n in (1, 2, 3, 100, 1000):
         assert sorted(shards.slots(np.arange(n), n, b"k").tolist()) == list(range(n))
@@ -388,6 +510,44 @@ def test_phrases_are_greedy_longest_matches():
         assert langid.phrases(model, np.array(sym, dtype=np.uint8), o)[0, l] == n
 
 
+def greedy(train, sym):
+    """Phrases of a text by looking for each longest match."""
+    n = i = 0
+    train = "".join(map(chr, train))
+    sym = "".join(map(chr, sym))
+    while i < len(sym):
+        k = 1
+        while i + k < len(sym) and sym[i : i + k + 1] in train:
+            k += 1
+        n, i = n + 1, i + k
+    return n
+
+
+def test_whole_texts_are_parsed():
+    """Phrases longer than a piece, phrases across pieces, and letters of many scripts."""
+    rnd = random.Random(3)
+    han = [chr(0x4E00 + i) for i in range(300)]
+    samples = {"a": "".join(rnd.choice("abc ") for _ in range(3000)), "b": "".join(rnd.choice(han) for _ in range(2500)), "c": "abracadabra" * 200}
+    model = langid.build(samples)
+    train = [langid.symbols(*langid._codepoints([samples[k]]), model.codes)[0].tolist() for k in "abc"]
+    texts = ["abracadabra" * 50, samples["a"][100:2600], samples["b"][5:2000] + samples["b"][3:900], "", "x", "".join(rnd.choice("abcd ") for _ in range(1500)), "".join(rnd.choice(han + ["a", " "]) for _ in range(700)), "abracadabra" * 90 + "z" + "abracadabra" * 70]
+    sym, o = langid.symbols(*langid._codepoints(texts), model.codes)
+    got = langid.phrases(model, sym, o)
+    want = [[greedy(t, sym[a:b].tolist()) for t in train] for a, b in zip(o, o[1:])]
+    assert got.tolist() == want and got[0][2] == 1 and got[2][1] <= 3
+    assert langid.predict(model, [samples["b"][50:90]])[0] == ["b"]
+
+
+def test_learning_sample_is_bounded(spark):
+    """Repeated ids count once, and one long text gives no more than its piece."""
+    rows = [(1, "ab " * 5000, "x")] * 30 + [(i, "cd ef", "y") for i in range(100)] + [(None, "zz", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True), max_docs=10, max_piece=50)
+    assert model.names == ["x", "y"] and [round(2**b) for b in model.bits] == [52, 61]
+    with pytest.raises(ValueError):
+        langid.fit(df, F.lit(True), max_languages=1)
+
+
 def test_quality_learns_from_positives_and_unlabelled(spark):
     rnd = random.Random(2)
     good = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(60)) + "."
@@ -400,6 +560,8 @@ def test_quality_learns_from_positives_and_unlabelled(spark):
     assert sum((r.s >= 0.7) == (r.q == 1) for r in out) > 0.98 * len(out)
     edge = df.filter("doc_id >= 900").select(quality.score(model, F.col("text")).alias("s")).collect()
     assert edge[0].s == edge[1].s and 0 <= edge[0].s <= 1
+    many = df.filter("doc_id < 4").select("doc_id", "text").crossJoin(spark.range(50)).drop("id")
+    assert len(quality._sample_features(many, many.select("doc_id").distinct(), "text", "doc_id")) == 4
     none = quality.fit(df.select("doc_id", "text"), labels.limit(0), C.fold("doc_id") != 2)
     assert df.select(quality.score(none, F.col("text")).alias("s")).first().s == 0.5
 
