@@ -41,43 +41,52 @@ def _letter_table() -> np.ndarray:
 
 
 class Automaton:
-    """The transitions of a suffix automaton in an open-addressing hash table: (state, symbol) -> state."""
+    """The transitions of a suffix automaton in an open-addressing hash table: state + symbol -> state, states in steps of the alphabet's size."""
+
+    EMPTY = C.U((1 << 64) - 1)
 
     def __init__(self, seq: np.ndarray, n_symbols: int):
         nxt = suffix_automaton(seq)
-        self.n_symbols, self.start = n_symbols, len(nxt)  # in the state ``start`` any symbol begins a phrase
-        self.first = np.full(n_symbols, self.start, dtype=np.int64)
+        self.start = C.U(len(nxt) * n_symbols)  # in this state any symbol begins a phrase
+        self.first = np.full(n_symbols, self.start, dtype=C.U)
         for c, state in nxt[0].items():
-            self.first[c] = state
-        key = np.array([i * n_symbols + c for i, t in enumerate(nxt) for c in t], dtype=np.int64)
-        value = np.array([x for t in nxt for x in t.values()], dtype=np.int32)
-        self.bits = max(4, (2 * len(key)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+            self.first[c] = state * n_symbols
+        key = np.array([i * n_symbols + c for i, t in enumerate(nxt) for c in t], dtype=C.U)
+        value = np.array([x * n_symbols for t in nxt for x in t.values()], dtype=C.U)
+        bits = max(4, (4 * len(key)).bit_length())
+        self.shift, self.mask = C.U(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, self.EMPTY, dtype=C.U), np.zeros(1 << bits, dtype=C.U)
         left, at = np.arange(len(key)), self._slot(key)
         while len(left):
-            free = np.flatnonzero(self.keys[at[left]] < 0)
+            free = np.flatnonzero(self.keys[at[left]] == self.EMPTY)
             winners = left[free][np.unique(at[left[free]], return_index=True)[1]]
             self.keys[at[winners]], self.values[at[winners]] = key[winners], value[winners]
             left = left[self.keys[at[left]] != key[left]]
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            at[left] = (at[left] + 1) & self.mask
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(C.U) * C.U(0x9E3779B97F4A7C15)) >> C.U(64 - self.bits)).astype(np.int64)
+        return ((key * C.U(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and whether a phrase begins with the symbol."""
-        key = state * self.n_symbols + symbol
+        key = state + symbol
         at = self._slot(key)
         got = self.keys[at]
-        out = self.values[at].astype(np.int64)
-        open_ = np.flatnonzero((got != key) & (got >= 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            got[open_] = self.keys[at[open_]]
-            out[open_] = self.values[at[open_]]
-            open_ = open_[(got[open_] != key[open_]) & (got[open_] >= 0)]
+        out = self.values[at]
         new = got != key
-        return np.where(new, self.first[symbol], out), new
+        missed = np.flatnonzero(new)
+        if len(missed):
+            open_ = missed[got[missed] != self.EMPTY]
+            while len(open_):  # another key's place: the next one
+                at[open_] = (at[open_] + 1) & self.mask
+                here = self.keys[at[open_]]
+                hit = here == key[open_]
+                out[open_[hit]] = self.values[at[open_[hit]]]
+                new[open_[hit]] = False
+                open_ = open_[~hit & (here != self.EMPTY)]
+            missed = missed[new[missed]]
+            out[missed] = self.first[symbol[missed].view(np.int64)]
+        return out, new
 
 
 @dataclass
@@ -154,44 +163,53 @@ def phrases(model: LanguageModel, sym: np.ndarray, offsets: np.ndarray) -> np.nd
     rows = np.repeat(np.arange(n), pieces)
     if not len(rows):
         return out
-    number = np.arange(len(rows)) - (np.cumsum(pieces) - pieces)[rows]
-    begin = offsets[rows] + number * PIECE
+    begin = offsets[rows] + (np.arange(len(rows)) - (np.cumsum(pieces) - pieces)[rows]) * PIECE
     size = np.minimum(PIECE, offsets[rows + 1] - begin)
-    follows = np.append(rows[1:] == rows[:-1], False)  # the piece behind is of the same text
+    order = np.argsort(-size, kind="stable")  # whole pieces first; the last ones of texts, which have none behind them, by length
+    lane = np.empty(len(order), dtype=np.int64)
+    lane[order] = np.arange(len(order))
+    behind = np.full(len(order), -1)  # the lane of the piece behind, in the same text
+    inner = np.flatnonzero(rows[1:] == rows[:-1])
+    behind[lane[inner]] = lane[inner + 1]
+    begin, size, rows = begin[order], size[order], rows[order]
+    longest = int(size[0])
+    active = np.searchsorted(-size, -np.arange(longest), side="left")  # so many pieces are longer than t
+    symbol = np.zeros((longest, len(rows)), dtype=C.U)
+    for t in range(longest):
+        symbol[t, : active[t]] = sym[begin[: active[t]] + t]
+    starts = np.empty((longest, len(rows)), dtype=bool)
     for l, automaton in enumerate(model.automata):
-        starts = np.zeros((int(size.max()), len(rows)), dtype=bool)
-        lanes, state = np.arange(len(rows)), np.full(len(rows), automaton.start, dtype=np.int64)
-        known = False  # whether ``starts`` holds a parse of the lanes already
+        starts[:] = False
+        state = np.full(len(rows), automaton.start, dtype=C.U)
+        for t in range(longest):
+            k = active[t]
+            state[:k], starts[t, :k] = automaton.step(state[:k], symbol[t, :k])
+        on = np.flatnonzero(behind >= 0)
+        lanes, state = behind[on], state[on]
         while len(lanes):
-            ends, states = [], []
-            t = 0
-            while len(lanes):
-                state, new = automaton.step(state, sym[begin[lanes] + t])
-                old = starts[t, lanes]
-                starts[t, lanes] = new
-                t += 1
-                done = size[lanes] == t
-                if known:
-                    met = new & old
-                    stay = ~met & ~done
-                    done &= ~met
-                else:
-                    stay = ~done
-                if done.any():
-                    ends.append(lanes[done])
-                    states.append(state[done])
-                if not stay.all():
-                    lanes, state = lanes[stay], state[stay]
-            known = True
-            lanes = np.concatenate(ends) if ends else np.zeros(0, dtype=np.int64)
-            state = np.concatenate(states) if states else np.zeros(0, dtype=np.int64)
-            on = follows[lanes]
-            lanes, state = lanes[on] + 1, state[on]
+            by = np.argsort(lanes)
+            lanes, state = lanes[by], state[by]
+            met = np.zeros(len(lanes), dtype=bool)
+            for t in range(longest):
+                k = int(np.searchsorted(lanes, active[t]))  # the others have ended
+                if t % 4 == 0:  # from where the parses meet on they are one
+                    stay = ~met
+                    stay[k:] = False
+                    lanes, state, met = lanes[stay], state[stay], met[stay]
+                    k = len(lanes)
+                if not k:
+                    break
+                mine = lanes[:k]
+                state[:k], new = automaton.step(state[:k], symbol[t, mine])
+                met[:k] |= new & starts[t, mine]
+                starts[t, mine] = new
+            on = np.flatnonzero(~met & (behind[lanes] >= 0))
+            lanes, state = behind[lanes[on]], state[on]
         out[:, l] = np.bincount(rows, weights=starts.sum(axis=0), minlength=n)
     return out
 
 
-def predict(model: LanguageModel, texts: list[str | None], limit: int = 1 << 20) -> tuple[list[str], np.ndarray]:
+def predict(model: LanguageModel, texts: list[str | None], limit: int = 1 << 22) -> tuple[list[str], np.ndarray]:
     """The language of each text and how sure it is: a softmax over bits per symbol, sharper for longer texts up to 64 symbols."""
     names, scores = [], np.zeros(len(texts))
     a = 0
