@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +225,35 @@ def test_registered_suffix_query_matches_brute_force(spark, tmp_path):
     assert sorted(map(tuple, catalog.queries()["op3_bucket_pointer_dedup"](spark, str(tmp_path)).collect())) == sorted(want)
 
 
+def test_runs_of_a_frequent_anchor_are_compared_in_bounded_memory(monkeypatch):
+    """60,000 different runs of one anchor, as a passage of most documents of a few GB has them at its edges."""
+    rnd = np.random.default_rng(8)
+    sides = rnd.integers(97, 123, (2, 300, 30), dtype=np.uint8)
+    left, right = rnd.integers(0, 300, (2, 60_000))
+    data = np.concatenate([sides[0][left], np.full((60_000, 20), 65, np.uint8), sides[1][right]], axis=1).tobytes()
+    doc = rnd.permutation(60_000)
+    least = {}
+    for i, d in enumerate(doc.tolist()):
+        for j in range(80 * i, 80 * i + 31):
+            least[data[j : j + 50]] = min(d, least.get(data[j : j + 50], d))
+    want = [sum(1 << j for j in range(31) if least[data[80 * i + j : 80 * i + j + 50]] < d) for i, d in enumerate(doc.tolist())]
+
+    class Groups:  # gives the function of a bucket instead of a table
+        groupBy = lambda self, *_: self
+        applyInPandas = lambda self, f, _: f
+
+    pdf = pd.DataFrame({"bucket": 0, "pack": [0], "at": [np.arange(60_000, dtype="<u4").tobytes()], "doc": [doc.astype("<i8").tobytes()], "lens": [np.full(60_000, 80, "<u4").tobytes()], "data": [data]})
+    for limits in ({}, {"REFINED_STRINGS": 999, "SORTED_STRINGS": 1 << 18}):
+        for k, v in limits.items():
+            monkeypatch.setattr(suffixes, k, v)
+        tracemalloc.start()
+        out = suffixes._compare(Groups())((0,), pdf)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.frombuffer(out["masks"][0], "<u8").tolist() == want
+        assert peak < 250e6
+
+
 def test_suffixes_across_slices(spark, monkeypatch):
     """Texts longer than a slice, and passages on its edge; the largest id and a null one come back as they are."""
     monkeypatch.setattr(suffixes, "SLICE_BYTES", 256)
