@@ -20,6 +20,7 @@ import json
 import sys
 import types
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column
@@ -210,12 +211,13 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def encode_texts(col, path: str, limit: int = 1 << 20) -> tuple[list[bytes], list[bytes]]:
-    """For each text of an Arrow column its ids (little-endian unsigned 32-bit) and its decoded text in UTF-8."""
+def encode_texts(col, path: str, limit: int = 1 << 18) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """For each text of an Arrow column its ids (little-endian unsigned 32-bit) and its decoded text in UTF-8; the texts of
+    ``limit`` bytes, or one longer text, at a time."""
     e = encoder(path)
     data, offsets = C.text_bytes(col)
-    ids, decoded = [], []
     for a, b in C.slices(offsets, limit):
+        ids, decoded = [], []
         d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         raw = d.tobytes()
         if not e.by_words:
@@ -223,22 +225,24 @@ def encode_texts(col, path: str, limit: int = 1 << 20) -> tuple[list[bytes], lis
                 found = e.whole.encode(raw[o[i] : o[i + 1]].decode(), add_special_tokens=False).ids
                 ids.append(np.array(found, dtype="<u4").tobytes())
                 decoded.append(e.whole.decode(found, skip_special_tokens=False).encode())
-            continue
-        cuts, own = cut_points(d, o)
-        e.ids.see(set(raw.split()))
-        for i in range(b - a):
-            ids.append(e.text(raw[o[i] : o[i + 1]], cuts[own[i] : own[i + 1]] - o[i]))
-            decoded.append(e.decode(ids[-1]))
-    return ids, decoded
+        else:
+            cuts, own = cut_points(d, o)
+            e.ids.see(set(raw.split()))
+            for i in range(b - a):
+                ids.append(e.text(raw[o[i] : o[i + 1]], cuts[own[i] : own[i + 1]] - o[i]))
+                decoded.append(e.decode(ids[-1]))
+        yield ids, decoded
 
 
 def encode(text: Column, path: str) -> Column:
-    """A struct of ids (binary, little-endian unsigned 32-bit) and decoded (string) for each text."""
+    """A struct of ids (binary, little-endian unsigned 32-bit) and decoded (string) for each text. Ids take several times the bytes of
+    rare words, so they leave a worker slice by slice and not batch by batch."""
     import pyarrow as pa
 
-    @C.arrow_udf("ids binary, decoded string")
-    def coded(col):
-        ids, decoded = encode_texts(col, path)
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], ["ids", "decoded"])
+    def coded(columns):
+        for col in columns:
+            for ids, decoded in encode_texts(col, path):
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], ["ids", "decoded"])
 
-    return coded(text)
+    coded.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(coded, "ids binary, decoded string")(text)

@@ -192,6 +192,32 @@ def test_chunk_cache_is_bounded(monkeypatch):
         assert sum(len(c) + len(v) + 200 for g in (e.chunks, e.old_chunks) for c, v in g.items()) <= 4000
 
 
+def test_bpe_results_leave_slice_by_slice(spark, monkeypatch):
+    """A batch whose ids would take many times its bytes never stands as a whole in a worker, and no row is lost between slices."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizers.path("word_bpe_49k.json"), random.Random(4)
+    junk = lambda n: " ".join("".join(rnd.choice("qxzjkvw0123456789") for _ in range(rnd.randint(3, 20))) for _ in range(n))
+    texts = [None if i % 97 == 0 else "" if i % 89 == 0 else junk(rnd.randint(1, 90)) for i in range(1500)]
+    texts.insert(700, junk(40_000))
+    whole = Tokenizer.from_file(path)
+    want = []
+    for t in texts:
+        ids = whole.encode(t or "", add_special_tokens=False).ids
+        want.append((struct.pack(f"<{len(ids)}I", *ids), whole.decode(ids, skip_special_tokens=False)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1).select("i", bpe.encode(F.col("text"), path).alias("c")).orderBy("i").collect()
+    assert [(bytes(r.c.ids), r.c.decoded) for r in rows] == want
+
+    made = []
+    monkeypatch.setattr(F, "arrow_udf", lambda f, _: lambda column: made.append(f))
+    bpe.encode(F.col("text"), path)
+    parts = list(made[0](iter([pa.array(texts[:700]), pa.array(texts[701:])])))
+    assert [(x["ids"], x["decoded"]) for p in parts for x in p.to_pylist()] == want[:700] + want[701:]
+    assert max(p.nbytes for p in parts) < 4 << 20 < sum(p.nbytes for p in parts)
+
+
 def test_registered_bpe_query_matches_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
