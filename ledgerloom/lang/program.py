@@ -224,6 +224,7 @@ class Program:
                     df.createOrReplaceTempView(n)
         else:
             r = self.relation(value)
+        lineage = {c.lower(): (f"{value}.{c}",) if head == "from" else () for c in r.columns}
         group: list[str] = []
         for step in s.data["steps"]:
             if group and step[0] != "aggregate":
@@ -231,9 +232,44 @@ class Program:
             if step[0] == "group":
                 group = step[1]
                 continue
-            r = self._step(r, step, group)
+            before, r = r, self._step(r, step, group)
+            lineage = self._lineage(step, before, r, lineage)
             group = [] if step[0] == "aggregate" else group
-        return r.with_(r.df, name=s.name)
+        return r.with_(r.df, name=s.name, lineage=lineage)
+
+    def _lineage(self, step: tuple, r: Relation, after: Relation, known: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+        """Of each column after a step (in lower case) the columns of other relations that it is made of; ``known`` is that before it."""
+        found, kind = dict(known), step[0]
+
+        def of(e) -> tuple[str, ...]:
+            names = [n.lower() for n in columns_of(e)]
+            at = [next((n for n in (x, x.replace(".", "_"), x.rsplit(".", 1)[-1]) if n in found), None) for x in names]
+            return tuple(dict.fromkeys(i for n in at if n for i in found[n]))
+
+        if kind == "select":
+            found = {(n or e[1].rsplit(".", 1)[-1]).lower(): of(e) for n, e in step[1]}
+        elif kind == "derive":
+            for n, e in step[1]:
+                found[n.lower()] = of(e)
+        elif kind == "rename":
+            new = {a.lower(): b.lower() for a, b in dict(step[1]).items()}
+            found = {new.get(c, c): i for c, i in known.items()}
+        elif kind in ("aggregate", "window"):
+            found |= {n.lower(): of(e) for n, e in step[1 if kind == "aggregate" else 3]}
+        elif kind == "union":
+            o = self.relation(step[1])
+            found = {c: tuple(dict.fromkeys([*i, f"{step[1]}.{o.spelled(c)}"])) if o.has(c) else i for c, i in known.items()}
+        elif kind in ("join", "asof"):
+            how, other, alias = step[1], step[2], step[3] or self.relation(step[2]).name
+            theirs = {c.lower(): (f"{other}.{c}",) for c in self.relation(other).columns}
+            for c in theirs:
+                if c not in known:
+                    found[c] = theirs[c]
+                elif after.has(c):  # a merged key
+                    found[c] = {"right": theirs[c], "full": (*known[c], *theirs[c])}.get(how, known[c])
+                else:
+                    found |= {f"{side}_{c}{k}".lower(): i for side, i in ((r.name, known[c]), (alias, theirs[c])) for k in ("", "_2", "_3")}
+        return {c.lower(): found.get(c.lower(), ()) for c in after.columns}
 
     def _step(self, r: Relation, step: tuple, group: list[str]) -> Relation:
         kind = step[0]
@@ -245,7 +281,7 @@ class Program:
             P._distinct_names([n for n, _ in names])
             df = r.df.select(*[c(e).alias(r.spelled(n) if e[0] == "col" and r.has(n) and n.lower() == e[1].lower() else n) for n, e in names])
             kept = {e[1].lower() for n, e in names if e[0] == "col" and n.lower() == e[1].lower()}
-            return r.with_(df, sort=(), identity=r.identity if {i.lower() for i in r.identity} <= kept else (), lineage={n: tuple(columns_of(e)) for n, e in names})
+            return r.with_(df, sort=(), identity=r.identity if {i.lower() for i in r.identity} <= kept else ())
         if kind == "drop":
             return P.drop(r, *step[1])
         if kind == "rename":
@@ -253,7 +289,6 @@ class Program:
         if kind == "derive":
             for name, e in step[1]:
                 r = P.derive(r, **{name: self.compiler(r)(e)})
-                r.lineage[name] = tuple(columns_of(e))
             return r
         if kind == "filter":
             condition = c(step[1])
@@ -447,11 +482,8 @@ class Program:
             s = self.by_name.get(rel.lower())
             if s is None or s.kind != "dataset" or depth > 50:
                 return
-            r = self.relation(rel)
-            head = s.data["head"][1] if s.data["head"][0] == "from" else None
-            for c in r.lineage.get(col, (col,)):
-                if head:
-                    walk(head, c.rsplit(".", 1)[-1], depth + 1)
+            for source in self.relation(rel).lineage.get(col.lower(), ()):
+                walk(*source.rsplit(".", 1), depth + 1)
 
         walk(name, column, 0)
         return out

@@ -57,6 +57,22 @@ def test_program(spark, folder):
     assert p.trace("totals", "total")[0] == "totals.total"
 
 
+def test_trace_follows_every_step_to_its_input(spark, folder):
+    text = """
+    source lines = csv("rates.csv")
+    dataset a = lines |> derive { twice = rate * 2  more = twice + month(day) } |> select twice, more, since = day, rate
+    dataset b = a |> filter rate > 0 |> window order by rate { before = lag(more) }
+    dataset c = b |> group by since |> aggregate { total = sum(before)  n = count() }
+    """
+    p = Program.from_text(spark, text, str(folder))
+    assert p.trace("c", "total") == ["c.total", "  b.before", "    a.more", "      lines.rate", "      lines.day"]
+    assert p.trace("c", "since") == ["c.since", "  b.since", "    a.since", "      lines.day"]
+    assert p.trace("c", "n") == ["c.n"] and p.trace("b", "Twice") == ["b.Twice", "  a.twice", "    lines.rate"]
+    p = Program.from_file(spark, str(folder / "p.txt"))
+    assert p.trace("both", "n")[:2] == ["both.n", "  totals.n"] and p.trace("both", "total")[:3] == ["both.total", "  top.total", "    totals.total"]
+    assert p.trace("both", "shop")[:2] == ["both.shop", "  totals.shop"] and "rates.rate" in [x.strip() for x in p.trace("clean", "rate")]
+
+
 def test_command_line(spark, folder, capsys):
     f = str(folder / "p.txt")
     assert main(["test", f], spark) == 0 and main(["show", f, "totals"], spark) == 0
