@@ -100,6 +100,29 @@ def tasks_for(spark: SparkSession, df: DataFrame, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system: else Arrow's pool and the C library keep the most that any earlier batch took, also while other stages run."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(f):
+    """Decorator: a function of one group's table after which free memory is returned."""
+
+    def one(table):
+        out = f(table)
+        give_back()
+        return out
+
+    return one
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     x = x.astype(U, copy=True)

@@ -149,8 +149,11 @@ def _tokens(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 if size >= PACK_BYTES or rows >= PACK_ROWS:
                     yield pack(number, held)
                     number, held, rows, size = number + 1, [], 0, 0
+                    C.give_back()
         if held:
             yield pack(number, held)
+        held.clear()
+        C.give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, "bucket int, pack long, blob binary")
 
@@ -158,6 +161,7 @@ def _tokens(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
 def _counted(tokens: DataFrame) -> DataFrame:
     """pack, bucket, blob: the tokens in two documents at least, with their levels; documents pass through."""
 
+    @C.giving_back
     def one(table):
         import pyarrow as pa
 
@@ -186,6 +190,7 @@ def _counted(tokens: DataFrame) -> DataFrame:
 def _signed(counted: DataFrame, pct: int) -> DataFrame:
     """doc_id, n, two fingerprints of the set and, for open sets, keys: the tokens in other documents, too, as level and 56 bits of hash, in order."""
 
+    @C.giving_back
     def one(table):
         import pyarrow as pa
 
@@ -306,6 +311,7 @@ def _posts(reps: DataFrame, pct: int) -> DataFrame:
                 [pa.array(np.concatenate(key).view(np.int64)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array((role & 1) > 0), pa.array((role & 2) > 0), *[pa.array(counts[at, j]) for j in range(5)]],
                 ["key", "id", "n", "index", "probe", "p0", "p1", "p2", "p3", "ps"],
             )
+        C.give_back()
 
     return reps.select("id", "n", "keys").mapInArrow(make, "key long, id long, n long, index boolean, probe boolean, p0 long, p1 long, p2 long, p3 long, ps long")
 

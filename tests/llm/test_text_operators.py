@@ -106,6 +106,34 @@ def test_jaccard_matches_brute_force(spark, docs, k, pct, monkeypatch):
     assert got == expected_groups(corpus(), k, pct)
 
 
+def test_jaccard_workers_return_the_memory_of_a_pack(spark, monkeypatch):
+    """A worker that made packs holds little more than before: it stays while other stages run."""
+    import pyarrow as pa
+    import pyspark
+
+    class Rows:  # gives the function of a step instead of a table
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f
+
+    class Context:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 0)
+
+    def anonymous_mb() -> float:
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    rnd = np.random.default_rng(3)
+    letters = rnd.integers(97, 123, (8, 1 << 20), dtype=np.uint8)
+    letters[rnd.random(letters.shape) < 0.2] = 32
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(512 * i, 512 * i + 512)), pa.array([bytes(x).decode() for x in np.split(m, 512)])], ["doc_id", "text"]) for i, m in enumerate(letters)]
+    make = jaccard._tokens(Rows(), "doc_id", "text", 3)
+    before = anonymous_mb()
+    assert sum(x.num_rows for x in make(iter(batches))) == 2 * 257
+    assert anonymous_mb() - before < 50
+
+
 @pytest.mark.parametrize("pct", [60, 80, 90])
 def test_similar_sets_share_a_signature(pct, monkeypatch):
     """Whatever tokens two similar sets miss: the smaller one's index signatures meet the larger one's probe signatures."""
