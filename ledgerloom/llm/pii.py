@@ -117,7 +117,7 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(d, F.lit(0), lambda s, x: s + x)
 
 
-def _card(e: Column, stream: Column) -> Column:
+def _card(e: Column, masked: Column) -> Column:
     """Digits replaced but for the first; the last one restores the check-digit rule where the original kept it."""
 
     def valid(drawn: Column) -> Column:
@@ -127,34 +127,47 @@ def _card(e: Column, stream: Column) -> Column:
         keeps = _luhn(F.regexp_replace(e, "[^0-9]", "")) % 10 == 0
         return F.when(keeps, F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
 
-    return _let(F.concat(F.substring(e, 1, 1), F.substring(_masked(e, stream), F.lit(2), F.length(e))), valid)
+    return _let(F.concat(F.substring(e, 1, 1), F.substring(masked, F.lit(2), F.length(e))), valid)
 
 
-def _by_script(word: Column, make: Callable[[str], Column]) -> Column:
-    out = make("Latin")
+def _listed(options) -> Column:
+    """An array of words or letters without commas, in few expressions; the optimizer makes it one constant."""
+    return F.split(F.lit(",".join(options)), ",")
+
+
+def _parts(word: Column) -> Column:
+    """What words of the word's script are made of: a struct of arrays, by SCRIPTS."""
+
+    def of(script: str) -> Column:
+        first, vowels, last, endings = SCRIPTS[script]
+        return F.struct(*[_listed(x).alias(n) for n, x in {"first": first, "vowels": vowels, "last": last, **endings}.items()])
+
+    out = of("Latin")
     for script in SCRIPTS:
         if script != "Latin":
-            out = F.when(word.rlike(rf"\p{{Is{script}}}"), make(script)).otherwise(out)
+            out = F.when(word.rlike(rf"\p{{Is{script}}}"), of(script)).otherwise(out)
     return out
 
 
+def _chosen(options: Column, draw: Column) -> Column:
+    return F.get(options, F.pmod(draw, F.size(options)).cast("int"))
+
+
 def _choice(options, draw: Column) -> Column:
-    return F.get(F.array(*map(F.lit, options)), F.pmod(draw, F.lit(len(options))).cast("int"))
+    return F.get(_listed(options), F.pmod(draw, F.lit(len(options))).cast("int"))
 
 
-def _made_up(script: str, stream: Column, syllables: int, attempt: Column) -> Column:
+def _made_up(parts: Column, stream: Column, syllables: int, attempt: Column) -> Column:
     """A word of so many syllables, and one more for each attempt beyond the seventh."""
-    first, vowels, last, _ = SCRIPTS[script]
 
-    def one(i: Column) -> Column:
-        draw = F.xxhash64(stream, i)
-        return F.concat(_choice(first, draw), _choice(vowels, F.shiftright(draw, 16)), _choice(last, F.shiftright(draw, 32)))
+    def one(draw: Column) -> Column:
+        return F.concat(_chosen(parts["first"], draw), _chosen(parts["vowels"], F.shiftright(draw, 16)), _chosen(parts["last"], F.shiftright(draw, 32)))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(syllables) + F.greatest(attempt - 7, F.lit(0))), one), "")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(syllables) + F.greatest(attempt - 7, F.lit(0))), lambda i: _let(F.xxhash64(stream, i), one)), "")
 
 
 def _cased(word: Column, new: Column) -> Column:
-    return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(new)).otherwise(F.initcap(new))
+    return _let(new, lambda x: F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(x)).otherwise(F.initcap(x)))
 
 
 def family_unit(word: Column) -> Column:
@@ -164,7 +177,7 @@ def family_unit(word: Column) -> Column:
 def _family(word: Column, key: str, attempt: Column) -> Column:
     """A family name of the word's script; it depends on the word alone, so titles and given names don't matter."""
     stream = _stream(key, family_unit(word), attempt)
-    return _let(stream, lambda s: _cased(word, _by_script(word, lambda script: _made_up(script, s, 3, attempt))))
+    return _let(stream, lambda s: _cased(word, _let(_parts(word), lambda parts: _made_up(parts, s, 3, attempt))))
 
 
 def _gender(word: Column, title: Column) -> Column:
@@ -181,16 +194,12 @@ def _given(word: Column, gender: Column, key: str, attempt: Column) -> Column:
     """A given name of the word's script and the gender: a listed one at first, then made-up ones, of which there is no end."""
 
     def made(s: Column) -> Column:
-        def of(script: str) -> Column:
-            endings = SCRIPTS[script][3]
-            end = F.when(gender == "f", _choice(endings["f"], F.xxhash64(s))).when(gender == "m", _choice(endings["m"], F.xxhash64(s))).otherwise(_choice(endings["n"], F.xxhash64(s)))
-            return F.concat(_made_up(script, s, 2, attempt), end)
-
-        def listed(suffix: str) -> Column:
-            return F.when(gender == "f", _choice(GIVEN[f"f{suffix}"], F.xxhash64(s))).when(gender == "m", _choice(GIVEN[f"m{suffix}"], F.xxhash64(s))).otherwise(_choice(GIVEN[f"n{suffix}"], F.xxhash64(s)))
-
+        draw = F.xxhash64(s)
+        by_gender = lambda f, m, n: F.when(gender == "f", f).when(gender == "m", m).otherwise(n)
+        listed = lambda suffix: _let(by_gender(*[_listed(GIVEN[g + suffix]) for g in "fmn"]), lambda x: _chosen(x, draw))
         from_list = F.when(word.rlike(r"\p{IsCyrillic}"), listed("c")).when(word.rlike(r"\p{IsLatin}"), listed(""))
-        return _cased(word, F.coalesce(F.when(attempt == 0, from_list), _by_script(word, of)))
+        new = _let(_parts(word), lambda parts: F.concat(_made_up(parts, s, 2, attempt), _let(by_gender(parts["f"], parts["m"], parts["n"]), lambda x: _chosen(x, draw))))
+        return _cased(word, F.coalesce(F.when(attempt == 0, from_list), new))
 
     return _let(_stream(key, given_unit(word, gender), attempt), made)
 
@@ -203,7 +212,7 @@ def _words_of_name(e: Column, family: Callable, given: Callable, title: Callable
 
     def of(words: Column) -> Column:
         first = F.get(words, F.lit(0))
-        return F.transform(words, lambda w, i: F.when((i == 0) & first.rlike(_TITLE), title(w)).when(i == F.size(words) - 1, family(w)).otherwise(given(w, _gender(w, first))))
+        return F.transform(words, lambda w, i: F.when((i == 0) & first.rlike(_TITLE), title(w)).when(i == F.size(words) - 1, family(w)).otherwise(_let(_gender(w, first), lambda g: given(w, g))))
 
     return _let(F.split(e, " "), of)
 
@@ -223,25 +232,25 @@ def units(e: Column, k: Column) -> Column:
 
 
 def surrogate(e: Column, key: str, attempt: Column) -> Column:
-    """The replacement of one entity; of names with the same attempt for all words."""
+    """The replacement of one entity that is no name; names have it word by word."""
 
     def made(k: Column, s: Column) -> Column:
         extra = lambda after: F.greatest(attempt - after, F.lit(0))
         more = F.concat(e, F.repeat(F.lit("0"), extra(31)))
-        octets = F.concat_ws(".", *[(F.pmod(F.xxhash64(s, F.lit(i)), F.lit(253)) + 1).cast("string") for i in range(4)])
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.xxhash64(s, i), F.lit(253)) + 1).cast("string")), ".")
         groups = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(s, 4 * i + 1, F.lit(4))), ":"))
         longer = F.concat(F.repeat(F.lit("x"), extra(3)), e)  # addresses can be short, so that their room ends soon
-        mail = F.concat(_masked(F.regexp_extract(longer, r"^(.*)\.[^.]+$", 1), s), F.regexp_extract(e, r"\.[^.]+$", 0))
-        country = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .-])", 0)
-        behind = lambda n: F.substring(_masked(more, s), n + 1, F.length(more))
-        prefix = F.regexp_extract(e, r"^(?:AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_])", 0)
         digits = _masked(F.lower(more), s, hexadecimal=True)
-        bare = F.when(e.rlike("[A-F]"), F.upper(digits)).otherwise(digits)
-        token = F.when(F.length(prefix) > 0, F.concat(prefix, behind(F.length(prefix)))).otherwise(bare)
-        return (
-            F.when(k == "email", mail).when(k == "ip", F.when(attempt > 31, groups).otherwise(octets)).when(k == "card", _card(more, s)).when(k == "phone", F.concat(country, behind(F.length(country))))
-            .when(k == "ssn", behind(F.lit(0))).when(k == "iban", F.concat(F.substring(e, 1, 2), behind(F.lit(2)))).when(k == "token", token).when(k == "name", _name(e, key, lambda u: attempt)).otherwise(e)
-        )
+        bare = _let(digits, lambda x: F.when(e.rlike("[A-F]"), F.upper(x)).otherwise(x))
+        # what stays in front: a country's code, or a token's kind
+        front = F.when(k == "phone", F.regexp_extract(e, r"^\+\d{1,3}(?=[ .-])", 0)).when(k == "iban", F.substring(e, 1, 2)).when(k == "token", F.regexp_extract(e, r"^(?:AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_])", 0)).otherwise("")
+
+        def masked(x: Column) -> Column:
+            behind = _let(front, lambda kept: F.when((k == "token") & (kept == ""), bare).otherwise(F.concat(kept, F.substring(x, F.length(kept) + 1, F.length(more)))))
+            return F.when(k == "email", F.concat(x, F.regexp_extract(e, r"\.[^.]+$", 0))).when(k == "card", _card(more, x)).otherwise(behind)
+
+        mask = _masked(F.when(k == "email", F.regexp_extract(longer, r"^(.*)\.[^.]+$", 1)).otherwise(more), s)
+        return F.when(k == "ip", F.when(attempt > 31, groups).otherwise(octets)).when(k.isin("email", "card", "phone", "ssn", "iban", "token"), _let(mask, masked)).otherwise(e)
 
     return _let(kind(e), lambda k: _let(_stream(key, normal(e, k), attempt), lambda s: made(k, s)))
 
@@ -255,14 +264,14 @@ def _drawn(rows: DataFrame, key: str, attempt: int) -> DataFrame:
     """norm, e and the normal form of the unit's replacement."""
     t, space = F.lit(attempt), F.split_part("norm", F.lit(":"), F.lit(1))
     given = F.concat(F.lit("given:"), F.lower(_given(F.col("e"), F.split_part("norm", F.lit(":"), F.lit(2)), key, t)))
-    other = normal(surrogate(F.col("e"), key, t), space)
+    other = _let(surrogate(F.col("e"), key, t), lambda x: normal(x, space))
     return rows.withColumn("replaced", F.when(space == "family", family_unit(_family(F.col("e"), key, t))).when(space == "given", given).otherwise(other))
 
 
 def exceptions(docs: DataFrame, key: str, scratch: C.Scratch, text: str = "text") -> DataFrame:
     """norm and attempt (1 or more) of the units whose first replacement was taken."""
     found = docs.select(F.explode(entities(F.col(text))).alias("e")).groupBy("e").count()
-    found = found.select(F.explode(units(F.col("e"), kind(F.col("e")))).alias("u")).groupBy("u.norm").agg(F.min("u.e").alias("e"))
+    found = found.select(F.explode(_let(kind(F.col("e")), lambda k: units(F.col("e"), k))).alias("u")).groupBy("u.norm").agg(F.min("u.e").alias("e"))
     drawn = scratch.keep(_drawn(found, key, 0), "drawn")
     surface = F.regexp_replace("norm", "^given:[fmn]:", "given:")  # a given name of any gender
     used = drawn.select(surface.alias("replaced")).unionByName(drawn.select("replaced"))
@@ -302,7 +311,7 @@ def replace(docs: DataFrame, key: str, text: str = "text", found: str | None = N
                 out = F.when(norm.isin(norms), t).otherwise(out)
             return out
     else:
-        every = F.array_distinct(F.flatten(F.transform(ents, lambda e: F.transform(units(e, kind(e)), lambda u: u["norm"]))))
+        every = F.array_distinct(F.flatten(F.transform(ents, lambda e: F.transform(_let(kind(e), lambda k: units(e, k)), lambda u: u["norm"]))))
         prints = C.table_print(rows.select(ents, F.col(text).alias("text")), "text")
         named = prints.filter(F.size(ents) > 0).select("_p", F.explode(every).alias("norm")).distinct()
         named = named.join(odd, "norm").groupBy("_p").agg(F.map_from_entries(F.collect_list(F.struct("norm", "attempt"))).alias(tries))

@@ -507,6 +507,14 @@ def test_given_names_stay_distinct_and_keep_gender_and_script(spark):
     assert re.fullmatch(r"my name is [A-Z]\w+ [A-Z]\w+\.", got[-1]) and "Novak" not in got[-1]
 
 
+def test_plans_of_surrogates_stay_small(spark):
+    """The driver rewrites, prints and keeps these plans; an expression that stands in another several times multiplies."""
+    size = lambda df: len(df._jdf.queryExecution().analyzed().toString())
+    units = spark.createDataFrame([("Keller", "family:keller")], "e string, norm string")
+    assert size(pii._drawn(units, "k", 0)) < 30_000
+    assert size(pii.replace(spark.createDataFrame([(1, "ip 10.0.0.1", "s", "i")], SCHEMA), "k", found="kinds")) < 50_000
+
+
 def test_surrogates_keep_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "ip 10.0.0.1", "a", "b", "c", "d")], "doc_id long, text string, _e string, _t string, entities string, replaced string")
     got = pii.replace(df, "k", found="kinds").first()
