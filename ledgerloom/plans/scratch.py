@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,21 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
 
 
+@contextmanager
+def by_real_sizes(spark: SparkSession):
+    """Within, what is joined is broadcast by the size that it turns out to have. Planned sizes are those of compressed files: a few MB of
+    scratch tables can be millions of rows, which the driver would gather."""
+    planned, real = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k, None) for k in (planned, real)}
+    spark.conf.set(real, before[real] or spark.conf.get(planned))
+    spark.conf.set(planned, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def numbered(scratch: Scratch, df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with numbers from 1 in the given order (df's own, if it is empty), without moving all rows to one task: rows are numbered in their
     sorted partition, of which only the sizes are gathered."""

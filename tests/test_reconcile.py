@@ -9,6 +9,7 @@ import pytest
 from ledgerloom.errors import AnalysisError, RunError
 from ledgerloom.operators import subsets
 from ledgerloom.operators.reconcile import Policy, Run, Subset, Tier, read_columns
+from ledgerloom.plans.scratch import by_real_sizes
 from ledgerloom.queries import reconciling
 from ledgerloom.relation import Relation
 
@@ -215,3 +216,18 @@ def test_subset_query_matches_brute_force(spark, tmp_path):
             want += [(o, paid, n, q, len(fit)) for n, q in best[0]]
     assert {sum(w[0] == o for w in want) for o in (1, 4, 5)} == {4, 9, 12}
     assert sorted(map(tuple, reconciling.reconcile_subset_sum(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_no_table_is_broadcast_by_its_planned_size(spark, tmp_path):
+    """Files of scratch tables are small, their rows need not be: the driver gathers none of them."""
+    spark.range(300).selectExpr("id", "id % 300 as k").write.parquet(f"{tmp_path}/t")
+    make = lambda name: Relation(spark.read.parquet(f"{tmp_path}/t"), name, ("id",))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    run = Run(make("a"), make("b"), Policy((Tier("t", block=(("k", "k"),)),))).run()
+    for df in (run.matches, run.unmatched_a, run.candidates):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert len(pairs(run)) == 300 and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    with by_real_sizes(spark):
+        a, b = (make(x).df for x in "ab")
+        plan = a.join(b, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
