@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import query
@@ -295,16 +295,31 @@ def case_in_null(spark, d) -> DataFrame:
 _PAIRS = "FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
 
 
-def _pairs(spark, d) -> DataFrame:
-    p = table(spark, d, "part").df
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+#: Keys of one name that are a row of their own, and pairs of keys that a task makes.
+KEYS, PAIRS = 512, 1 << 22
+
+
+def _pairs(spark, d, value, name: str) -> DataFrame:
+    """x, y and, as ``name``, the value of their names. It is computed once for each two names of a brand and size, with the keys of either in
+    arrays; these are dealt out by the pairs that they make, as the table is small and its pairs are not. Large groups are split."""
+    g = ["p_brand", "p_size"]
+    p = table(spark, d, "part").df.select(*g, "p_name", "p_partkey").dropna(subset=[*g, "p_partkey"])
+    made = p.groupBy(*g).count().agg(F.sum(F.col("count").cast("double") ** 2)).first()[0] or 0
+    tasks = max(int(made / PAIRS) + 1, spark.sparkContext.defaultParallelism)
+    at = F.row_number().over(Window.partitionBy(*g, "p_name").orderBy("p_partkey"))
+    rows = p.withColumn("at", F.floor((at - 1) / KEYS)).groupBy(*g, "p_name", "at").agg(F.sort_array(F.collect_list("p_partkey")).alias("keys"))
+    n = F.sum(F.size("keys")).over(Window.partitionBy(*g)).cast("double")
+    rows = rows.withColumn("parts", F.ceil(n * n / PAIRS).cast("int"))
+    a = rows.withColumn("part", F.pmod(F.hash("p_name", "at"), "parts")).drop("parts", "at").repartition(tasks, *g, "part").alias("a")
+    b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "at").repartition(tasks, *g, "part").alias("b")
+    met = a.join(b.hint("merge"), [*g, "part"]).filter(F.col("a.keys")[0] < F.element_at("b.keys", -1))
+    met = met.select(value(F.col("a.p_name"), F.col("b.p_name")).alias(name), F.explode("a.keys").alias("x"), F.col("b.keys").alias("ys"))
+    return met.select("x", F.explode(F.filter("ys", lambda y: y > F.col("x"))).alias("y"), name)
 
 
 @query("similarity_jaro_winkler", f"SELECT a.p_partkey AS x, b.p_partkey AS y, CAST(round(jaro_winkler_similarity(lower(a.p_name), lower(b.p_name)), 9) AS DECIMAL(12,9)) AS s {_PAIRS}")
 def similarity_jaro_winkler(spark, d) -> DataFrame:
-    s = F.round(S.similarity(F.col("a.p_name"), F.col("b.p_name")), 9).cast("decimal(12,9)")
-    return _pairs(spark, d).select(F.col("a.p_partkey").alias("x"), F.col("b.p_partkey").alias("y"), s.alias("s"))
+    return _pairs(spark, d, lambda a, b: F.round(S.similarity(a, b), 9).cast("decimal(12,9)"), "s")
 
 
 @query("token_similarity", f"""
@@ -312,12 +327,12 @@ SELECT a.p_partkey AS x, b.p_partkey AS y, CAST(len(list_intersect(string_split(
        / len(list_distinct(list_concat(string_split(lower(a.p_name), ' '), string_split(lower(b.p_name), ' ')))) AS s {_PAIRS}
 """)
 def token_similarity(spark, d) -> DataFrame:
-    return _pairs(spark, d).select(F.col("a.p_partkey").alias("x"), F.col("b.p_partkey").alias("y"), S.token_similarity(F.col("a.p_name"), F.col("b.p_name")).alias("s"))
+    return _pairs(spark, d, S.token_similarity, "s")
 
 
 @query("levenshtein_bytes", f"SELECT a.p_partkey AS x, b.p_partkey AS y, levenshtein(concat(a.p_name, 'é'), b.p_name) AS n {_PAIRS}")
 def levenshtein_bytes(spark, d) -> DataFrame:
-    return _pairs(spark, d).select(F.col("a.p_partkey").alias("x"), F.col("b.p_partkey").alias("y"), S.levenshtein(S.concat(F.col("a.p_name"), F.lit("é")), F.col("b.p_name")).alias("n"))
+    return _pairs(spark, d, lambda a, b: S.levenshtein(S.concat(a, F.lit("é")), b), "n")
 
 
 @query("replace_words", """

@@ -75,3 +75,18 @@ def test_many_similarities_are_the_single_ones():
     ys = [x if rnd.random() < 0.1 else (x[: len(x) // 2] + word()) if rnd.random() < 0.5 else word() for x in xs]
     assert S.jaro_winkler_many(xs, ys).tolist() == [S.jaro_winkler(x, y) for x, y in zip(xs, ys)]
     assert S.jaro_winkler_many([], []).tolist() == []
+
+
+def test_pairs_of_large_groups_are_split(spark, tmp_path, monkeypatch):
+    """Every pair of a group comes once, whichever task makes it; nothing waits for one table in each executor."""
+    from ledgerloom.queries import relational as R
+
+    parts = [(k, ("red bolt", "blue nut", None)[k % 3], "b", k % 2) for k in range(90)] + [(90, "red bolt", None, 0), (91, "ring", "c", 0)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(R, "PAIRS", 200)
+    monkeypatch.setattr(R, "KEYS", 4)
+    got = R.token_similarity(spark, str(tmp_path))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.rdd.getNumPartitions() > 8
+    want = {(x[0], y[0]): None if None in (x[1], y[1]) else float(x[1] == y[1]) for x in parts for y in parts if x[2] and x[2:] == y[2:] and x[0] < y[0]}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.x, r.y): r.s for r in rows} == want
