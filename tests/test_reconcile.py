@@ -126,6 +126,15 @@ def test_subset_budget_is_the_tiers(spark):
         Run(a, b, Policy((tier(cost["examined"] - 1),))).run()
 
 
+def test_a_task_stops_beyond_the_budget(spark):
+    """The error is the run's own, and tells of the tier, also where a single unit has too many subsets."""
+    a = side(spark, [(1, 60)], "id long, amount long", "a")
+    b = side(spark, [(i, i) for i in range(1, 20)], "id long, amount long", "b")
+    tier = Tier("payout", block=(), subset=Subset("b", "amount", "amount", max_items=6, max_subsets=20))
+    with pytest.raises(RunError, match="L315.*payout"):
+        Run(a, b, Policy((tier,))).run()
+
+
 def test_policy_columns_come_from_the_tree(spark):
     """A column with a blank in its name tells rows apart; a text that looks like a column doesn't."""
     a = side(spark, [(1, "p", 5), (2, "q", 5)], "id long, `order id` string, amt long", "a")
