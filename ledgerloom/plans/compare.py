@@ -34,13 +34,17 @@ def same(a: Relation, b: Relation) -> bool:
 
 
 def profile(r: Relation) -> DataFrame:
-    """column, type, rows, nulls, distinct_values, min, max, sum of each column, from one aggregation."""
+    """column, type, rows, nulls, distinct_values, min, max, sum of each column. One aggregation has all but the distinct values; these are
+    counted column by column, as together every row would be there once for each column with all of them."""
     cols = [F.count("*").alias("n")]
     for i, f in enumerate(r.df.schema):
         c = F.col(f"`{f.name}`")
         exact = isinstance(f.dataType, (T.IntegralType, T.DecimalType))
-        cols += [F.count_if(c.isNull()).alias(f"nulls{i}"), F.countDistinct(c).alias(f"distinct{i}"), F.min(c).cast("string").alias(f"min{i}"), F.max(c).cast("string").alias(f"max{i}"), (F.sum(c.cast("decimal(38,6)") if isinstance(f.dataType, T.DecimalType) else c) if exact else F.lit(None)).cast("string").alias(f"sum{i}")]
+        cols += [F.count_if(c.isNull()).alias(f"nulls{i}"), F.min(c).cast("string").alias(f"min{i}"), F.max(c).cast("string").alias(f"max{i}"), (F.sum(c.cast("decimal(38,6)") if isinstance(f.dataType, T.DecimalType) else c) if exact else F.lit(None)).cast("string").alias(f"sum{i}")]
     one = r.df.agg(*cols)
+    for i, f in enumerate(r.df.schema):
+        values = r.df.select(F.col(f"`{f.name}`").alias("v")).filter("v is not null")
+        one = one.crossJoin(values.distinct().agg(F.count("*").alias(f"distinct{i}")))
     rows = [
         F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("rows"), F.col(f"nulls{i}").alias("nulls"), F.col(f"distinct{i}").alias("distinct_values"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.col(f"sum{i}").alias("sum"))
         for i, f in enumerate(r.df.schema)

@@ -105,3 +105,14 @@ def test_compare(spark, tmp_path):
     compare.snapshot(spark, f"{tmp_path}/one", {"a": a}), compare.snapshot(spark, f"{tmp_path}/two", {"a": b, "c": b})
     d = compare.diff_snapshots(spark, f"{tmp_path}/one", f"{tmp_path}/two")
     assert d["c"] == {"only_in": "second"} and (d["a"]["added"], d["a"]["removed"]) == (1, 1)
+
+
+def test_profile_counts_values_column_by_column(spark):
+    """No row is there once for each column with all of them."""
+    from ledgerloom.plans.compare import profile
+
+    r = Relation(spark.createDataFrame([(1, "a", None), (2, "a", None), (2, None, None)], "`k 1` long, s string, e long"))
+    got = profile(r)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(x["column"], x.nulls, x.distinct_values, x["sum"]) for x in got.collect()] == [("k 1", 0, 2, "5"), ("s", 1, 1, None), ("e", 3, 0, None)]
+    assert [(x.rows, x.distinct_values) for x in profile(r.with_(r.df.limit(0))).collect()] == [(0, 0)] * 3
