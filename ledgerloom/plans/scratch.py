@@ -56,3 +56,15 @@ def numbered(scratch: Scratch, df: DataFrame, order: list[Column], name: str) ->
         before += sizes.get(part, 0)
     start = F.get(F.array(*map(F.lit, offsets)), at[0].cast("int")) if offsets else F.lit(0)
     return kept.withColumn(name, (start + at[1] + 1).cast("long"))
+
+
+def numbered_in_files(scratch: Scratch, df: DataFrame, file: str, block: str, name: str) -> DataFrame:
+    """df, as it was read, with numbers from 1 in the order of files' names and places in them, instead of the columns ``file`` and ``block``
+    (where the split of the file begins). Splits of several files are one task's work in any order; only their sizes are gathered."""
+    kept = scratch.keep(df.withColumn(name, F.monotonically_increasing_id()))
+    before, shifts = 0, []
+    for r in sorted(kept.groupBy(file, block).agg(F.min(name).alias("first"), F.count("*").alias("n")).collect(), key=lambda r: (r[file], r[block])):
+        shifts.append((r[file], r[block], before + 1 - r["first"]))
+        before += r["n"]
+    shift = scratch.spark.createDataFrame(shifts, f"`{file}` string, `{block}` long, _shift long")
+    return kept.join(F.broadcast(shift), [file, block]).withColumn(name, F.col(name) + F.col("_shift")).drop(file, block, "_shift")

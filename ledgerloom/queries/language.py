@@ -102,13 +102,13 @@ dataset out = o |> select o_orderkey, line, o_custkey, day, price, note
 
 
 def _as_text(spark, d) -> str:
-    """Orders as one CSV file, in the order of keys; every seventh has a day that is none, notes hold quotes and commas."""
+    """Orders as CSV files that follow each other in the order of keys; every seventh has a day that is none, notes hold quotes and commas."""
     o = spark.read.parquet(f"{d}/orders.parquet").orderBy("o_orderkey")
     day = F.when(F.col("o_orderkey") % 7 == 0, F.lit("31.02.2024")).otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))
     note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('say "'), "o_orderstatus", F.lit('", twice')))
     rows = o.select("o_orderkey", "o_custkey", day.alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"), note.alias("note"))
     path = f"{Scratch(spark, 'files').root}/csv"
-    rows.coalesce(1).write.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
+    rows.write.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
     return path
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.errors import AnalysisError, RunError
-from ledgerloom.plans.scratch import Scratch, numbered
+from ledgerloom.plans.scratch import Scratch, numbered, numbered_in_files
 
 HEAD = 1 << 20
 #: Rows of a database file in memory at once.
@@ -181,7 +181,7 @@ def _spans_lines(spark: SparkSession, path: str, delimiter: str) -> bool:
 
 def csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, section: int | None = None, ragged: bool = False, row_number: str | None = None) -> DataFrame:
     """All columns as text. A section needs the file's order and is read whole; else Spark splits the file among tasks, which number the
-    rows, if asked to, by the sizes of the parts before them. A file with a record of several lines is one task's work."""
+    rows, if asked to, by the sizes of the parts before them; several files of a folder follow each other by name. A file with a record of several lines is one task's work."""
     if section is not None:
         text = spark.read.text(path, wholetext=True).first()[0]
         return csv_section(spark, text.removeprefix("\ufeff"), section, delimiter, header, ragged, row_number)
@@ -191,16 +191,19 @@ def csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bo
     if first is None:
         raise RunError("L200", "the file has no table")
     names = header_names(first) if header else [f"column_{i + 1}" for i in range(len(first))]
-    bad, ok = (next(f"{x}{k or ''}" for k in count() if f"{x}{k or ''}" not in {n.lower() for n in names}) for x in ("_bad", "_ok"))
+    bad, ok, file, block = (next(f"{x}{k or ''}" for k in count() if f"{x}{k or ''}" not in {n.lower() for n in names}) for x in ("_bad", "_ok", "_file", "_block"))
     wanted = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(bad, T.StringType())])
     options = dict(sep=d, quote='"', escape='"', header=header, multiLine=_spans_lines(spark, path, d), mode="PERMISSIVE", columnNameOfCorruptRecord=bad, enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = spark.read.schema(wanted).options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).csv(path)
+    place = [file, block] if row_number else []
+    if row_number:
+        df = df.withColumns({c: df.metadataColumn("_metadata").getField(f) for c, f in ((file, "file_path"), (block, "file_block_start"))})
     has_text = F.exists(F.array(*[F.col(f"`{n}`") for n in names]), lambda c: c.rlike(r"[^\s\p{Z}\x1c-\x1f\x85]"))
     short = F.col(f"`{names[-1]}`").isNull()  # a line of fewer fields leaves the last column empty, a longer one fills it
     wrong = F.col(bad).isNotNull() & (~short if ragged else F.lit(True)) & has_text
     checked = df.withColumn(ok, F.when(wrong, F.raise_error(F.lit("L212: a line has another number of fields"))).otherwise(F.coalesce(has_text, F.lit(False))))
-    rows = checked.filter(F.col(ok)).select(*[F.col(f"`{n}`") for n in names])
-    return numbered(Scratch(spark, "csv"), rows, [], row_number).select(row_number, *[F.col(f"`{n}`") for n in names]) if row_number else rows
+    rows = checked.filter(F.col(ok)).select(*[F.col(f"`{n}`") for n in [*names, *place]])
+    return numbered_in_files(Scratch(spark, "csv"), rows, file, block, row_number).select(row_number, *[F.col(f"`{n}`") for n in names]) if row_number else rows
 
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -168,3 +168,24 @@ def test_charts(spark, tmp_path):
             X.write_svg(r, path, **{"x": "day", "y": "n", **bad})
     with pytest.raises(RunError, match="L509"):
         X.write_svg(r, path, "bar", "day", "n")
+
+
+def test_rows_of_several_files_are_numbered_by_name(spark, tmp_path):
+    """Larger files are read first, blank lines and each file's header don't count; the orders' files are written by several tasks."""
+    import glob
+    from ledgerloom.queries import language
+
+    at = 0
+    for i, n in enumerate((3, 5000, 0, 40)):
+        (tmp_path / f"part-{i}.csv").write_text("id,_file\n" + "".join(f"{k},x\n\n" for k in range(at, at + n)))
+        at += n
+    got = R.csv(spark, str(tmp_path), row_number="line").collect()
+    assert len(got) == 5043 and all(r.line == int(r.id) + 1 and r._file == "x" for r in got)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        path = language._as_text(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset(key)
+    assert len(glob.glob(f"{path}/part-*")) > 1
+    assert all(r.line == int(r.o_orderkey) + 1 for r in R.csv(spark, path, row_number="line").collect())
